@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, language_id, minhash, mixing, packing, quality, sql, substring, warc
+from tracewright.llm import chat, html_extract, language_id, minhash, mixing, packing, quality, sql, substring, topk, warc
 from tracewright.llm.storage import table
 
 #: The conversation that op8 formats besides the table's.
@@ -25,6 +25,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -58,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_top_k": sql.top_k(20, 64),
         "op5_minhash_dedup": sql.near_duplicates(4, 80),
         "op6_substring_dedup": sql.repeated_passages(20),
         "op7_warc": sql.warc(),

@@ -137,3 +137,18 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sum(length(f))::BIGINT AS formatted_chars
 FROM formatted GROUP BY conv_id
 """
+
+
+def top_k(k: int, scale: int) -> str:
+    return f"""
+WITH valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
+  FROM (SELECT * FROM valid WHERE vec_id % 20 = 0) q JOIN valid d ON q.vec_id <> d.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, r::INT AS rank, vec_id, score FROM ranked WHERE r <= {k}
+"""
