@@ -199,7 +199,7 @@ def _reply(packs: list[int], sizes: list[int], bucket: int, hit: np.ndarray) ->
     })
 
 
-def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
     """Cuts repeated passages: doc_id, n_words, n_removed, kept_sha256, and the kept text if with_text.
 
     kept_sha256 is of the kept words joined by one space; text is the original where nothing was removed; was is the
@@ -210,13 +210,11 @@ def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 8 <<
         raise ValueError("window must be at least 2 words")
     spark, anchor = docs.sparkSession, window // 2
     scratch = Scratch(spark, "substring")
-    loose = scratch.keep(pack_documents(docs, pack_bytes), "loose")
-    total, n_packs = loose.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t))), F.count("*")).first()
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = max(2, math.ceil((total or 0) / bucket_bytes))
+    spread = max(2, math.ceil(total / bucket_bytes))
     bits = _bits(spread)
-    packs = scratch.keep_bucketed(loose, "packs", "pack", max(1, min(n_packs, max(shuffle, spread // 4))))
-    scratch.drop("loose")
+    packs = scratch.keep_bucketed(pack_documents(docs, pack_bytes), "packs", "pack", max(shuffle, spread // 2))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = hashing.WordHasher(1)
