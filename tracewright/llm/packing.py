@@ -35,7 +35,7 @@ from tracewright.llm.storage import Scratch
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECE}, sequence_id long, offset long, final boolean"
-_CHUNKS, _TOKENS = 250_000, 500_000
+_CHUNKS, _TOKENS = 600_000, 1_000_000
 
 
 class ChunkCache(dict):
