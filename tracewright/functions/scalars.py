@@ -77,7 +77,8 @@ def cvss_base(vector: Column) -> Column:
     impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, 15)).otherwise(6.42 * iss)
     access = F.when(changed, weight("PR_C", "PR")).otherwise(weight("PR_U", "PR"))
     ease = 8.22 * weight("AV", "AV") * weight("AC", "AC") * access * weight("UI", "UI")
-    raw = F.least(F.lit(10.0), F.when(changed, 1.08 * (impact + ease)).otherwise(impact + ease))
+    total = F.when(changed, 1.08 * (impact + ease)).otherwise(impact + ease)
+    raw = F.when(total > 10, F.lit(10.0)).otherwise(total)  # least() would skip a null
     # Round up to one place on a fixed grid, so that 4.02 in binary isn't taken for more than 4.02.
     up = F.ceil(F.round(raw * 100000) / 10000) / 10
     return F.when(impact <= 0, F.lit(0.0)).otherwise(up)
