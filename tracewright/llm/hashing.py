@@ -6,20 +6,34 @@ byte positions give the same words as the pattern ``[^\\x20\\x09-\\x0D]+`` on ch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 
+T = TypeVar("T")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes hashed at a time; it bounds the temporary arrays.
 _BLOCK = 1 << 20
+_held: dict = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def held(name: object, build: Callable[[], T]) -> T:
+    """What build() made, kept for the worker's next tasks until another name is asked for.
+
+    Workers outlive tasks, so tables kept by one operator would else lie beside those of the next.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = build()
+    return _held[name]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers in which every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

@@ -29,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewright.llm.hashing import mix
+from tracewright.llm.hashing import held, mix
 from tracewright.llm.storage import Scratch
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3, 4)
 UNDETERMINED = "und"
 _SLICE = 1 << 18
+#: Rows that a worker turns into Python strings at a time.
+_ROWS = 256
 
 
 @lru_cache(maxsize=1)
@@ -157,9 +159,9 @@ def _frequencies(df: DataFrame) -> tuple[int, np.ndarray]:
     """Documents with letters, and how many of them have each feature."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, seen, n = Grams(), np.zeros(FEATURES, dtype=np.int64), 0
+        grams, seen, n = held("grams", Grams), np.zeros(FEATURES, dtype=np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (t.as_py() for t in batch.column(0)):
                 here = np.zeros(FEATURES, dtype=bool)
                 for f in grams.slices(text):
                     here[f] = True
@@ -194,7 +196,7 @@ def fit(docs: DataFrame, learnable: Column, per_label: int = 500, max_labels: in
     few = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("rank", "id", "text"))).filter(F.col("r") <= per_label)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
+        grams = held("grams", Grams)
         for batch in batches:
             for lang, r, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 at, counts = grams.counts(text)
@@ -204,19 +206,19 @@ def fit(docs: DataFrame, learnable: Column, per_label: int = 500, max_labels: in
     sample = sorted((x for x in sample if x["at"]), key=lambda x: (x["r"], x["lang"]))
     grams = [(np.frombuffer(x["at"], dtype=np.uint16).astype(np.int64), np.frombuffer(x["counts"], dtype=np.float32).astype(np.float64)) for x in sample]
     y = np.array([labels.index(x["lang"]) for x in sample], dtype=np.int64)
-    held = np.array([x["r"] % 5 == 0 for x in sample], dtype=bool)
+    apart = np.array([x["r"] % 5 == 0 for x in sample], dtype=bool)
     scale = 10.0
     fed = [(at, scale * counts * idf[at] / counts.sum()) for at, counts in grams]
-    use = [i for i in range(len(fed)) if not held[i]]
+    use = [i for i in range(len(fed)) if not apart[i]]
     weights, bias = train_ftrl([fed[i] for i in use], y[use], len(labels))
     model = Model(labels, idf, np.ascontiguousarray(weights * scale), bias, 1.0)
-    out = np.array([model.logits(*grams[i]) for i in np.flatnonzero(held)]).reshape(-1, len(labels))
-    model.temperature = fit_temperature(out, y[held])
+    out = np.array([model.logits(*grams[i]) for i in np.flatnonzero(apart)]).reshape(-1, len(labels))
+    model.temperature = fit_temperature(out, y[apart])
     return model
 
 
 def _predictor(model: Model | None) -> Callable[[pa.Array], tuple[list[str], list[float]]]:
-    grams = Grams()
+    grams = held("grams", Grams)
     heavy = None if model is None else np.ascontiguousarray(model.idf[:, None] * model.weights)
 
     def predict(column: pa.Array) -> tuple[list[str], list[float]]:
@@ -246,13 +248,15 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame
     The model, at most 2**16 * (max_labels + 1) numbers whatever the input, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*carry, F.col("text").cast("string").alias("_text"))
-    schema = chosen.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    whole = "text" in carry and dict(docs.dtypes)["text"] == "string"
+    chosen = docs.select(*carry) if whole else docs.select(*carry, F.col("text").cast("string").alias("_text"))
+    schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
+    at = carry.index("text") if whole else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = _predictor(shared.value)
-        for batch in batches:
-            names, scores = use(batch.column(len(carry)))
+        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
+            names, scores = use(batch.column(at))
             columns = [batch.column(k) for k in range(len(carry))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
 

@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     """doc_id, n_shingles, two 64-bit digests of the set, and the band keys (null for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sketch = Shingler(shingle), CirculantMinHash(bands, rows)
+        shingler, sketch = hashing.held(("signatures", shingle, bands, rows), lambda: (Shingler(shingle), CirculantMinHash(bands, rows)))
         for batch in batches:
             sizes, low, high, rest = [], [], [], []
             for s in shingler.sets(batch.column(1)):
@@ -117,7 +117,7 @@ def _linked(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) with texts a_text, b_text whose full sets are similar enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(shingle)
+        shingler = hashing.held(("sets", shingle), lambda: Shingler(shingle))
         last, held = None, None
         for batch in batches:
             a = batch.column(0).to_pylist()

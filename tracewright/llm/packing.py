@@ -23,7 +23,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.hashing import held
 from tracewright.llm.storage import Scratch
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -104,17 +104,12 @@ class ChunkCache(dict):
         return b"".join(parts)
 
 
-@lru_cache(maxsize=2)
-def _chunks(path: str) -> ChunkCache:
-    return ChunkCache(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _chunks(tokenizer)
+        cache = held(("tokens", tokenizer), lambda: ChunkCache(tokenizer))
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -107,7 +107,9 @@ def _unplanes(blob: bytes, n: int, width: int) -> np.ndarray:
 
 def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values."""
-    at = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - np.uint64(1))) if len(bucket) else np.empty(0, dtype=np.int64)
+    if not len(bucket):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    at = np.append(0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1)
     return at, np.append(at[1:], len(bucket))
 
 
@@ -170,6 +172,10 @@ def _wide(base: int, width: int, blob: bytes) -> np.ndarray:
     return (np.frombuffer(blob, dtype=f"<u{width}").astype(np.uint64) + np.uint64(base % 2**64)).view(np.int64)
 
 
+def _hashers() -> tuple[hashing.WordHasher, hashing.WordHasher]:
+    return hashing.WordHasher(1), hashing.WordHasher(2)
+
+
 def _answers(column: pa.Array, bucket: np.ndarray) -> np.ndarray:
     """Joins a pack's answers, a list of (bucket, bits), to its hashes, which are sorted by bucket."""
     hit = np.zeros(len(bucket), dtype=bool)
@@ -217,7 +223,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 2 <<
     packs = scratch.keep_bucketed(pack_documents(docs, pack_bytes), "packs", "pack", max(shuffle, spread // 2))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = hashing.WordHasher(1)
+        hasher, _ = hashing.held("windows", _hashers)
         for batch in batches:
             for number, ids, texts in zip(*(batch.column(c) for c in ("pack", "ids", "texts")), strict=True):
                 *_, distinct, block, again = _anchor_rows(_Pack(ids.values, texts.values, hasher), anchor, bits)
@@ -253,7 +259,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 2 <<
         return _answers(column, distinct >> np.uint64(_ANCHOR_BITS))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, other = hashing.WordHasher(1), hashing.WordHasher(2)
+        hasher, other = hashing.held("windows", _hashers)
         for batch in batches:
             for number, ids, texts, found in zip(*(batch.column(c) for c in ("pack", "ids", "texts", "anchors")), strict=True):
                 pack = _Pack(ids.values, texts.values, hasher)
@@ -293,7 +299,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 2 <<
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string, was string" * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, other = hashing.WordHasher(1), hashing.WordHasher(2)
+        hasher, other = hashing.held("windows", _hashers)
         for batch in batches:
             for ids, texts, found, before in zip(*(batch.column(c) for c in ("ids", "texts", "anchors", "earlier")), strict=True):
                 pack = _Pack(ids.values, texts.values, hasher)
