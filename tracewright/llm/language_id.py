@@ -242,15 +242,15 @@ def _predictor(model: Model | None) -> Callable[[pa.Array], tuple[list[str], lis
     return predict
 
 
-def predict(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
-    """The carried columns, lang_pred, score for every row.
+def predict(docs: DataFrame, model: Model | None, carry: list[str], added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The carried columns and the two added ones, prediction and score, for every row.
 
     The model, at most 2**16 * (max_labels + 1) numbers whatever the input, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     whole = "text" in carry and dict(docs.dtypes)["text"] == "string"
     chosen = docs.select(*carry) if whole else docs.select(*carry, F.col("text").cast("string").alias("_text"))
-    schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*carry).schema.add(added[0], "string").add(added[1], "double")
     at = carry.index("text") if whole else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame
         for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             names, scores = use(batch.column(at))
             columns = [batch.column(k) for k in range(len(carry))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*carry, *added])
 
     return chosen.mapInArrow(run, schema)
 
@@ -281,5 +281,6 @@ def identified(docs: DataFrame, per_label: int = 500) -> DataFrame:
     """
     model = fit(docs, fold() != 0, per_label)
     names = docs.columns
-    kept = predict(docs, model, names)
-    return kept.filter(F.col("lang_pred") != UNDETERMINED).select(*names) if model is not None else docs
+    free = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in names))  # clashes with no column
+    kept = predict(docs, model, names, (f"{free}pred", f"{free}score"))
+    return kept.filter(F.col(f"{free}pred") != UNDETERMINED).select(*names) if model is not None else docs
