@@ -6,6 +6,9 @@ byte positions give the same words as the pattern ``[^\\x20\\x09-\\x0D]+`` on ch
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -34,6 +37,33 @@ def held(name: object, build: Callable[[], T]) -> T:
     return _held[name]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: allocators keep it, and a worker between tasks has no use for it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library alone
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(task: Callable[[T], object]) -> Callable[[T], object]:
+    """A task function, of batches or of one group, after which the worker gives freed memory back."""
+
+    @functools.wraps(task)
+    def batches(given: T) -> Iterator:
+        try:
+            yield from task(given)
+        finally:
+            give_back()
+
+    @functools.wraps(task)
+    def group(given: T) -> object:
+        out = task(given)
+        give_back()
+        return out
+
+    return batches if inspect.isgeneratorfunction(task) else group
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers in which every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewright.llm.hashing import held, mix
+from tracewright.llm.hashing import held, mix, trimmed
 from tracewright.llm.storage import Scratch
 
 FEATURES = 1 << 16
@@ -158,6 +158,7 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def _frequencies(df: DataFrame) -> tuple[int, np.ndarray]:
     """Documents with letters, and how many of them have each feature."""
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, seen, n = held("grams", Grams), np.zeros(FEATURES, dtype=np.int64), 0
         for batch in batches:
@@ -195,6 +196,7 @@ def fit(docs: DataFrame, learnable: Column, per_label: int = 500, max_labels: in
     few = rows.filter(F.col("lang").isin(labels)).withColumn("rank", rank).filter(F.col("rank") < F.try_element_at(share, F.col("lang")))
     few = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("rank", "id", "text"))).filter(F.col("r") <= per_label)
 
+    @trimmed
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = held("grams", Grams)
         for batch in batches:
@@ -253,6 +255,7 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str], added: tuple
     schema = docs.select(*carry).schema.add(added[0], "string").add(added[1], "double")
     at = carry.index("text") if whole else len(carry)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = _predictor(shared.value)
         for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):

@@ -35,6 +35,8 @@ from tracewright.llm import hashing
 from tracewright.llm.storage import Scratch
 
 _UNIVERSE = 1 << 21
+#: Documents whose signatures are held at a time.
+_ROWS = 1024
 
 
 class Shingler:
@@ -85,9 +87,10 @@ class CirculantMinHash:
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, two 64-bit digests of the set, and the band keys (null for an empty set)."""
 
+    @hashing.trimmed
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketch = hashing.held(("signatures", shingle, bands, rows), lambda: (Shingler(shingle), CirculantMinHash(bands, rows)))
-        for batch in batches:
+        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             sizes, low, high, rest = [], [], [], []
             for s in shingler.sets(batch.column(1)):
                 sizes.append(len(s))
@@ -116,6 +119,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 def _linked(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) with texts a_text, b_text whose full sets are similar enough."""
 
+    @hashing.trimmed
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = hashing.held(("sets", shingle), lambda: Shingler(shingle))
         last, held = None, None

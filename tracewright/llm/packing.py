@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.hashing import held
+from tracewright.llm.hashing import held, trimmed
 from tracewright.llm.storage import Scratch
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -108,6 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> D
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = held(("tokens", tokenizer), lambda: ChunkCache(tokenizer))
         for batch in batches:
@@ -240,6 +241,7 @@ def _placed(table: pa.Table, level: int, shard: int, capacity: int, last: bool)
 
 
 def _repack(level: int, capacity: int, last: bool):
+    @trimmed
     def again(group: pa.Table) -> pa.Table:
         return _placed(group, level, group["shard"][0].as_py(), capacity, last)
 
@@ -251,6 +253,7 @@ def pack_pieces(pieces: DataFrame, length: int, shard_pieces: int, scratch: Scra
     shards = max(1, math.ceil(pieces.count() / shard_pieces))
     last = shards == 1
 
+    @trimmed
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if got:

@@ -46,6 +46,7 @@ def _list(values: np.ndarray | pa.Array, bounds: list[int]) -> pa.ListArray:
 def pack_documents(df: DataFrame, pack_bytes: int) -> DataFrame:
     """Neighbouring documents as one row: pack, ids, texts."""
 
+    @hashing.trimmed
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -222,6 +223,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 2 <<
     bits = _bits(spread)
     packs = scratch.keep_bucketed(pack_documents(docs, pack_bytes), "packs", "pack", max(shuffle, spread // 2))
 
+    @hashing.trimmed
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, _ = hashing.held("windows", _hashers)
         for batch in batches:
@@ -238,6 +240,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 2 <<
                     "flags": pa.array([np.packbits([block[a:b], again[a:b]]).tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()),
                 })
 
+    @hashing.trimmed
     def match_anchors(group: pa.Table) -> pa.Table:
         packs, sizes = group["pack"].to_pylist(), group["n"].to_pylist()
         hashes = np.concatenate([_unplanes(b, n, 4) for b, n in zip(group["hashes"].to_pylist(), sizes, strict=True)])
@@ -258,6 +261,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 2 <<
         *_, distinct, _, _ = _anchor_rows(pack, anchor, bits)
         return _answers(column, distinct >> np.uint64(_ANCHOR_BITS))
 
+    @hashing.trimmed
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, other = hashing.held("windows", _hashers)
         for batch in batches:
@@ -279,6 +283,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 2 <<
                     "least": pa.array([f[2] for f in framed], pa.binary()),
                 })
 
+    @hashing.trimmed
     def match_windows(group: pa.Table) -> pa.Table:
         packs, sizes = group["pack"].to_pylist(), group["n"].to_pylist()
         key = np.concatenate([_unplanes(b, n, 8) for b, n in zip(group["keys"].to_pylist(), sizes, strict=True)])
@@ -298,6 +303,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 2 <<
     earlier = scratch.keep(_by_pack(sent.groupBy("bucket").applyInArrow(match_windows, reply), "earlier"), "earlier")
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string, was string" * with_text
 
+    @hashing.trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, other = hashing.held("windows", _hashers)
         for batch in batches:
