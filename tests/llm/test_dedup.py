@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tracewright.llm import minhash, substring
+from tracewright.llm import minhash, storage, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -100,3 +102,40 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(df).count() == 0
     assert substring.repeated_passages(df).count() == 0
+
+
+def test_keep_one_by_broadcast_and_by_shuffle(spark, texts):
+    df = spark.createDataFrame([*texts, (None, texts[7][1])], "doc_id long, text string").withColumn("_gone", F.lit(1))
+    want = sorted(i for i, (_, _, kept) in brute_components(texts, 5, 80).items() if kept)
+    for id_bytes in (0, 8 << 20):
+        kept = minhash.keep_one(df, id_bytes=id_bytes)
+        assert kept.columns == df.columns
+        got = [r["doc_id"] for r in kept.collect()]
+        assert sorted(i for i in got if i is not None) == want
+        assert got.count(None) == 1
+
+
+def test_packs_of_a_task_share_a_bucket(spark):
+    df = spark.range(0, 300, 1, 3).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 20).alias("text"))
+    packs = substring.pack_documents(df, 2000, 50).select("pack", F.pmod(F.hash("pack"), F.lit(50)).alias("b"), F.spark_partition_id().alias("p"), F.explode("ids").alias("doc_id"))
+    rows = packs.collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(300))
+    assert {(r["p"], r["b"]) for r in rows} == {(p, p) for p in range(3)}
+    assert len({r["pack"] for r in rows}) > 20
+
+
+def test_spark_hash(spark):
+    numbers = [0, 1, -5, (3 << 32) + 17, 2**62, -(2**63)]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(F.hash("n")).collect()]
+    assert got == storage.spark_hash(np.array(numbers)).tolist()
+
+
+def test_limit_on_batches_is_only_lowered(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        for given, want in (("64m", storage.BATCH_BYTES), ("1m", "1m"), ("2048", 2048)):
+            spark.conf.set(key, given)
+            storage.limit_batches(spark)
+            assert spark.conf.get(key) == str(want)
+    finally:
+        spark.conf.unset(key)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracewright.llm.hashing import held, mix, trimmed
-from tracewright.llm.storage import Scratch
+from tracewright.llm.storage import limit_batches
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -182,6 +182,7 @@ def fit(docs: DataFrame, learnable: Column, per_label: int = 500, max_labels: in
 
     The driver holds per_label * max_labels feature vectors at most, and 2**16 counts.
     """
+    limit_batches(docs.sparkSession)
     rows = docs.filter(F.coalesce(learnable, F.lit(False)) & F.col("text").isNotNull())
     rows = rows.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     per = rows.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_labels).collect()

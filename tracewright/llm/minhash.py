@@ -213,7 +213,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents whose near-duplicate component has a smaller doc_id. All columns stay."""
-    gone = near_duplicates(docs, shingle, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_bytes: int = 8 << 20) -> DataFrame:
+    """docs without the documents whose near-duplicate component has a smaller doc_id. All columns stay.
+
+    id_bytes: the ids that go are broadcast while they need no more bytes than this, so that no text moves; beyond it,
+    the same join is a shuffle.
+    """
+    gone = near_duplicates(docs, shingle, percent, id_bytes=id_bytes).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = Scratch(docs.sparkSession, "gone").keep(gone, "ids")
+    few = 16 * gone.count() <= id_bytes
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -9,9 +9,14 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch, or one row; each task holds a few batches outside the JVM's heap.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder."""
@@ -24,10 +29,48 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def spark_hash(values: np.ndarray) -> np.ndarray:
+    """The hash by which Spark partitions and buckets a long column: Murmur3, 32 bits, seed 42."""
+    h = np.full(len(values), 42, dtype=np.uint32)
+    whole = values.astype(np.int64).view(np.uint64)
+    for k in ((whole & np.uint64(0xFFFFFFFF)).astype(np.uint32), (whole >> np.uint64(32)).astype(np.uint32)):
+        k = _rotated(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = _rotated(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+
+def numbers_in_bucket(first: int, bucket: int, buckets: int) -> Iterator[int]:
+    """The numbers from first on that bucketBy(buckets, ...) puts into one bucket, in order."""
+    step = 16 * buckets
+    while True:
+        tried = np.arange(first, first + step, dtype=np.int64)
+        yield from tried[spark_hash(tried) % buckets == bucket].tolist()
+        first += step
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on an Arrow batch to BATCH_BYTES; a lower one stays.
+
+    It stays lowered, as plans that an operator returns run later.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """The intermediate tables of one operator call, below one folder of its own."""
 
     def __init__(self, spark: SparkSession, label: str):
+        limit_batches(spark)
         self.spark = spark
         self.name = f"{label}_{uuid.uuid4().hex[:16]}"
         self.root = f"{shared_dir(spark)}/tracewright/{self.name}"

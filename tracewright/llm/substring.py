@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import hashing
-from tracewright.llm.storage import Scratch
+from tracewright.llm.storage import Scratch, numbers_in_bucket
 
 _PACK = "pack long, ids array<long>, texts array<string>"
 _ANCHOR_BITS, _WINDOW_BITS = 32, 48
@@ -43,22 +43,26 @@ def _list(values: np.ndarray | pa.Array, bounds: list[int]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
 
 
-def pack_documents(df: DataFrame, pack_bytes: int) -> DataFrame:
-    """Neighbouring documents as one row: pack, ids, texts."""
+def pack_documents(df: DataFrame, pack_bytes: int, buckets: int = 1) -> DataFrame:
+    """Neighbouring documents as one row: pack, ids, texts.
+
+    A task numbers its packs so that all of them fall into one of the buckets: it then writes one file.
+    """
 
     @hashing.trimmed
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
+        numbers = numbers_in_bucket(task << 32, task % buckets, buckets)
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
             texts = batch.column(1).cast(pa.string()).fill_null("")
             _, bounds = hashing.string_buffers(texts)
-            for i, j in hashing.runs(bounds, pack_bytes):
+            share = bounds[-1] / max(1, round(bounds[-1] / pack_bytes))
+            for i, j in hashing.runs(bounds, int(1.05 * share) + 1):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), _list(ids[i:j], [0, j - i]), _list(texts[i:j], [0, j - i])],
+                    [pa.array([next(numbers)], pa.int64()), _list(ids[i:j], [0, j - i]), _list(texts[i:j], [0, j - i])],
                     names=["pack", "ids", "texts"],
                 )
-                number += 1
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, _PACK)
 
@@ -221,7 +225,8 @@ def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 2 <<
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = max(2, math.ceil(total / bucket_bytes))
     bits = _bits(spread)
-    packs = scratch.keep_bucketed(pack_documents(docs, pack_bytes), "packs", "pack", max(shuffle, spread // 2))
+    buckets = max(shuffle, spread // 2)
+    packs = scratch.keep_bucketed(pack_documents(docs, pack_bytes, buckets), "packs", "pack", buckets)
 
     @hashing.trimmed
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
