@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -165,6 +166,25 @@ def test_local_search_empties_a_bin():
     assert sum(map(bool, bins.items)) == 3 and all(sum(bins.sizes[i] for i in b) <= 10 for b in bins.items)
 
 
+def test_local_search_looks_at_all_underfull_bins():
+    r = random.Random(1)
+    bins = packing.Bins([r.randint(400, 900) for _ in range(3000)], 2048)
+    bins.best_fit()
+    assert sum(map(bool, bins.items)) == 1021 and sum(map(bool, bins.free)) == 546
+    bins.search()
+    assert sorted(i for b in bins.items for i in b) == list(range(3000))
+    assert all(sum(bins.sizes[i] for i in b) + f == 2048 for b, f in zip(bins.items, bins.free, strict=True))
+    assert sum(map(bool, bins.items)) <= 1000
+    # No trade that gains is left.
+    underfull = [([bins.sizes[i] for i in b], f) for b, f in zip(bins.items, bins.free, strict=True) if b and f]
+    sums = lambda x, n: {sum(c) for k in n for c in combinations(x, k)}
+    for a, (mine, free) in enumerate(underfull):
+        for b, (theirs, room) in enumerate(underfull):
+            if a != b and room <= free:
+                for give, take in (([1, 2], [0, 1]), ([1], [2])):
+                    assert not any(0 < g - t <= room for g in sums(mine, give) for t in sums(theirs, take))
+
+
 def test_binomial_tail(spark):
     for n, k, p in [(10, 0, 0.1), (300, 2, 0.02), (5000, 60, 0.02), (100000, 1900, 0.02), (50, 40, 0.1)]:
         exact = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)) if k < n * p else 1.0

@@ -5,8 +5,8 @@ the last piece may be shorter. Full pieces are sequences by themselves; the othe
 
 Method. Pieces are dealt evenly to shards of about ``shard_pieces``. A shard is packed best-fit, longest piece first, and
 then improved: from the emptiest underfull sequence a piece moves to a fuller one, or is exchanged for a shorter piece or
-for two shorter ones there, or two of its pieces for a shorter one, as long as the sum of squared fills grows and until
-sequences empty. Full sequences are final; the pieces of underfull ones go on to the next level, where 64 shards' pieces
+for two shorter ones there, or two of its pieces for a shorter one, as long as the sum of squared fills grows: until as
+few sequences are left as the lengths' sum needs, or no such trade among all underfull sequences is left. Full sequences are final; the pieces of underfull ones go on to the next level, where 64 shards' pieces
 become one, until one shard is left. So the loss is a sequence or so for the whole corpus, not one for each shard.
 
 Tokens. Blanks always separate words in the tokenizer's pre-tokenisation, so a text's ids are those of its
@@ -163,57 +163,125 @@ class Bins:
         self.free[a] += gain
         self.free[b] -= gain
 
-    def _improve(self, a: int, others: list[int]) -> bool:
-        """One trade that makes a fuller bin of others fuller at the cost of bin a: the largest gain found."""
-        best: tuple[int, list[int], int, list[int]] | None = None
-        mine = {}
-        for i in self.items[a]:
-            mine.setdefault(self.sizes[i], i)
-        sums = {x + y: (i, j) for x, i in mine.items() for y, j in mine.items() if x < y}
-        for b in others:
-            room = self.free[b]
-            if b == a or not self.items[b] or not room or room > self.free[a]:
-                continue
-            most = best[0] if best else 0
-            theirs = {}
-            for i in self.items[b]:
-                theirs.setdefault(self.sizes[i], i)
-            offers = [(0, [])] + [(x, [i]) for x, i in theirs.items()]
-            offers += [(x + y, [i, j]) for x, i in theirs.items() for y, j in theirs.items() if x < y]
-            for take, out in offers:
-                for gain in range(room, most, -1):
-                    if take + gain in mine:
-                        best, most = (gain, [mine[take + gain]], b, out), gain
-                        break
-                    if len(out) <= 1 and take + gain in sums:
-                        best, most = (gain, list(sums[take + gain]), b, out), gain
+    def search(self) -> None:
+        """Empties underfull bins, the emptiest first, until the bound is met or no trade between underfull bins gains."""
+        left = sum(map(bool, self.items)) + sum(self.sizes) // -self.capacity
+        underfull = [b for b in range(len(self.items)) if self.items[b] and self.free[b]]
+        if left <= 0 or len(underfull) < 2:
+            return
+        offers = Offers(self.capacity)
+        for b in underfull:
+            offers.put(b, self.free[b], self._by_size(b))
+        seen = dict.fromkeys(underfull, 0)  # offers before it can't gain for the bin as it is
+        moved = True
+        while moved:
+            moved = False
+            for a in sorted(underfull, key=lambda b: -self.free[b]):
+                while self.items[a] and self.free[a]:
+                    mine = self._by_size(a)
+                    trade = offers.best(a, self.free[a], mine, seen[a])
+                    if trade is None:
+                        seen[a] = offers.n
                         break
-                if most == room:
-                    break
-            if best and best[0] == room:
-                break
-        if best is None:
-            return False
-        self._trade(a, best[1], best[2], best[3])
-        return True
-
-    def search(self, trades: int = 2000, most_bins: int = 64) -> None:
-        """Empties underfull bins, the emptiest first, until the bound is met or no trade gains.
-
-        The bins looked at are the most_bins emptiest underfull ones; those left over go to the next level anyway.
+                    b, take, pair, value = trade
+                    give = _chosen(mine, value, [1] if pair else [1, 2])
+                    self._trade(a, give, b, _chosen(self._by_size(b), take, [2] if pair else [0, 1]))
+                    moved = True
+                    for x in (a, b):
+                        if offers.put(x, self.free[x], self._by_size(x) if self.items[x] and self.free[x] else {}):
+                            seen = dict.fromkeys(seen, 0)
+                        seen[x] = 0
+                    if not self.items[a]:
+                        left -= 1
+                        if not left:
+                            return
+            underfull = [b for b in underfull if self.items[b] and self.free[b]]
+
+    def _by_size(self, b: int) -> dict[int, list[int]]:
+        found: dict[int, list[int]] = {}
+        for i in self.items[b]:
+            found.setdefault(self.sizes[i], []).append(i)
+        return found
+
+
+def _pairs(by_size: dict[int, list[int]]) -> set[int]:
+    """Sums of two different items."""
+    sizes = sorted(by_size)
+    return {x + y for k, x in enumerate(sizes) for y in sizes[k + 1 :]} | {2 * x for x in sizes if len(by_size[x]) > 1}
+
+
+def _chosen(by_size: dict[int, list[int]], total: int, counts: list[int]) -> list[int]:
+    """Items that sum to total: as many as counts allows, the first that is possible."""
+    for n in counts:
+        if n == 0 and total == 0:
+            return []
+        if n == 1 and total in by_size:
+            return [by_size[total][0]]
+        if n == 2:
+            for x, i in by_size.items():
+                if total - x in by_size and (2 * x != total or len(i) > 1):
+                    return [i[0], by_size[total - x][1 if 2 * x == total else 0]]
+    raise ValueError("no items of this sum")
+
+
+class Offers:
+    """What bins give for something longer: sums of none, one or two of their items, with the room they have besides.
+
+    Only grows, until it is rewritten without the withdrawn offers: what comes after a place is new since then.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity, self.n, self.withdrawn = capacity, 0, 0
+        self.where: dict[int, tuple[int, int]] = {}
+        self.rows = np.empty((4, 1024), dtype=np.int32)  # bin, sum, room, 1 if of two items
+
+    def put(self, b: int, room: int, by_size: dict[int, list[int]]) -> bool:
+        """Replaces bin b's offers, by none if by_size is empty; True if all offers have moved."""
+        start, end = self.where.pop(b, (0, 0))
+        self.rows[1, start:end], self.rows[2, start:end] = self.capacity, 0
+        self.withdrawn += end - start
+        one, two = ([0, *by_size], sorted(_pairs(by_size))) if by_size else ([], [])
+        more, moved = len(one) + len(two), self.withdrawn > 4096 and 2 * self.withdrawn > self.n
+        if moved:
+            self._rewrite()
+        while self.n + more > self.rows.shape[1]:
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)], axis=1)
+        if more:
+            to = self.n + more
+            self.rows[0, self.n : to], self.rows[1, self.n : to], self.rows[2, self.n : to] = b, one + two, room
+            self.rows[3, self.n : to] = [0] * len(one) + [1] * len(two)
+            self.where[b], self.n = (self.n, to), to
+        return moved
+
+    def _rewrite(self) -> None:
+        kept = sorted(self.where.items(), key=lambda x: x[1])
+        pieces = [self.rows[:, s:e] for _, (s, e) in kept]
+        at = 0
+        for b, (s, e) in kept:
+            self.where[b], at = (at, at + e - s), at + e - s
+        self.rows = np.concatenate([*pieces, np.empty((4, at + 1024), dtype=np.int32)], axis=1)
+        self.n, self.withdrawn = at, 0
+
+    def best(self, a: int, free: int, by_size: dict[int, list[int]], since: int) -> tuple[int, int, bool, int] | None:
+        """Bin, sum taken, whether of two items, sum given: the largest gain for a bin not emptier than a; None without gain.
+
+        Two of a's items go for none or one only, one of them for none, one or two.
         """
-        bound = -(-sum(self.sizes) // self.capacity)
-        open_bins = sorted((b for b in range(len(self.items)) if self.free[b]), key=lambda b: -self.free[b])[:most_bins]
-        while trades and sum(map(bool, self.items)) > bound:
-            moved = False
-            for a in sorted((b for b in open_bins if self.items[b]), key=lambda b: -self.free[b]):
-                others = sorted((b for b in open_bins if b != a), key=lambda b: self.free[b])
-                while trades and self.items[a] and self._improve(a, others):
-                    trades, moved = trades - 1, True
-                if not self.items[a]:
-                    break
-            if not moved:
-                break
+        if since == self.n:
+            return None
+        most = np.zeros((2, self.capacity + 1), dtype=np.int32)  # the largest sum of a's up to each size
+        ones = list(by_size)
+        most[:, ones] = ones
+        twos = [x for x in _pairs(by_size) if x <= self.capacity]
+        most[0, twos] = twos
+        np.maximum.accumulate(most, axis=1, out=most)
+        bins, sums, rooms, pair = self.rows[:, since : self.n]
+        gains = most[pair, sums + rooms] - sums
+        gains[(rooms > free) | (bins == a)] = 0
+        k = int(gains.argmax())
+        if gains[k] <= 0:
+            return None
+        return int(bins[k]), int(sums[k]), bool(pair[k]), int(gains[k] + sums[k])
 
 
 def pack_shard(lengths: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
