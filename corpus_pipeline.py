@@ -36,8 +36,9 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=0)
+    """Where each piece of each document lies in sequences of 2048 tokens, numbered in the order of the mixture."""
+    docs = mixing.numbered(docs)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=0, shard_pieces=1024, order="_position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

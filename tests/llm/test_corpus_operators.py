@@ -159,6 +159,39 @@ def test_packing(spark):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 64) + 1
 
 
+@pytest.mark.parametrize("weights", [{"hot": 1, "b": 1, "c": 2}, None])
+def test_packing_keeps_the_mixture(spark, tmp_path, weights):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    docs = [(i, r.choice("hhhhhhbc").replace("h", "hot"), "one two three " * r.choice([3, r.randint(1, 60), r.randint(60, 300), 900])) for i in range(6000)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    mixing.mixture(df, weights=weights, block_rows=4).write.parquet(str(tmp_path / "mixed"))
+    order = {x["doc_id"]: x["_position"] for x in mixing.mix(df, weights, block_rows=4).collect()}
+    stored = spark.read.parquet(str(tmp_path / "mixed"))
+    assert {x["doc_id"]: x["_position"] for x in mixing.numbered(stored).select("doc_id", "_position").collect()} == order
+    got = corpus_pipeline.stage_packing(spark, stored, "").toPandas().sort_values(["sequence_id", "offset"])
+    assert set(got.doc_id) == set(order) and not got.duplicated(["doc_id", "piece"]).any()
+    for _, bin_ in got.groupby("sequence_id"):
+        assert (bin_.offset == bin_.length.cumsum() - bin_.length).all() and bin_.length.sum() <= 2048
+    n = got[got.length < 2048].shape[0]
+    ranges = -(-n // 1024)
+    width = -(-len(docs) // ranges)
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 2 * ranges
+    rows = {s: sum(x[1] == s for x in docs) for s in ("hot", "b", "c")}
+    target, source = weights or mixing.tempered(rows, 0.5, 1000), {x[0]: x[1] for x in docs}
+    # All sources have blocks left as long as each has rows for its share.
+    full = min(rows[s] * sum(target.values()) / w for s, w in target.items())
+    ends = range(width, len(docs), width)
+    assert len(ends) > 2 and ends[0] < full
+    for end in ends:
+        prefix = set(got[got.sequence_id < end << 20].doc_id)
+        assert prefix == {i for i, at in order.items() if at < end}
+        if end < full - 50:
+            for s, w in target.items():
+                assert abs(sum(source[i] == s for i in prefix) - end * w / sum(target.values())) <= 8
+
+
 def test_local_search_empties_a_bin():
     bins = packing.Bins([6, 6, 4, 4, 5, 5], 10)
     bins.items, bins.free = [[0], [1], [2, 4], [3, 5]], [4, 4, 1, 1]

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,3 +134,17 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixing")
     placed = scratch.keep(mix(docs, **options), "placed")
     return placed.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Stored docs with _position, their place from 0 by file and row: for a stored mixture the place in the mixture."""
+    at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # One row a file.
+    files = [(r["_file"], r["n"]) for r in at.groupBy("_file").agg((F.max("_row") + 1).alias("n")).collect()]
+    files.sort(key=lambda x: (int((re.findall(r"part-(\d+)", x[0]) or [0])[-1]), x[0]))
+    before, base = 0, []
+    for name, n in files:
+        base.append((name, before))
+        before += n
+    bases = docs.sparkSession.createDataFrame(base, "_file string, _base long")
+    return at.join(F.broadcast(bases), "_file").select(*docs.columns, (F.col("_base") + F.col("_row")).alias("_position"))

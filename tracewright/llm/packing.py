@@ -9,6 +9,11 @@ for two shorter ones there, or two of its pieces for a shorter one, as long as t
 few sequences are left as the lengths' sum needs, or no such trade among all underfull sequences is left. Full sequences are final; the pieces of underfull ones go on to the next level, where 64 shards' pieces
 become one, until one shard is left. So the loss is a sequence or so for the whole corpus, not one for each shard.
 
+Order. If the documents have positions, each range of consecutive positions is packed by itself, without further levels,
+and a sequence's number is the place (position, then piece) of its longest piece, the first of equal ones. So the
+sequences numbered up to a range's end hold exactly the pieces of the documents up to there; the loss is a sequence or so
+for each range.
+
 Tokens. Blanks always separate words in the tokenizer's pre-tokenisation, so a text's ids are those of its
 blank-separated chunks put together, and a bounded cache holds the ids of chunks already seen.
 
@@ -33,8 +38,9 @@ from pyspark.sql import functions as F
 from tracewright.llm.hashing import held, trimmed
 from tracewright.llm.storage import Scratch
 
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 _PLACED = f"{_PIECE}, sequence_id long, offset long, final boolean"
+_PIECE_BITS = 20  # of a place; the others are the document's position
 _CHUNKS, _TOKENS = 600_000, 1_000_000
 
 
@@ -104,8 +110,8 @@ class ChunkCache(dict):
         return b"".join(parts)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, order: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document, and its place if order has positions."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     @trimmed
@@ -113,14 +119,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> D
         cache = held(("tokens", tokenizer), lambda: ChunkCache(tokenizer))
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = cache.ids(text.as_py() or "") + end
                 n = len(ids) // 4
-                rows += [(doc_id, k, s, min(length, n - s), zlib.crc32(ids[4 * s : 4 * (s + length)])) for k, s in enumerate(range(0, n, length))]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                if at is not None and n > length << _PIECE_BITS:
+                    raise ValueError(f"document {doc_id} has more than {1 << _PIECE_BITS} pieces")
+                rows += [(doc_id, k, s, min(length, n - s), zlib.crc32(ids[4 * s : 4 * (s + length)]), None if at is None else (at << _PIECE_BITS) + k) for k, s in enumerate(range(0, n, length))]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "place"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _PIECE)
+    at = (F.col(order) if order else F.lit(None)).cast("long").alias("place")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), at).mapInArrow(cut, _PIECE)
 
 
 class Bins:
@@ -301,10 +310,17 @@ def pack_shard(lengths: list[int], capacity: int) -> tuple[np.ndarray, np.ndarra
 
 def _placed(table: pa.Table, level: int, shard: int, capacity: int, last: bool) -> pa.Table:
     # By content first: a task that runs again may get its rows in another order.
-    table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")])
-    place, offset, full = pack_shard(table["length"].to_pylist(), capacity)
-    out = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
-    out = out.append_column("sequence_id", pa.array((np.int64(level) << 58) + (np.int64(shard) << 26) + place))
+    table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32", "place")])
+    lengths, places = table["length"].to_pylist(), table["place"].to_pylist()
+    bins, offset, full = pack_shard(lengths, capacity)
+    if places and places[0] is not None:
+        longest: dict[int, tuple[int, int]] = {}
+        for b, n, place in zip(bins.tolist(), lengths, places, strict=True):
+            longest[b] = min(longest.get(b, (0, 0)), (-n, place))
+        number = np.array([longest[b][1] for b in bins.tolist()], dtype=np.int64)
+    else:
+        number = (np.int64(level) << 58) + (np.int64(shard) << 26) + bins
+    out = table.select(["doc_id", "piece", "start", "length", "ids_crc32", "place"]).append_column("sequence_id", pa.array(number))
     return out.append_column("offset", pa.array(offset)).append_column("final", pa.array(full | last))
 
 
@@ -338,10 +354,24 @@ def pack_pieces(pieces: DataFrame, length: int, shard_pieces: int, scratch: Scra
     return done.drop("final")
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, shard_pieces: int = 16384) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; tokenizer: path of a vocabulary."""
+def pack_ranges(pieces: DataFrame, length: int, range_pieces: int) -> DataFrame:
+    """Like pack_pieces(), each range of consecutive positions, of about range_pieces, by itself."""
+    size = pieces.agg(F.count("*").alias("n"), F.max(F.shiftright("place", _PIECE_BITS)).alias("last")).first()
+    positions = math.ceil(((size["last"] or 0) + 1) / max(1, math.ceil(size["n"] / range_pieces)))
+    ranges = pieces.withColumn("shard", F.floor(F.shiftright("place", _PIECE_BITS) / positions).cast("long"))
+    return ranges.groupBy("shard").applyInArrow(_repack(0, length, True), _PLACED).drop("final")
+
+
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, shard_pieces: int = 16384, order: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; tokenizer: path of a vocabulary.
+
+    order: column of the documents' different positions (from 0, below 2**43) that the sequences are to keep.
+    """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.keep(token_pieces(docs, tokenizer, length, end_id), "pieces")
+    pieces = scratch.keep(token_pieces(docs, tokenizer, length, end_id, order), "pieces")
     whole = pieces.filter(F.col("length") == length)
-    whole = whole.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return pack_pieces(pieces.filter(F.col("length") < length), length, shard_pieces, scratch).unionByName(whole)
+    number = F.col("place") if order else -1 - F.monotonically_increasing_id()
+    whole = whole.withColumn("sequence_id", number).withColumn("offset", F.lit(0).cast("long"))
+    short = pieces.filter(F.col("length") < length)
+    packed = pack_ranges(short, length, shard_pieces) if order else pack_pieces(short, length, shard_pieces, scratch)
+    return packed.unionByName(whole).drop("place")
