@@ -93,3 +93,16 @@ def test_components(spark, trade):
         left -= part
         want += [(x, least) for x in part]
     assert rows(spark, "connected_components_whole") == sorted(want)
+
+
+def test_dominators(spark, duck, trade):
+    edges = {(a, b) for a, b in trade if b % 8 != 1}
+    edges |= set(duck.execute("SELECT 7, r_regionkey * 8 FROM region UNION SELECT n_regionkey * 8, n_nationkey * 8 + 1 FROM nation").fetchall())
+    after = defaultdict(list)
+    for a, b in edges:
+        after[a].append(b)
+    nodes = set(steps(after, [7]))
+    want = [(n, 7) for n in nodes]
+    for gone in nodes - {7}:
+        want += [(n, gone) for n in (nodes - set(steps(after, [7], gone)) if gone in after else {gone})]
+    assert len(nodes) > 1500 and rows(spark, "dominators_whole") == sorted(want)

@@ -87,3 +87,11 @@ def nearest_seeds_whole(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def connected_components_whole(spark: SparkSession, d: str) -> DataFrame:
     return G.components(_edges(spark, d, *TRADE))
+
+
+@query()
+def dominators_whole(spark: SparkSession, d: str) -> DataFrame:
+    """From a root above the regions down to the suppliers of the parts ordered."""
+    root = 7  # key 0 of a kind that no table has
+    top = table(spark, d, "region").select(F.lit(root).cast("long").alias("src"), _node("region", "r_regionkey").alias("dst"))
+    return G.dominators(top.union(_edges(spark, d, "region", "customer", "order", "part", "supplier")), root)
