@@ -10,9 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.operators import aggregates as A
 from tracewright.operators import graph as G
+from tracewright.operators import joins as J
 from tracewright.queries import Query
-from tracewright.sources.tables import table
+from tracewright.sources.tables import conflicts, new_rows, table
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -95,3 +97,36 @@ def dominators_whole(spark: SparkSession, d: str) -> DataFrame:
     root = 7  # key 0 of a kind that no table has
     top = table(spark, d, "region").select(F.lit(root).cast("long").alias("src"), _node("region", "r_regionkey").alias("dst"))
     return G.dominators(top.union(_edges(spark, d, "region", "customer", "order", "part", "supplier")), root)
+
+
+@query("""
+SELECT source, CASE WHEN count(DISTINCT toxic) = 1 THEN min(CASE toxic WHEN 1 THEN 'false' ELSE 'real' END) ELSE 'conflict' END AS verdict
+FROM labels JOIN documents USING (doc_id) GROUP BY source""")
+def verdict_conflicts_whole(spark: SparkSession, d: str) -> DataFrame:
+    given = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return A.verdicts(given.withColumn("v", F.when(F.col("toxic") == 1, "false").otherwise("real")), ["source"], "v")
+
+
+@query("""
+SELECT DISTINCT s_suppkey, c_custkey FROM supplier, customer WHERE (s_nationkey = c_nationkey AND c_mktsegment = 'BUILDING') OR (s_suppkey = c_custkey AND c_mktsegment = 'BUILDING')""")
+def theta_or_whole(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey", "c_nationkey")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    return J.match_either(s, c, [("s_nationkey", "c_nationkey"), ("s_suppkey", "c_custkey")]).select("s_suppkey", "c_custkey").distinct()
+
+
+@query("""
+SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'O')
+WHERE r = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
+def insert_if_absent_whole(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return new_rows(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_orderkey")
+
+
+@query("""
+SELECT doc_id FROM documents a JOIN (SELECT doc_id, lang, CASE WHEN n_chars > 2000 THEN 'moved' ELSE source END AS source FROM documents) b USING (doc_id)
+WHERE a.source <> b.source OR a.lang <> b.lang""")
+def immutable_conflicts_whole(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    again = docs.withColumn("source", F.when(F.col("n_chars") > 2000, "moved").otherwise(F.col("source")))
+    return conflicts(docs.drop("n_chars"), again.drop("n_chars"), ["doc_id"], ["lang", "source"])
