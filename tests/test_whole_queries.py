@@ -131,3 +131,10 @@ def test_verdicts_of_all_labels(spark, tmp_path):
 
 def test_conflicts_of_odd_ids(spark):
     assert any(r["doc_id"] % 2 for r in whole.queries()["immutable_conflicts_whole"](spark, FOLDER).collect())
+
+
+def test_slug_of_whole_text(spark, tmp_path):
+    rows = [(1, 0, "-" * 200 + "A b"), (1, 1, "x" * 199 + " y" * 50)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").toPandas().to_parquet(tmp_path / "conversations.parquet")
+    got = {r["turn"]: r["slug"] for r in whole.queries()["text_normalisation_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: "a_b", 1: "x" * 199 + "_y" * 50}

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions import scalars as S
 from tracewright.operators import aggregates as A
 from tracewright.operators import graph as G
 from tracewright.operators import joins as J
@@ -130,3 +131,10 @@ def immutable_conflicts_whole(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
     again = docs.withColumn("source", F.when(F.col("n_chars") > 2000, "moved").otherwise(F.col("source")))
     return conflicts(docs.drop("n_chars"), again.drop("n_chars"), ["doc_id"], ["lang", "source"])
+
+
+@query(r"""
+SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
+  left(regexp_replace(trim(text), '\s+', ' ', 'g'), 80) AS short FROM conversations""")
+def text_normalisation_whole(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", S.slug(F.col("text")).alias("slug"), S.compact(F.col("text"), 80).alias("short"))
