@@ -139,3 +139,55 @@ def test_limit_on_batches_is_only_lowered(spark):
             assert spark.conf.get(key) == str(want)
     finally:
         spark.conf.unset(key)
+
+
+@pytest.fixture(scope="module")
+def crowd():
+    """One dense group of near copies at all similarities, and ids that repeat with other texts."""
+    r = random.Random(8)
+    base, out = [f"x{k}" for k in range(80)], []
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(r.randrange(0, 12)):
+            copy[r.randrange(len(copy))] = f"new{r.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("limits", [{"block_rows": 16}, {"block_shingles": 500, "giant_blocks": 3, "id_bytes": 0}])
+def test_dense_group_in_blocks(spark, crowd, limits):
+    df = spark.createDataFrame(crowd, "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in minhash.near_duplicates(df, 4, **limits).collect()}
+    assert got == brute_components(crowd, 4, 80)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(20):
+        one, two = ([f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+        rows += [(i, " ".join(one)), (i, " ".join(two)), (100 + i, " ".join([*two[:-1], "end"]))]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    got = sorted(tuple(x) for x in minhash.near_duplicates(df, 4).select("doc_id", "component_id", "kept").collect())
+    assert got == sorted([(i, i, True) for i in range(20)] * 2 + [(0, 0, True)] + [(100 + i, i, False) for i in range(20)])
+    assert minhash.keep_one(df).count() == 41
+
+
+def test_forest_connects_what_brute_force_does():
+    r = random.Random(3)
+    for _ in range(30):
+        sets = [np.array(sorted(r.sample(range(30), r.randrange(1, 28))), dtype=np.uint64) for _ in range(40)]
+        sides = [r.randrange(2) for _ in sets] if r.random() < 0.5 else None
+        got = minhash.forest(sets, list(range(40)), sides, 60)
+        similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 60 * len(np.union1d(a, b))
+        want = [(i, j) for i in range(40) for j in range(i) if similar(sets[i], sets[j]) and (sides is None or sides[i] != sides[j])]
+
+        def grouped(pairs):
+            root = list(range(40))
+            for _ in root:
+                for i, j in pairs:
+                    root[i] = root[j] = min(root[i], root[j])
+            return root
+
+        assert all(similar(sets[i], sets[j]) for i, j in got)
+        assert grouped(got) == grouped(want)

@@ -9,27 +9,30 @@ the second, shifted circularly by k places, orders them for coordinate k. The co
 one contiguous slice. Signatures are cut into bands; documents that agree in a whole band are candidates, and a candidate
 counts only after its full shingle sets, recomputed from the whole texts, have been compared.
 
-Scale. Documents with equal sets become one class first. Within a bucket of classes no set of all pairs is made: in each
-round the smallest active members are pivots, every active member that isn't yet in a pivot's component is compared with
-it, and the pivots retire. Two members of a bucket are thus either compared or already connected when one retires, so
-components are exactly those of all candidate pairs; a bucket of one group ends after one round. The number of pivots
-doubles from round to round. Components are found by alternating large-star and small-star steps. Each step is written to
-the shared folder. With 64 bands of 8 rows a pair at a Jaccard similarity of 0.8 is missed with probability 8e-6, and
-different documents that share a passage of half their shingles meet in a bucket in one of 256 cases a band.
+Scale. Documents with equal sets become one class first. A bucket proposes no set of pairs: each class is only tied to the
+smallest class of its bucket, and the components of these ties are clusters that hold every candidate pair. A cluster's
+texts go once to a task, which compares its classes there and returns a spanning forest of their links, so no table of
+pairs exists anywhere. Within a task two classes are compared only if they are not connected yet and if their sizes, less
+the shingles that no other class of the task has, still allow the similarity. A cluster of more than ``block_rows``
+classes is dealt to blocks, and a task gets two blocks; one of more than ``giant_blocks`` blocks is first thinned by
+verifying its ties, then taken bucket by bucket, where blocks of one component don't meet each other. Components are
+found by alternating large-star and small-star steps. Each step is written to the shared folder. With 64 bands of 8 rows
+a pair at a Jaccard similarity of 0.8 is missed with probability 8e-6.
 
 Defined cases. Null text: empty set. Null doc_id: linked with nothing, component_id null, kept. Rows that share a doc_id
-are one document with several sets. Empty table: no rows. Extra columns are ignored (``keep_one`` keeps them).
+are rows like others, each judged by its own text; a component is named by the smallest doc_id in it. Empty table: no
+rows. Extra columns are ignored (``keep_one`` keeps them).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tracewright.llm import hashing
 from tracewright.llm.storage import Scratch
@@ -85,14 +88,14 @@ class CirculantMinHash:
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit digests of the set, and the band keys (null for an empty set)."""
+    """doc_id, text_hash, n_shingles, two 64-bit digests of the set, and the band keys (null for an empty set)."""
 
     @hashing.trimmed
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketch = hashing.held(("signatures", shingle, bands, rows), lambda: (Shingler(shingle), CirculantMinHash(bands, rows)))
         for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             sizes, low, high, rest = [], [], [], []
-            for s in shingler.sets(batch.column(1)):
+            for s in shingler.sets(batch.column(2)):
                 sizes.append(len(s))
                 low.append(int(np.bitwise_xor.reduce(hashing.mix(s))) if len(s) else 0)
                 high.append(int(np.add.reduce(hashing.mix(s ^ np.uint64(0x9E3779B97F4A7C15)))) if len(s) else 0)
@@ -104,37 +107,135 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array(np.array(low, dtype=np.uint64).view(np.int64)),
                     pa.array(np.array(high, dtype=np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
                 ],
-                names=["doc_id", "n_shingles", "low", "high", "keys"],
+                names=["doc_id", "text_hash", "n_shingles", "low", "high", "keys"],
             )
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(sign, "doc_id long, n_shingles long, low long, high long, keys array<long>")
+    return _texts(docs).mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, low long, high long, keys array<long>")
 
 
-def _linked(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with texts a_text, b_text whose full sets are similar enough."""
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def forest(sets: list[np.ndarray], labels: list[int], sides: list[int] | None, percent: int) -> list[tuple[int, int]]:
+    """Places (i, j) of similar sets, as few as connect what similar sets and equal labels connect.
+
+    sides: sets of one side are not compared. Sets are arrays of distinct hashes and not empty.
+    """
+    k = len(sets)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    bounds = np.append(0, np.cumsum(sizes))
+    _, ids, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.add.reduceat((seen[ids] > 1).astype(np.int64), bounds[:-1])  # shingles that another set has as well
+    weight = np.add.reduceat(seen[ids], bounds[:-1]) / sizes
+    _, group = np.unique(np.array(labels, dtype=np.int64), return_inverse=True)
+    side = None if sides is None else np.array(sides)
+    flag, left, out = np.zeros(len(seen), dtype=np.int64), np.ones(k, dtype=bool), []
+    # Sets of common shingles first: they connect most.
+    for i in np.argsort(-weight, kind="stable").tolist():
+        left[i] = False
+        most = np.minimum(common, common[i])
+        may = left & (group != group[i]) & (100 * most >= percent * (sizes + sizes[i] - most))
+        if side is not None:
+            may &= side != side[i]
+        if not may.any():
+            continue
+        mine = ids[bounds[i] : bounds[i + 1]]
+        flag[mine] = 1
+        others = np.flatnonzero(may)
+        if 4 * sizes[others].sum() < len(ids):
+            shared = np.array([flag[ids[bounds[j] : bounds[j + 1]]].sum() for j in others])
+        else:
+            shared = np.add.reduceat(flag[ids], bounds[:-1])[others]
+        flag[mine] = 0
+        for j in others[100 * shared >= percent * (sizes[others] + sizes[i] - shared)].tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                out.append((i, j))
+    return out
+
+
+_ROW = "u long, x long, y long, part long, side int, label long, node long"
+_UNIT = ["u", "x", "y"]
+
+
+def _compared(wanted: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int, id_bytes: int) -> DataFrame:
+    """The links (a, b) of each unit (u, x, y) of wanted, a table of _ROW; parts are compared each by itself."""
 
     @hashing.trimmed
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(group: pa.Table) -> pa.Table:
         shingler = hashing.held(("sets", shingle), lambda: Shingler(shingle))
-        last, held = None, None
-        for batch in batches:
-            a = batch.column(0).to_pylist()
-            texts = batch.column(2)
-            good = []
-            for k, other in enumerate(shingler.sets(batch.column(3))):
-                if a[k] != last:
-                    last, held = a[k], next(shingler.sets(texts.slice(k, 1)))
-                shared = len(np.intersect1d(held, other, assume_unique=True))
-                good.append(100 * shared >= percent * (len(held) + len(other) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long")
+        order = group.select(["part", "node"]).append_column("at", pa.array(range(group.num_rows))).sort_by([("part", "ascending"), ("node", "ascending"), ("at", "ascending")])["at"].to_numpy()
+        part, node, side, label = (group[c].to_numpy()[order] for c in ("part", "node", "side", "label"))
+        # A class whose text occurs in repeated rows comes once for each.
+        new = np.append(True, (part[1:] != part[:-1]) | (node[1:] != node[:-1]))
+        order, part, node, side, label = order[new], part[new], node[new], side[new], label[new]
+        texts = group["text"].combine_chunks()
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        a, b = [], []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if hi - lo > 1:
+                sets = list(shingler.sets(texts.take(pa.array(order[lo:hi]))))
+                sides = side[lo:hi].tolist() if side[lo:hi].any() else None
+                for i, j in forest(sets, label[lo:hi].tolist(), sides, percent):
+                    a.append(node[lo + i])
+                    b.append(node[lo + j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    wanted = wanted.join(classes.select("node", F.col("rep").alias("doc_id"), "text_hash"), "node")
+    few = 96 * wanted.count() <= id_bytes
+    rows = _texts(docs).join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"])
+    return rows.select(*_UNIT, "part", "side", "label", "node", "text").groupBy(*_UNIT).applyInArrow(compare, "a long, b long")
+
+
+def _blocks(block_rows: int, block_shingles: int) -> Column:
+    return F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("long").alias("blocks")
+
+
+def _units(sized: DataFrame, spread: int, giant_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of _ROW for the clusters (node, cluster, blocks) of at most giant_blocks, and the nodes of the others."""
+    none, zero = F.lit(-1).cast("long"), F.lit(0)
+    small = sized.filter("blocks = 1").select(F.pmod(F.xxhash64("cluster"), F.lit(spread)).cast("long").alias("u"), none.alias("x"), none.alias("y"), F.col("cluster").alias("part"), zero.alias("side"), F.col("node").alias("label"), "node")
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("long")
+    dealt = sized.filter(F.col("blocks").between(2, giant_blocks)).withColumn("own", own)
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("own") > F.col("other"), 1).otherwise(0)
+    large = dealt.select(F.col("cluster").alias("u"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.lit(0).cast("long").alias("part"), side.alias("side"), F.col("node").alias("label"), "node")
+    # Two blocks compare across; one block with itself has one side.
+    return small.unionByName(large), sized.filter(F.col("blocks") > giant_blocks).select("node")
+
+
+def _bucket_units(members: DataFrame, labels: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """The rows of _ROW for members (node, n, key), bucket by bucket; labels (node, root): what is connected already.
+
+    A label of more than a block has blocks of its own in a bucket, which meet all blocks there but those.
+    """
+    labelled = members.join(labels, "node", "left").select("node", "n", "key", F.coalesce("root", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    labelled = labelled.join(mixed, "key", "left_semi")
+    per = labelled.groupBy("key", "label").agg(_blocks(block_rows, block_shingles), F.sum("n").alias("n"), F.count("*").alias("m"))
+    rest = per.filter("blocks = 1").groupBy("key").agg(F.greatest(F.ceil(F.sum("m") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("long").alias("shared"))
+    rows = labelled.join(per.select("key", "label", "blocks"), ["key", "label"]).join(rest, "key", "left")
+    pure = F.col("blocks") > 1
+    rows = rows.select("node", "key", "label", F.when(pure, F.col("label")).otherwise(-1).alias("pure"), F.pmod(F.xxhash64("node"), F.when(pure, F.col("blocks")).otherwise(F.col("shared"))).cast("long").alias("block"))
+    listed = rows.select("key", "pure", "block").distinct()
+    first, second = (listed.select("key", F.col("pure").alias(f"{s}pure"), F.col("block").alias(f"{s}block")) for s in "ab")
+    order = (F.col("apure") < F.col("bpure")) | (F.col("apure") == F.col("bpure")) & (F.col("apure") == -1) & (F.col("ablock") <= F.col("bblock"))
+    pairs = first.join(second, "key").filter(order)
+    name = [F.col("key").alias("u"), F.xxhash64("apure", "ablock").alias("x"), F.xxhash64("bpure", "bblock").alias("y")]
+    out = []
+    for mine, side in (("a", 0), ("b", 1)):
+        met = pairs if side == 0 else pairs.filter("apure <> bpure or ablock <> bblock")
+        met = met.select("key", F.col(f"{mine}pure").alias("pure"), F.col(f"{mine}block").alias("block"), *name)
+        out.append(rows.join(met, ["key", "pure", "block"]).select(*_UNIT, F.lit(0).cast("long").alias("part"), F.lit(side).alias("side"), "label", "node"))
+    return out[0].unionByName(out[1])
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -145,81 +246,77 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.keep(large, f"{name}_{step}l")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         small = scratch.keep(small.select("e.a", "e.b").filter("a <> b").distinct(), f"{name}_{step}")
         now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(f"{name}_{step}l")
         if step:
             scratch.drop(f"{name}_{step - 1}")
-        if now == before:
-            return small.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if now == before or not now[0]:
+            roots = small.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return small.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
         edges, before, step = small, now, step + 1
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, id_bytes: int = 8 << 20) -> DataFrame:
+def _judged(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, id_bytes: int, block_rows: int, block_shingles: int, giant_blocks: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept for every row."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    same = ["n_shingles", "low", "high"]
+    signed = scratch.keep(signatures(docs, shingle, bands, rows), "signed")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    classes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min(named).alias("rep"), F.first("keys").alias("keys")).filter("rep is not null")
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), *same, F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("text_hash"), "keys")
+    classes = scratch.keep(classes, "classes")
+    cells = classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    heads = scratch.keep(cells.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("m")).filter("m > 1").select("key", "head"), "heads")
+    few = 16 * heads.count() <= id_bytes
+    members = scratch.keep(cells.join(F.broadcast(heads) if few else heads, "key"), "members")
+    ties = members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    clusters = components(ties, scratch, "clusters")
+    inside = clusters.select("node", F.col("root").alias("cluster")).join(classes.select("node", F.col("n_shingles").alias("n")), "node")
+    inside = scratch.keep(inside, "inside")
+    sizes = inside.groupBy("cluster").agg(_blocks(block_rows, block_shingles), F.count("*").alias("m"), F.sum("n").alias("s"))
+    most, n, shingles = sizes.agg(*[F.coalesce(f, F.lit(0)) for f in (F.max("blocks"), F.sum("m"), F.sum("s"))]).first()
+    spread = max(1, math.ceil(4 * n / block_rows), math.ceil(4 * shingles / block_shingles))
+    wanted, giant = _units(inside.join(sizes, "cluster"), spread, giant_blocks)
+    links = scratch.keep(_compared(scratch.keep(wanted, "wanted"), docs, classes, shingle, percent, id_bytes), "links")
+    if most > giant_blocks:
+        crowd = scratch.keep(members.join(giant, "node", "left_semi"), "crowd")
+        # Each tie is a unit of two classes.
+        pairs = crowd.filter("node <> head").select("head", "node").distinct().withColumn("part", F.xxhash64("head", "node"))
+        none = F.lit(-1).cast("long")
+        ends = [pairs.select(F.pmod("part", F.lit(max(1, n // 64))).cast("long").alias("u"), none.alias("x"), none.alias("y"), "part", F.lit(0).alias("side"), F.col(c).alias("label"), F.col(c).alias("node")) for c in ("head", "node")]
+        tied = scratch.keep(_compared(scratch.keep(ends[0].unionByName(ends[1]), "ties"), docs, classes, shingle, percent, id_bytes), "tied")
+        labels = components(tied, scratch, "labels")
+        wanted = scratch.keep(_bucket_units(crowd.select("node", "n", "key"), labels, block_rows, block_shingles), "crowds")
+        links = links.union(tied).union(scratch.keep(_compared(wanted, docs, classes, shingle, percent, id_bytes), "crowded"))
+    roots = components(links, scratch, "edges").join(classes.select("node", "rep"), "node")
+    found = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
+    classes = classes.join(found, "node", "left").select(*[F.col(c).alias(f"_{c}") for c in same], F.coalesce("component_id", "rep").alias("component_id"))
+    matches = F.col("doc_id").isNotNull() & F.expr(" and ".join(f"{c} = _{c}" for c in same))
+    out = signed.select("doc_id", "text_hash", *same).join(classes, matches, "left")
+    out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, id_bytes: int = 8 << 20, block_rows: int = 1024, block_shingles: int = 1 << 19, giant_blocks: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest document reachable by links) and kept for every row.
 
-    id_bytes: candidates' ids are broadcast to pick their texts while they need no more bytes than this; beyond it, the
-    same join is a shuffle.
+    id_bytes: ids of candidates are broadcast to pick their texts while they need no more bytes than this; beyond it, the
+    same join is a shuffle. block_rows, block_shingles: the classes, and shingles in all, of a block.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    signed = scratch.keep(signatures(docs, shingle, bands, rows), "signed")
-    same = ["n_shingles", "low", "high"]
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    # The keys travel with the representative alone.
-    reps = signed.filter("n_shingles > 0").join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", *same])
-    rows_ = scratch.keep(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key")), "rows")
-    shared = rows_.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    members = scratch.keep(rows_.join(shared, "key"), "members")
-    scratch.drop("rows")
-    ids = scratch.keep(members.select("id").distinct(), "ids")
-    few = 16 * ids.count() <= id_bytes
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = scratch.keep(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "texts").dropDuplicates(["id"])
-    roots = None
-    pivots = 1
-    active = members.withColumn("label", F.col("id"))
-    k = 0
-    while True:
-        mixed = active.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        active = scratch.keep(active.join(mixed, "key", "left_semi"), f"active_{k}")
-        if k:
-            scratch.drop(f"active_{k - 1}")
-        else:
-            scratch.drop("members")
-        if active.isEmpty():
-            break
-        heads = active.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("id"))).filter(F.col("r") <= pivots)
-        heads = scratch.keep(heads.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label")), f"heads_{k}")
-        near = (F.col("label") != F.col("a_label")) & (100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n"))
-        pairs = active.join(heads, "key").filter(near)
-        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
-        pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
-        links = scratch.keep(_linked(pairs, shingle, percent), f"links_{k}")
-        active = active.join(heads.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
-        if not links.isEmpty():
-            edges = links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = components(edges, scratch, f"edges_{k}")
-            active = active.join(roots, active["id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "id")).select("key", "id", "n", "label")
-        k, pivots = k + 1, 2 * pivots
-    classes = classes.withColumn("component_id", F.col("rep"))
-    if roots is not None:
-        classes = classes.join(roots, classes["rep"] == roots["node"], "left").withColumn("component_id", F.coalesce("root", "rep"))
-    out = signed.select("doc_id", *same).join(classes.select(*[F.col(c).alias(f"_{c}") for c in same], "component_id"), (F.col("doc_id").isNotNull()) & F.expr(" and ".join(f"{c} = _{c}" for c in same)), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _judged(docs, shingle, percent, bands, rows, id_bytes, block_rows, block_shingles, giant_blocks).drop("text_hash")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_bytes: int = 8 << 20) -> DataFrame:
-    """docs without the documents whose near-duplicate component has a smaller doc_id. All columns stay.
+    """docs without the rows whose near-duplicate component has a smaller doc_id. All columns stay.
 
-    id_bytes: the ids that go are broadcast while they need no more bytes than this, so that no text moves; beyond it,
-    the same join is a shuffle.
+    Rows that repeat both doc_id and text are kept, or go, together. id_bytes: what goes is broadcast while it needs no
+    more bytes than this, so that no text moves; beyond it, the same join is a shuffle.
     """
-    gone = near_duplicates(docs, shingle, percent, id_bytes=id_bytes).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    judged = _judged(docs, shingle, percent, 64, 8, id_bytes, 1024, 1 << 19, 16)
+    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct()
     gone = Scratch(docs.sparkSession, "gone").keep(gone, "ids")
-    few = 16 * gone.count() <= id_bytes
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    few = 24 * gone.count() <= id_bytes
+    same = (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_gone_hash"])
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

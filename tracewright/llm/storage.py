@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -66,6 +67,12 @@ def limit_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores before them as no column begins with."""
+    free = "_" * (1 + max([len(c) - len(c.lstrip("_")) for c in columns], default=0))
+    return [free + n for n in names]
+
+
 class Scratch:
     """The intermediate tables of one operator call, below one folder of its own."""
 
@@ -80,17 +87,21 @@ class Scratch:
 
     def keep(self, df: DataFrame, table: str) -> DataFrame:
         """Write df and return it as read back."""
+        began = time.monotonic()
         df.write.mode("overwrite").parquet(self.path(table))
         back = self.spark.read.schema(df.schema).parquet(self.path(table))
         del df
-        self.tidy()
+        if time.monotonic() - began > 2:  # shorter jobs leave little behind
+            self.tidy()
         return back
 
     def keep_bucketed(self, df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
         """Like keep(), hashed by key on disk, so that later joins by key don't move these rows again."""
         name = f"{self.name}_{table}"
         df.write.mode("overwrite").bucketBy(buckets, key).option("path", self.path(table)).saveAsTable(name)
-        return self.spark.table(name)
+        back = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # of its entry in the catalog alone: back has the files and buckets
+        return back
 
     def drop(self, table: str) -> None:
         """Delete a table that nothing reads any more."""
