@@ -47,12 +47,13 @@ _CHUNKS, _TOKENS = 600_000, 1_000_000
 class ChunkCache(dict):
     """Token ids, as little-endian unsigned 32-bit, of a chunk of text without blanks.
 
-    Texts of code points below U+0250 are lower-cased first, as the tokenizer does, and their chunks are put together from
-    the ids of their runs of letters, digits and other characters, which are the tokenizer's pre-tokens. Chunks with an
-    apostrophe (contractions) or ``<|`` (special tokens), and all other texts, are encoded chunk by chunk.
+    Texts of code points that are below U+0250 in lower case as well are lower-cased first, as the tokenizer does, and
+    their chunks are put together from the ids of their runs of letters, digits and other characters, which are the
+    tokenizer's pre-tokens. Chunks with an apostrophe (contractions) or ``<|`` (special tokens), and all other texts, are
+    encoded chunk by chunk.
     """
 
-    other = re.compile("[\u0130\u0250-\U0010ffff]")
+    other = re.compile("[%s\u0250-\U0010ffff]" % "".join(chr(c) for c in range(0x250) if max(map(ord, chr(c).lower())) >= 0x250))
     runs = re.compile("[a-zß-öø-\u024f]+|[0-9]|[^a-zß-öø-\u024f0-9]+")
     odd = re.compile("['ªµº¼-¾²³¹\u00d7\u00f7\u0100-\u024f]|<[|]|[\x00-\x1f\x7f-\xa0]")
 
@@ -343,7 +344,7 @@ def pack_pieces(pieces: DataFrame, length: int, shard_pieces: int, scratch: Scra
         if got:
             yield from _placed(pa.Table.from_batches(got), 0, TaskContext.get().partitionId(), length, last).to_batches()
 
-    # Dealt by content hash and number, not by doc_id: repeated ids don't meet in one shard.
+    # Dealt round-robin, not by doc_id: repeated ids don't meet in one shard.
     level = scratch.keep(pieces.repartition(shards).mapInArrow(first, _PLACED), "level_0")
     done, k = level.filter("final"), 0
     while shards > 1:
