@@ -4,13 +4,15 @@ Features of every whole text: words (``[^\\x20\\x09-\\x0D]+``), their characters
 3-word windows found twice or more. Fixed base rules come first; the cutoffs of the other rules are learned from labelled
 documents that pass them, stratum by stratum.
 
-Method. For each rule a list of cutoffs runs from lenient to strict. In a stratum with n good holdout documents of which
-a cutoff rejects k, the exact binomial tail P(X <= k), X ~ Bin(n, alpha / rules), is the p-value of "this cutoff rejects
-more good documents than allowed". Cutoffs are certified in the fixed order while p <= delta / (strata * rules): testing
-in a fixed order needs no correction within the list, and the Bonferroni share covers strata and rules. So with
-probability 1 - delta every stratum loses at most a share alpha of its good documents. Of the certified cutoffs the one
-with the largest surplus of bad over good rejections is used (the more lenient at equal surplus), none if no surplus is
-positive. A stratum with too few labels to certify anything has the base rules alone.
+Method. Each rule has a list of cutoffs from lenient to strict. Step t of ``STEPS`` uses the rules together, each at the
+share t / STEPS of its list, so the steps are nested: what a step rejects, every later one does. In a stratum with n good
+holdout documents of which a step rejects k, the exact binomial tail P(X <= k), X ~ Bin(n, alpha), is the p-value of
+"this step rejects more good documents than allowed". Steps are certified in their order while p <= delta / strata: testing
+in a fixed order needs no correction within the list, and the Bonferroni share covers the strata. So with probability
+1 - delta every stratum loses at most a share alpha of its good documents. Of the certified steps the one with the largest
+surplus of bad over good rejections is used (the more lenient at equal surplus), none if no surplus is positive. Some
+log(delta / strata) / log(1 - alpha) good documents are needed to certify anything, 217 for four strata; a stratum with
+fewer has the base rules alone.
 
 Defined cases. Null text: no words, so base_failed. Null stratum: a stratum of its own. Null quality or label without
 document: ignored; a document with several labels counts once for each. No labels: base rules alone. Extra columns are
@@ -28,6 +30,7 @@ from pyspark.sql import Window as W
 from tracewright.llm.storage import Scratch
 
 SPACE = " \t\n\x0b\f\r"
+STEPS = 24
 #: Rule: (numerator, denominator, 1 to reject above the cutoff or -1 below, cutoffs in 1/10000 from lenient to strict).
 RULES = {
     "symbols": ("n_symbols", "word_chars", 1, [5000, 3000, 2000, 1500, 1000, 800, 600, 400, 300, 200, 100, 50]),
@@ -92,6 +95,15 @@ def _level(rule: str) -> Column:
     return sum(over[1:], over[0])
 
 
+def rejecting_step() -> Column:
+    """The first step that rejects a document; STEPS + 1 if none does."""
+    steps = []
+    for rule, (*_, cutoffs) in RULES.items():
+        n = len(cutoffs)
+        steps.append(F.when(_level(rule) > 0, F.ceil((n + 1 - _level(rule)) * STEPS / n)).otherwise(STEPS + 1).cast("int"))
+    return F.least(*steps)
+
+
 def _log_gamma(x: Column) -> Column:
     """Stirling's series eight above x, taken back by recurrence; x >= 1, relative error below 1e-13."""
     y = x + 8
@@ -115,36 +127,29 @@ def binomial_tail(k: Column, n: Column, share: float, terms: int = 4096) -> Colu
 
 
 def cutoffs(found: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """stratum, rule, level: the certified cutoff in use, as its place in the rule's list from 1."""
+    """stratum, limit: the certified step in use, for the strata that have one."""
     marks = labels.filter("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     held = marks.join(found.filter(~F.col("base_failed")), "doc_id")
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _level(r).alias("level"), F.lit(len(RULES[r][3])).alias("most")) for r in RULES]))
-    counts = held.select("stratum", "quality", each.alias("x")).groupBy("stratum", "x.rule", "x.level", "x.most").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
-    # Each (stratum, rule) is one row with at most a dozen levels from here on.
-    per = counts.groupBy("stratum", "rule", "most").agg(F.collect_list(F.struct("level", "good", "bad")).alias("at"), F.sum("good").alias("n"))
+    counts = held.groupBy("stratum", "step").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+    # Each stratum is one row with at most STEPS + 1 steps from here on.
+    per = counts.groupBy("stratum").agg(F.collect_list(F.struct("step", "good", "bad")).alias("at"), F.sum("good").alias("n"))
     strata = found.select("stratum").distinct().count()
-    reject = lambda j, what: F.aggregate(F.filter("at", lambda x: x["level"] >= j), F.lit(0).cast("long"), lambda a, x: a + x[what])
-    rows = per.select("stratum", "rule", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("most")), lambda j: F.struct(j.alias("level"), reject(j, "good").alias("good"), reject(j, "bad").alias("bad")))).alias("x")).select("stratum", "rule", "n", "x.*")
-    share = alpha / len(RULES)
-    tested = rows.withColumn("p", binomial_tail(F.col("good"), F.col("n"), share))
-    so_far = W.partitionBy("stratum", "rule").orderBy("level")
-    passed = tested.withColumn("worst", F.max("p").over(so_far)).filter(F.col("worst") <= delta / (max(1, strata) * len(RULES)))
-    best = W.partitionBy("stratum", "rule").orderBy((F.col("bad") - F.col("good")).desc(), "level")
-    return passed.filter("bad > good").withColumn("r", F.row_number().over(best)).filter("r = 1").select("stratum", "rule", "level")
+    reject = lambda t, what: F.aggregate(F.filter("at", lambda x: x["step"] <= t), F.lit(0).cast("long"), lambda a, x: a + x[what])
+    each = F.transform(F.sequence(F.lit(1), F.lit(STEPS)), lambda t: F.struct(t.alias("step"), reject(t, "good").alias("good"), reject(t, "bad").alias("bad")))
+    tested = per.select("stratum", "n", F.explode(each).alias("x")).select("stratum", "n", "x.*").withColumn("p", binomial_tail(F.col("good"), F.col("n"), alpha))
+    so_far = W.partitionBy("stratum").orderBy("step")
+    passed = tested.withColumn("worst", F.max("p").over(so_far)).filter(F.col("worst") <= delta / max(1, strata))
+    best = W.partitionBy("stratum").orderBy((F.col("bad") - F.col("good")).desc(), "step")
+    return passed.filter("bad > good").withColumn("r", F.row_number().over(best)).filter("r = 1").select("stratum", F.col("step").alias("limit"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The features of every document, base_failed, and kept; alpha, delta: see above."""
     scratch = Scratch(docs.sparkSession, "quality")
-    found = scratch.keep(features(docs, stratum), "features")
-    chosen = cutoffs(found, labels, alpha, delta)
-    wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("level"))).alias(f"_{r}") for r in RULES])
-    wide = scratch.keep(wide, "cutoffs").withColumnRenamed("stratum", "_stratum")
-    fails = [F.coalesce(_level(r) >= F.col(f"_{r}"), F.lit(False)) for r in RULES]
-    failed = fails[0]
-    for f in fails[1:]:
-        failed = failed | f
-    out = found.join(wide, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+    found = scratch.keep(features(docs, stratum).withColumn("step", rejecting_step()), "features")
+    chosen = scratch.keep(cutoffs(found, labels, alpha, delta), "cutoffs").withColumnRenamed("stratum", "_stratum")
+    out = found.join(chosen, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+    failed = F.coalesce(F.col("step") <= F.col("limit"), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~failed).alias("kept"))
 
 

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from tracewright.llm.quality import RULES
+from tracewright.llm.quality import RULES, STEPS
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def quality(alpha: float = 0.02, delta: float = 0.05) -> str:
-    share = alpha / len(RULES)
     levels = {r: " + ".join(f"({sign} * (10000 * {top} - {cut} * {bottom}) > 0)::INT" for cut in cuts) for r, (top, bottom, sign, cuts) in RULES.items()}
-    unpivot = " UNION ALL ".join(f"SELECT stratum, quality, '{r}' AS rule, {len(RULES[r][3])} AS most, {levels[r]} AS level FROM held" for r in RULES)
-    verdict = " AND ".join(f"NOT coalesce(({levels[r]}) >= {r}_level, false)" for r in RULES)
-    wide = ", ".join(f"max(level) FILTER (rule = '{r}') AS {r}_level" for r in RULES)
+    first = ", ".join(f"CASE WHEN {levels[r]} > 0 THEN ceil(({len(x[3])} + 1 - ({levels[r]})) * {float(STEPS)} / {len(x[3])}) ELSE {STEPS + 1} END" for r, x in RULES.items())
     return rf"""
 WITH base AS (
   SELECT doc_id, lang AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words
@@ -32,28 +29,27 @@ WITH base AS (
     coalesce(n, 0) AS n_repeat_words
   FROM base LEFT JOIN repeated USING (doc_id)
 ), judged AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM found
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, least({first}) AS step FROM found
 ), held AS (
   SELECT * FROM judged JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1)
-), levels AS ({unpivot}), rows_ AS (
-  SELECT stratum, rule, j AS level, count(*) FILTER (quality = 1) AS n,
-    count(*) FILTER (quality = 1 AND level >= j) AS good, count(*) FILTER (quality = 0 AND level >= j) AS bad
-  FROM (SELECT *, unnest(range(1, most + 1)) AS j FROM levels) GROUP BY stratum, rule, j
+), rows_ AS (
+  SELECT stratum, t, count(*) FILTER (quality = 1) AS n,
+    count(*) FILTER (quality = 1 AND step <= t) AS good, count(*) FILTER (quality = 0 AND step <= t) AS bad
+  FROM (SELECT *, unnest(range(1, {STEPS + 1})) AS t FROM held) GROUP BY stratum, t
 ), tested AS (
-  SELECT *, CASE WHEN good >= n * {share!r} THEN 1.0 ELSE list_sum(list_transform(range(0, good + 1), lambda i:
-    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r})))) END AS p
+  SELECT *, CASE WHEN good >= n * {alpha!r} THEN 1.0 ELSE list_sum(list_transform(range(0, good + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r})))) END AS p
   FROM rows_
 ), passed AS (
-  SELECT * FROM (SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY level) AS worst FROM tested)
-  WHERE worst <= {delta!r} / ({len(RULES)} * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM found)))
+  SELECT * FROM (SELECT *, max(p) OVER (PARTITION BY stratum ORDER BY t) AS worst FROM tested)
+  WHERE worst <= {delta!r} / (SELECT count(*) FROM (SELECT DISTINCT stratum FROM found))
 ), chosen AS (
-  SELECT stratum AS s, {wide} FROM (
-    SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - good DESC, level) AS r FROM passed WHERE bad > good
-  ) WHERE r = 1 GROUP BY stratum
+  SELECT stratum AS s, t AS most FROM passed WHERE bad > good
+  QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY bad - good DESC, t) = 1
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND {verdict} AS kept
+  NOT base_failed AND NOT coalesce(step <= most, false) AS kept
 FROM judged LEFT JOIN chosen ON stratum IS NOT DISTINCT FROM s
 """
 
