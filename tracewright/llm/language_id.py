@@ -2,18 +2,19 @@
 
 Features. A text is lower-cased, runs of anything but letters become one blank, and its 1- to 4-grams of code points are
 hashed into 2**16 features. The weight of a feature in a document is its share of the document's n-grams times its
-inverse document frequency. Document frequencies count every whole document that may be learned from.
+inverse document frequency. Document frequencies count every whole labelled document that may be learned from.
 
 Model. One-against-each logits trained by follow-the-regularised-leader with elastic-net penalties, so that most weights
-are exactly zero, on a bounded sample: the ``per_label`` documents a label with the smallest id hashes, ``max_labels``
-labels at most (the most frequent). A fifth of the sample stays out of training; on it a temperature is fitted, which
-makes the score a calibrated probability.
+are exactly zero, on a bounded sample: the ``per_label`` documents a label with the smallest id hashes, fewer if there are
+so many labels that this would be more than ``sample_rows`` documents, 8 at least. Every label is learned. A fifth of the
+sample stays out of training; on it a temperature is fitted, which makes the score a calibrated probability.
 
 Learning sees only the text and label of rows for which ``learnable`` is true. Prediction sees only the text.
 
 Defined cases. Null text or text without a letter: ``und`` with score 0. No labelled row at all: ``und`` with score 0 for
 every row. Very long texts are read in slices that overlap by three characters, whole. Null ids: predicted like others,
-never learned from. Extra columns are ignored (``identified`` keeps them).
+never learned from. Labels of equal probability: the first in the order of code points. Empty table: no rows. Extra
+columns are ignored (``identified`` keeps them).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracewright.llm.hashing import held, mix, trimmed
-from tracewright.llm.storage import limit_batches
+from tracewright.llm.storage import free_names, limit_batches
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -177,24 +178,26 @@ def _frequencies(df: DataFrame) -> tuple[int, np.ndarray]:
     return int(out[FEATURES]), out[:FEATURES]
 
 
-def fit(docs: DataFrame, learnable: Column, per_label: int = 500, max_labels: int = 64) -> Model | None:
+def fit(docs: DataFrame, learnable: Column, per_label: int = 500, sample_rows: int = 64_000) -> Model | None:
     """Learns from (text, lang) of the learnable rows; None if there is nothing to learn from.
 
-    The driver holds per_label * max_labels feature vectors at most, and 2**16 counts.
+    The driver holds the feature vectors of at most sample_rows rows (8 a label at least), and 2**16 counts.
     """
     limit_batches(docs.sparkSession)
-    rows = docs.filter(F.coalesce(learnable, F.lit(False)) & F.col("text").isNotNull())
+    rows = docs.filter(F.coalesce(learnable, F.lit(False)) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = rows.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    per = rows.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_labels).collect()
+    per = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not per:
         return None
     n_docs, seen = _frequencies(rows)
     idf = np.log((1 + n_docs) / (1 + seen)) + 1.0
     labels = sorted(r["lang"] for r in per)
+    place = {label: k for k, label in enumerate(labels)}
+    per_label = min(per_label, max(8, sample_rows // len(labels)))
     # A share of each label by the hash of the id, with room to spare; then the smallest hashes of these few.
-    share = F.create_map(*[F.lit(x) for r in per for x in (r["lang"], min(1.0, 2 * (per_label + 20) / r["n"]))])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * (per_label + 20) / r["n"])) for r in per], "lang string, share double")
     rank = F.shiftrightunsigned(F.xxhash64(F.coalesce("id", F.lit(""))), 11) / float(1 << 53)
-    few = rows.filter(F.col("lang").isin(labels)).withColumn("rank", rank).filter(F.col("rank") < F.try_element_at(share, F.col("lang")))
+    few = rows.withColumn("rank", rank).join(F.broadcast(shares), "lang").filter("rank < share")
     few = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("rank", "id", "text"))).filter(F.col("r") <= per_label)
 
     @trimmed
@@ -208,7 +211,7 @@ def fit(docs: DataFrame, learnable: Column, per_label: int = 500, max_labels: in
     sample = few.select("lang", "r", "text").mapInArrow(vectors, "lang string, r long, at binary, counts binary").toArrow().to_pylist()
     sample = sorted((x for x in sample if x["at"]), key=lambda x: (x["r"], x["lang"]))
     grams = [(np.frombuffer(x["at"], dtype=np.uint16).astype(np.int64), np.frombuffer(x["counts"], dtype=np.float32).astype(np.float64)) for x in sample]
-    y = np.array([labels.index(x["lang"]) for x in sample], dtype=np.int64)
+    y = np.array([place[x["lang"]] for x in sample], dtype=np.int64)
     apart = np.array([x["r"] % 5 == 0 for x in sample], dtype=bool)
     scale = 10.0
     fed = [(at, scale * counts * idf[at] / counts.sum()) for at, counts in grams]
@@ -220,7 +223,7 @@ def fit(docs: DataFrame, learnable: Column, per_label: int = 500, max_labels: in
     return model
 
 
-def _predictor(model: Model | None) -> Callable[[pa.Array], tuple[list[str], list[float]]]:
+def _predictor(model: Model | None, reject: tuple[int, float]) -> Callable[[pa.Array], tuple[list[str], list[float]]]:
     grams = held("grams", Grams)
     heavy = None if model is None else np.ascontiguousarray(model.idf[:, None] * model.weights)
 
@@ -235,7 +238,7 @@ def _predictor(model: Model | None) -> Callable[[pa.Array], tuple[list[str], lis
             if n:
                 p = _softmax((total / n + model.bias) / model.temperature)
                 k = int(np.argmax(p))
-                names.append(model.labels[k])
+                names.append(model.labels[k] if n < reject[0] or p[k] >= reject[1] else UNDETERMINED)
                 scores.append(float(p[k]))
             else:
                 names.append(UNDETERMINED)
@@ -245,10 +248,11 @@ def _predictor(model: Model | None) -> Callable[[pa.Array], tuple[list[str], lis
     return predict
 
 
-def predict(docs: DataFrame, model: Model | None, carry: list[str], added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, carry: list[str], added: tuple[str, str] = ("lang_pred", "score"), reject: tuple[int, float] = (0, 0.0)) -> DataFrame:
     """The carried columns and the two added ones, prediction and score, for every row.
 
-    The model, at most 2**16 * (max_labels + 1) numbers whatever the input, is broadcast.
+    The model, 2**16 * (labels + 1) numbers however long the input, is broadcast. reject: (n-grams, score); a text of
+    at least so many n-grams and a lower score is in none of the learned languages and gets ``und``, its score kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     whole = "text" in carry and dict(docs.dtypes)["text"] == "string"
@@ -258,7 +262,7 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str], added: tuple
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = _predictor(shared.value)
+        use = _predictor(shared.value, reject)
         for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             names, scores = use(batch.column(at))
             columns = [batch.column(k) for k in range(len(carry))]
@@ -278,13 +282,16 @@ def identify(docs: DataFrame, per_label: int = 500) -> DataFrame:
     return predict(docs.withColumn("held_out", F.coalesce(fold() == 0, F.lit(False))), model, ["doc_id", "held_out"])
 
 
-def identified(docs: DataFrame, per_label: int = 500) -> DataFrame:
-    """docs in which a language was found, with all their columns: those without any letter go.
+def identified(docs: DataFrame, per_label: int = 500, reject: tuple[int, float] = (400, 0.5)) -> DataFrame:
+    """docs in which a language was found, with all their columns.
 
-    A short text has a low score in every language and is no worse for it, so no score is asked for.
+    Those without any letter go, with or without a model, and so do texts of at least reject[0] n-grams (some 100
+    characters) whose calibrated score is below reject[1]. A shorter text has a low score in every language and is no worse
+    for it, so no score is asked of it.
     """
     model = fit(docs, fold() != 0, per_label)
     names = docs.columns
-    free = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in names))  # clashes with no column
-    kept = predict(docs, model, names, (f"{free}pred", f"{free}score"))
-    return kept.filter(F.col(f"{free}pred") != UNDETERMINED).select(*names) if model is not None else docs
+    pred, score = free_names(names, "pred", "score")
+    if model is None:
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
+    return predict(docs, model, names, (pred, score), reject).filter(F.col(pred) != UNDETERMINED).select(*names)
