@@ -12,7 +12,8 @@ Text. Character references are decoded; white space inside a block becomes one b
 blocks are joined by a blank line, in page order; nothing else is dropped or cut.
 
 Defined cases. Null or empty html, or no main block: empty text, 0 characters. Null or repeated page_id: rows like any
-others. Tag soup: open paragraphs, list items and cells end where the next begins; stray end tags are ignored; what is
+others. Repeated rows and clashing column names: every row is extracted by itself, and only page_id, url and html are
+read. Ties of Viterbi: the state other wins. Very long or deep pages: time and memory grow with their length. Tag soup: open paragraphs, list items and cells end where the next begins; stray end tags are ignored; what is
 open at the end of a page ends there. Extra columns are ignored.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 from html import escape
 from html.parser import HTMLParser
@@ -38,41 +39,60 @@ BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr"
     " legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split()
 )
-#: A start tag ends the open element of these kinds, up to the nearest of the others.
-IMPLIED = {
-    **dict.fromkeys(["li"], (("li",), ("ul", "ol", "menu"))),
-    **dict.fromkeys(["dt", "dd"], (("dt", "dd"), ("dl",))),
-    **dict.fromkeys(["td", "th"], (("td", "th"), ("tr", "table"))),
-    **dict.fromkeys(["tr"], (("tr",), ("table",))),
-    **dict.fromkeys(["thead", "tbody", "tfoot"], (("thead", "tbody", "tfoot"), ("table",))),
-}
-_OUTSIDE_P = ("table", "td", "th", "button", "object")
+#: A start tag of the first kinds ends the open element of the second kinds, up to the nearest of the third.
+IMPLIED = (
+    (BLOCK, ("p",), ("table", "td", "th", "button", "object")),
+    (("li",), ("li",), ("ul", "ol", "menu")),
+    (("dt", "dd"), ("dt", "dd"), ("dl",)),
+    (("td", "th"), ("td", "th"), ("tr", "table")),
+    (("tr",), ("tr",), ("table",)),
+    (("thead", "tbody", "tfoot"), ("thead", "tbody", "tfoot"), ("table",)),
+)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    tag: str
+    within: frozenset[str]
     marks: frozenset[str]
     linked: int
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
+    """An open element, with what its blocks inherit: block-level tags and marks of all ancestors, itself included.
+
+    ends: for each row of IMPLIED the depth of the element that a start tag of its kinds would end, or -1.
+    """
+
     tag: str
-    marks: frozenset[str] = field(default_factory=frozenset)
+    block: str
+    block_depth: int
+    within: frozenset[str]
+    marks: frozenset[str]
+    ends: tuple[int, ...]
+
+
+_ROOT = _Open("", "", -1, frozenset(), frozenset(), (-1,) * len(IMPLIED))
 
 
 class BlockParser(HTMLParser):
-    """Leaf blocks of one page, in page order."""
+    """Leaf blocks of one page, in page order; known: the marks to keep, all if None.
+
+    Each tag costs the same whatever the depth: an element shares its parent's sets unless it adds to them, and what an
+    end tag or an implied end would close is looked up.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, known: frozenset[str] | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.known = known
         self.blocks: list[Block] = []
         self.open: list[_Open] = []
+        self.depths: dict[str, list[int]] = {}
         self.buffer: list[str] = []
-        self.at: list[_Open] = []
+        self.at = _ROOT
         self.linked = self.links = self.silent = 0
 
     def parse_html_declaration(self, i: int) -> int:
@@ -84,34 +104,36 @@ class BlockParser(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text:
-            marks = frozenset().union(*(e.marks for e in self.at)) if self.at else frozenset()
-            self.blocks.append(Block(text, tuple(e.tag for e in self.at if e.tag in BLOCK), marks, self.linked))
+            self.blocks.append(Block(text, self.at.block, self.at.within, self.at.marks, self.linked))
         self.buffer.clear()
         self.linked = 0
 
-    def _pop(self, k: int) -> None:
-        for e in self.open[k:]:
-            self.silent -= e.tag in SILENT
-            self.links -= e.tag == "a"
-            if e.tag in BLOCK:
+    def _pop(self, depth: int) -> None:
+        while len(self.open) > depth:
+            tag = self.open.pop().tag
+            self.depths[tag].pop()
+            self.silent -= tag in SILENT
+            self.links -= tag == "a"
+            if tag in BLOCK:
                 self.flush()
-        del self.open[k:]
 
-    def _close_implied(self, ends: tuple[str, ...], within: tuple[str, ...]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag in ends:
-                return self._pop(k)
-            if self.open[k].tag in within:
-                return None
-        return None
+    def _push(self, tag: str, marks: set[str]) -> None:
+        up, depth = self.open[-1] if self.open else _ROOT, len(self.open)
+        ends = tuple(depth if tag in ended else -1 if tag in bounds else e for e, (_, ended, bounds) in zip(up.ends, IMPLIED, strict=True))
+        block = tag in BLOCK
+        within = up.within if not block or tag in up.within else up.within | {tag}
+        self.open.append(_Open(tag, tag if block else up.block, depth if block else up.block_depth, within, up.marks if marks <= up.marks else up.marks | marks, ends))
+        self.depths.setdefault(tag, []).append(depth)
+        self.silent += tag in SILENT
+        self.links += tag == "a"
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "body" and self.silent and any(e.tag == "head" for e in self.open):
-            self._pop(next(k for k, e in enumerate(self.open) if e.tag == "head"))
+        if tag == "body" and self.silent and self.depths.get("head"):
+            self._pop(self.depths["head"][0])
         if tag in BLOCK:
-            self._close_implied(("p",), _OUTSIDE_P)
-            if tag in IMPLIED:
-                self._close_implied(*IMPLIED[tag])
+            for k, (starts, _, _) in enumerate(IMPLIED):
+                if tag in starts and self.open and self.open[-1].ends[k] >= 0:
+                    self._pop(self.open[-1].ends[k])
             self.flush()
         elif tag == "br":
             self.handle_data("\n")
@@ -125,36 +147,31 @@ class BlockParser(HTMLParser):
                 marks.add(f"{name}={value.lower()}")
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", ""):
                 marks.add("hidden")
-        self.open.append(_Open(tag, frozenset(marks)))
-        self.silent += tag in SILENT
-        self.links += tag == "a"
+        self._push(tag, marks if self.known is None else marks & self.known)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # the slash has no meaning in HTML
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            found = self.open[k].tag
-            if found == tag:
-                return self._pop(k)
-            if tag not in BLOCK and tag not in SILENT and found in BLOCK:
-                return None
-        if tag in BLOCK:
+        if depths := self.depths.get(tag):
+            # The end of an inline element doesn't reach beyond the block that it stands in.
+            if tag in BLOCK or tag in SILENT or depths[-1] > self.open[-1].block_depth:
+                self._pop(depths[-1])
+        elif tag in BLOCK:
             self.flush()
-        return None
 
     def handle_data(self, data: str) -> None:
         if self.silent:
             return
         if not self.buffer:
-            self.at = list(self.open)
+            self.at = self.open[-1] if self.open else _ROOT
         self.buffer.append(data)
         if self.links:
             self.linked += len("".join(data.split()))
 
 
-def blocks(html: str | None) -> list[Block]:
-    parser = BlockParser()
+def blocks(html: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    parser = BlockParser(known)
     parser.feed(html or "")
     parser.close()
     parser._pop(0)
@@ -169,16 +186,16 @@ def _step(x: float, edges: tuple[float, ...]) -> int:
 def features(b: Block, k: int, n: int) -> list[str]:
     """Features of block k of n."""
     words = b.text.count(" ") + 1
-    out = [f"tag={b.path[-1] if b.path else ''}", f"words={_step(words, (3, 6, 12, 25, 50))}"]
-    out += [f"in={t}" for t in set(b.path)]
+    out = [f"tag={b.tag}", f"words={_step(words, (3, 6, 12, 25, 50))}"]
+    out += [f"in={t}" for t in sorted(b.within)]
     out += sorted(b.marks)
     density = b.linked / max(1, len("".join(b.text.split())))
     out += [f"links={_step(density, (0.01, 0.3, 0.6, 0.95))}", f"place={_step(k / max(1, n), (0.1, 0.3, 0.7, 0.9))}"]
     out.append("stop" if b.text[-1] in ".!?…:;\"”»" else "no_stop")
     if "©" in b.text or "copyright" in b.text.lower():
         out.append("copyright")
-    if any(t in b.path for t in ("article", "main")):
-        out.append(f"core_tag={b.path[-1]}")
+    if "article" in b.within or "main" in b.within:
+        out.append(f"core_tag={b.tag}")
     return out
 
 
@@ -188,6 +205,7 @@ class Crf:
     def __init__(self, names: dict[str, int], unary: np.ndarray, change: np.ndarray):
         self.weights = {f: float(unary[i, 1] - unary[i, 0]) for f, i in names.items()}
         self.change = [[float(x) for x in row] for row in change]
+        self.marks = frozenset(f for f in names if f == "hidden" or f.split("=")[0] in ("is", "role", "itemprop"))
 
     def decode(self, page: list[Block]) -> list[bool]:
         """Viterbi: the most probable sequence of states."""
@@ -310,9 +328,9 @@ class PageMaker:
 
     def comments(self) -> str:
         r = self.r
-        one = lambda: self.wrap(["li.comment", "div.comment", "article.comment", "div.reply"], r.choice([f"<p>{self.words(2, 60)}</p>", f"<b>{self.words(1, 2, False)}</b><p>{self.words(2, 60)}</p>", self.words(2, 60)]))
+        one = lambda: self.wrap(["li.comment", "div.comment", "article.comment", "div.reply", "div", "li", "div.post-message", "div.response"], r.choice([f"<p>{self.words(2, 60)}</p>", f"<b>{self.words(1, 2, False)}</b><p>{self.words(2, 60)}</p>", self.words(2, 60)]))
         head = f"<h2>{self.words(1, 3, False)}</h2>" if r.random() < 0.7 else ""
-        return self.wrap(["section.comments", "div#comments", "ol.commentlist", "div.comments", "section#comments", "div.discussion"], head + "".join(one() for _ in range(r.randint(1, 6))))
+        return self.wrap(["section.comments", "div#comments", "ol.commentlist", "div.comments", "section#comments", "div.discussion", "div#disqus_thread", "div.fb-comments", "section#respond", "ul.thread", "div.user-comments", "section.responses", "div.feedback", "div#reader-replies"], head + "".join(one() for _ in range(r.randint(1, 6))))
 
     def footer(self) -> str:
         inner = ("&copy; " if self.r.random() < 0.7 else "") + self.words(1, 25) + (" &middot; " + self.words(1, 20) if self.r.random() < 0.5 else "")
@@ -385,7 +403,7 @@ def default_model(pages: int = 700, seed: int = 5) -> Crf:
 
 
 def main_text(html: str | None, model: Crf) -> str:
-    page = blocks(html)
+    page = blocks(html, model.marks)
     return "\n\n".join(b.text for b, main in zip(page, model.decode(page), strict=True) if main)
 
 
