@@ -6,7 +6,7 @@ a response; the others become revisit records without the payload that refer to
 rows are sorted by archive and offset, neighbouring byte ranges are joined into one read, and the records are parsed and
 checked against their digests.
 
-Archives lie in the shared folder, by any file system that pyarrow.fs opens. A task writes to a file name of its own
+Archives lie in the shared folder, by any file system that pyarrow.fs opens; ``filesystem`` lists the schemes. A task writes to a file name of its own
 attempt, so a task that runs again leaves at most a file that no index row names.
 
 Defined cases. Null html: an empty payload. Null url: no target header, null in the index. Null page_id: a record without
@@ -70,18 +70,43 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:]), payload
 
 
+def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder that Spark names by a URI.
+
+    file, hdfs, viewfs (both by libhdfs), s3, gs and gcs, abfs and abfss; s3a and s3n are s3, and dbfs:/ is the mount /dbfs.
+    Paths without a scheme are local. Other schemes are refused: write such archives to one of these.
+    """
+    scheme, colon, rest = folder.partition(":")
+    if not colon:
+        return fs.LocalFileSystem(), folder
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):
+        return fs.FileSystem.from_uri(f"s3:{rest}")
+    if scheme not in ("file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss"):
+        raise ValueError(f"archives can't be written to {scheme}: use file, hdfs, viewfs, s3, gs, abfs or dbfs")
+    # file:/path, as Hadoop writes it, has no host.
+    return fs.FileSystem.from_uri(f"file://{rest}" if scheme == "file" and not rest.startswith("//") else folder)
+
+
 def _sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html and refers_to, which is null for responses."""
+def roles(pages: DataFrame, least_bytes: int = 0, id_bytes: int = 8 << 20) -> DataFrame:
+    """page_id, url, html and refers_to, which is null for responses.
+
+    id_bytes: the digests that occur twice are broadcast while they need no more bytes than this, so that no page moves;
+    beyond it, the same join is a shuffle.
+    """
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
     pages = pages.withColumns({"sha": F.sha1("html"), "size": F.octet_length("html")})
     # Only payloads that occur twice need a decision; the counts are combined before the shuffle.
     twice = pages.filter(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).filter("n > 1").drop("n")
-    found = pages.join(twice, ["sha", "size"], "left")
+    twice = Scratch(pages.sparkSession, "warc_roles").keep(twice, "twice")
+    few = 64 * twice.count() <= id_bytes
+    found = pages.join(F.broadcast(twice) if few else twice, ["sha", "size"], "left")
     other = F.when(F.col("page_id") == F.col("first"), None).otherwise(F.col("first"))
     return found.select("page_id", "url", "html", other.alias("refers_to"))
 
@@ -90,7 +115,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll_bytes: int =
     """Writes the archives below folder and returns the index, lazily: store it before use."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = fs.FileSystem.from_uri(folder)
+        system, path = filesystem(folder)
         system.create_dir(path, recursive=True)
         task = TaskContext.get()
         stem = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
@@ -136,7 +161,7 @@ def read(index: DataFrame, folder: str, where: Column | None = None, gap: int =
     """The records of the selected index rows, with the payload (null for revisits) if asked for."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = fs.FileSystem.from_uri(folder)
+        system, path = filesystem(folder)
         name, handle = None, None
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True))
