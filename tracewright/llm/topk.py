@@ -14,7 +14,8 @@ All rows are indexed and the bounds are exact, so the result is that of brute fo
 prune little and the work is that of a blocked brute force.
 
 Scale. The driver sees counts, radii and kth scores of at most 256 cells, and a sample of 4096 vectors to choose pivots
-from; pivots affect speed only. A cell that holds a third of all rows, equal vectors included, has many blocks.
+from; pivots affect speed only. A cell that holds a third of all rows, equal vectors included, has many blocks, and
+blocks meet by (cell, block), so it is searched by many tasks.
 
 Defined cases. A row whose vec_id or vector is null, or with a null or non-finite component, takes no part. Vectors of
 different lengths: the shorter one is padded with zeros. Empty vector: all its scores are 0. Rows that share a vec_id are
@@ -29,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracewright.llm.storage import Scratch
 
 MAX_CELLS, SAMPLE, LEAF = 256, 4096, 128
-_BLOCK = "cell int, block binary"
+_BLOCK = "cell int, part long, block binary"
 _FOUND = "query_id long, vec_id long, score long"
 _NONE = np.iinfo(np.int64).min
 
@@ -250,13 +251,29 @@ def _blocks(rows: DataFrame, sizes: dict[int, int], block_rows: int) -> DataFram
         floor = group["floor"].to_numpy().astype(np.float64)
         tree = CoverTree(x) if x.shape[1] else None
         block = pickle.dumps((x.astype(small), group["vec_id"].to_numpy(), floor, tree), protocol=5)
-        return pa.table({"cell": group["cell"].slice(0, 1), "block": pa.array([block], pa.binary())})
+        return pa.table({"cell": group["cell"].slice(0, 1), "part": group["part"].slice(0, 1), "block": pa.array([block], pa.binary())})
 
-    parts = F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, max(1, math.ceil(n / block_rows)))]) if sizes else F.create_map().cast("map<int,int>")
-    part = F.pmod(F.xxhash64("vec_id"), F.coalesce(F.try_element_at(parts, F.col("cell")), F.lit(1)))
+    part = F.pmod(F.xxhash64("vec_id"), _parts(sizes, block_rows)).cast("long")
     return rows.withColumn("part", part).groupBy("cell", "part").applyInArrow(pack, _BLOCK)
 
 
+def _parts(sizes: dict[int, int], block_rows: int) -> Column:
+    """How many blocks the cell in column cell has."""
+    if not sizes:
+        return F.lit(1).cast("long")
+    counts = F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, max(1, math.ceil(n / block_rows)))])
+    return F.coalesce(F.try_element_at(counts, F.col("cell")), F.lit(1)).cast("long")
+
+
+def _dealt(queries: DataFrame, data: DataFrame, sizes: dict[int, int], block_rows: int) -> DataFrame:
+    """Pairs (queries, data): each block of queries (cell, queries) with each data block of its cell.
+
+    A query block goes to every data block by the latter's own number, so a cell of many blocks is spread over many tasks.
+    """
+    sent = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _parts(sizes, block_rows) - 1)))
+    return sent.join(data.withColumnRenamed("block", "data"), ["cell", "part"]).select("queries", "data")
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, block_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows for each row that satisfies is_query (a Column on vec_id)."""
     spark = vectors.sparkSession
@@ -278,9 +295,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, block_
     none = F.lit(float("-inf"))
     sizes, query_sizes = {c: s[0] for c, s in cells.items()}, {c: s[0] for c, s in query_cells.items()}
     data = scratch.keep(_blocks(placed.withColumn("floor", none), sizes, block_rows), "data")
-    first = _blocks(asked.withColumn("floor", none), query_sizes, block_rows)
-    near = first.withColumnRenamed("block", "queries").join(data.withColumnRenamed("block", "data"), "cell")
-    near = scratch.keep(_meet(near, k), "near")
+    first = _blocks(asked.withColumn("floor", none), query_sizes, block_rows).select("cell", F.col("block").alias("queries"))
+    near = scratch.keep(_meet(_dealt(first, data, sizes, block_rows), k), "near")
     by_query = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     floors = near.withColumn("r", F.row_number().over(by_query)).filter(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
     asked = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
@@ -296,8 +312,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, block_
     out = near
     if pairs:
         left = spark.createDataFrame(pairs, "cell int, other int")  # 65536 rows at most
-        again = _blocks(asked, query_sizes, block_rows).withColumnRenamed("block", "queries")
-        far = again.join(left, "cell").select(F.col("other").alias("cell"), "queries").join(data.withColumnRenamed("block", "data"), "cell")
-        out = near.union(_meet(far, k))
+        again = _blocks(asked, query_sizes, block_rows).select("cell", F.col("block").alias("queries"))
+        again = again.join(F.broadcast(left), "cell").select(F.col("other").alias("cell"), "queries")
+        out = near.union(_meet(_dealt(again, data, sizes, block_rows), k))
     ranked = out.distinct().withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
