@@ -38,7 +38,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in sequences of 2048 tokens, numbered in the order of the mixture."""
     docs = mixing.numbered(docs)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=0, shard_pieces=1024, order="_position")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=0, shard_pieces=1024, order=docs.columns[-1])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", stage_packing),
 ]
 
-#: Language models, the schedule and bin packing have no SQL form; tests/llm compares the stages with brute force.
+#: Language models, the schedule and bin packing have no SQL form; tests/llm/test_pipeline.py compares a run with plain Python.
 ORACLE_SQL = None
 
 

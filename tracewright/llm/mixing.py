@@ -13,7 +13,8 @@ most ``max_frame`` slots each) and a row's slot follows from its block number. B
 many tasks. The plan, bounded as above, is broadcast; documents are shuffled once.
 
 Defined cases. Null source: a source of its own. Null or repeated doc_id: rows like others, ordered by hash, id and text.
-Empty table: no rows. Weights must be positive integers; sources without one get weight 1.
+Empty table: no rows. Weights must be positive integers; sources without one get weight 1. All columns stay as they are,
+whatever their names; added columns get names that none of them has.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewright.llm.storage import Scratch
+from tracewright.llm.storage import free_names
 
 _PLAN = "_key string, _phases array<struct<first_block: long, last_block: long, base_slot: long, base_row: long, frame: long, at: array<int>>>"
 
@@ -88,15 +89,14 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = 16, power: float = 0.5, max_sources: int = 512, max_frame: int = 1 << 16) -> DataFrame:
-    """docs with _block (number within the source), _slot and _position (place in the mixture, from 0).
-
-    weights: by source; None: in proportion to rows ** power, in thousandths.
-    """
+def _planned(docs: DataFrame, weights: dict[str | None, int] | None, block_rows: int, power: float, max_sources: int, max_frame: int) -> tuple[DataFrame, int]:
+    """docs and three columns named by free_names: block, slot and position; and how many rows there are."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("_key", _key(F.col("source"))).withColumn("_hash", F.xxhash64(F.col("doc_id").cast("string")))
-    counted = keyed.groupBy("_key").agg(F.count("*").alias("n")).limit(max_sources + 1).collect()
-    rows = {r["_key"]: r["n"] for r in counted}
+    key, mark, span, before, rank, phases, nth, phase, j, within = free_names(docs.columns, "key", "hash", "range", "before", "rank", "phases", "nth", "phase", "j", "within")
+    block, slot, position = free_names(docs.columns, "block", "slot", "position")
+    keyed = docs.withColumns({key: _key(F.col("source")), mark: F.xxhash64(F.col("doc_id").cast("string"))})
+    counted = keyed.groupBy(key).agg(F.count("*").alias("n")).limit(max_sources + 1).collect()
+    rows = {r[key]: r["n"] for r in counted}
     if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     if weights is None:
@@ -106,45 +106,61 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
         chosen = {s: given.get(s, 1) for s in rows}
     if min(chosen.values(), default=1) < 1 or sum(chosen.values()) > max_frame:
         raise ValueError(f"weights must be positive integers that sum to {max_frame} at most")
-    phases = plan(rows, chosen, block_rows)
-    planned = spark.createDataFrame([(s, p) for s, p in sorted(phases.items())], _PLAN)
-    bits = max(8, math.ceil(math.log2(max(1, sum(rows.values()) / 20000))))
-    keyed = keyed.withColumn("_range", F.shiftrightunsigned("_hash", 64 - bits))
+    planned = spark.createDataFrame(sorted(plan(rows, chosen, block_rows).items()), _PLAN).toDF(key, phases)
+    total = sum(rows.values())
+    bits = max(8, math.ceil(math.log2(max(1, total / 20000))))
+    keyed = keyed.withColumn(span, F.shiftrightunsigned(mark, 64 - bits))
     # The counts of the ranges: 2**bits of them a source.
-    counts = keyed.groupBy("_key", "_range").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_key", "_range", before.alias("_before"))
-    order = [F.col("_hash"), F.col("doc_id")] + ([F.xxhash64("text")] if "text" in docs.columns else [])
-    ranked = keyed.withColumn("_rank", F.row_number().over(W.partitionBy("_key", "_range").orderBy(*order))).join(counts, ["_key", "_range"])
-    ranked = ranked.withColumn("_nth", F.col("_before") + F.col("_rank") - 1).join(F.broadcast(planned), "_key")
-    block = F.floor(F.col("_nth") / block_rows).cast("long")
-    ranked = ranked.withColumn("_block", block)
-    phase = F.get(F.filter("_phases", lambda p: (p["first_block"] <= F.col("_block")) & (F.col("_block") <= p["last_block"])), F.lit(0))
-    ranked = ranked.withColumn("_phase", phase).withColumn("_j", F.col("_block") - F.col("_phase.first_block"))
-    n = F.size("_phase.at")
-    within = F.floor(F.col("_j") / n).cast("long") * F.col("_phase.frame") + F.get("_phase.at", (F.col("_j") % n).cast("int"))
-    ranked = ranked.withColumn("_within", within)
-    ranked = ranked.withColumn("_slot", F.col("_phase.base_slot") + F.col("_within"))
-    ranked = ranked.withColumn("_position", F.col("_phase.base_row") + F.col("_within") * block_rows + F.col("_nth") % block_rows)
-    return ranked.select(*docs.columns, "_block", "_slot", "_position")
-
-
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """docs in the order of the mixture: partitions are ranges of positions, sorted, with all columns and rows."""
-    scratch = Scratch(docs.sparkSession, "mixing")
-    placed = scratch.keep(mix(docs, **options), "placed")
-    return placed.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    counts = keyed.groupBy(key, span).agg(F.count("*").alias("n"))
+    sums = F.coalesce(F.sum("n").over(W.partitionBy(key).orderBy(span).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(key, span, sums.alias(before))
+    order = [F.col(mark), F.col("doc_id")] + ([F.xxhash64("text")] if "text" in docs.columns else [])
+    ranked = keyed.withColumn(rank, F.row_number().over(W.partitionBy(key, span).orderBy(*order))).join(counts, [key, span])
+    ranked = ranked.withColumn(nth, F.col(before) + F.col(rank) - 1).join(F.broadcast(planned), key)
+    ranked = ranked.withColumn(block, F.floor(F.col(nth) / block_rows).cast("long"))
+    found = F.get(F.filter(phases, lambda p: (p["first_block"] <= F.col(block)) & (F.col(block) <= p["last_block"])), F.lit(0))
+    ranked = ranked.withColumn(phase, found).withColumn(j, F.col(block) - F.col(f"{phase}.first_block"))
+    n = F.size(f"{phase}.at")
+    ranked = ranked.withColumn(within, F.floor(F.col(j) / n).cast("long") * F.col(f"{phase}.frame") + F.get(f"{phase}.at", (F.col(j) % n).cast("int")))
+    ranked = ranked.withColumn(slot, F.col(f"{phase}.base_slot") + F.col(within))
+    ranked = ranked.withColumn(position, F.col(f"{phase}.base_row") + F.col(within) * block_rows + F.col(nth) % block_rows)
+    return ranked.select(*docs.columns, block, slot, position), total
+
+
+def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = 16, power: float = 0.5, max_sources: int = 512, max_frame: int = 1 << 16) -> DataFrame:
+    """docs with _block (number within the source), _slot and _position (place in the mixture, from 0).
+
+    weights: by source; None: in proportion to rows ** power, in thousandths. If docs has columns that begin with
+    underscores, the three new ones begin with more of them than any (see free_names).
+    """
+    return _planned(docs, weights, block_rows, power, max_sources, max_frame)[0]
+
+
+def mixture(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = 16, power: float = 0.5, max_sources: int = 512, max_frame: int = 1 << 16) -> DataFrame:
+    """docs in the order of the mixture: partitions are equal ranges of positions, sorted, with all columns and rows.
+
+    A row's partition follows from its position and the number of rows, so nothing is sampled or stored for it.
+    """
+    placed, total = _planned(docs, weights, block_rows, power, max_sources, max_frame)
+    position = placed.columns[-1]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col(position) * parts / max(1, total)).cast("int")
+    return placed.repartitionById(parts, part).sortWithinPartitions(position).select(*docs.columns)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Stored docs with _position, their place from 0 by file and row: for a stored mixture the place in the mixture."""
-    at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    """Stored docs and, last, their place from 0 by file and row: for a stored mixture the place in the mixture.
+
+    The column is _position, with more underscores if docs has columns that begin with some.
+    """
+    file, row, base_row = free_names(docs.columns, "file", "row", "base")
+    at = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     # One row a file.
-    files = [(r["_file"], r["n"]) for r in at.groupBy("_file").agg((F.max("_row") + 1).alias("n")).collect()]
+    files = [(r[file], r["n"]) for r in at.groupBy(file).agg((F.max(row) + 1).alias("n")).collect()]
     files.sort(key=lambda x: (int((re.findall(r"part-(\d+)", x[0]) or [0])[-1]), x[0]))
     before, base = 0, []
     for name, n in files:
         base.append((name, before))
         before += n
-    bases = docs.sparkSession.createDataFrame(base, "_file string, _base long")
-    return at.join(F.broadcast(bases), "_file").select(*docs.columns, (F.col("_base") + F.col("_row")).alias("_position"))
+    bases = docs.sparkSession.createDataFrame(base, "file string, base long").toDF(file, base_row)
+    return at.join(F.broadcast(bases), file).select(*docs.columns, (F.col(base_row) + F.col(row)).alias(free_names(docs.columns, "position")[0]))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import hashing
-from tracewright.llm.storage import Scratch, numbers_in_bucket
+from tracewright.llm.storage import Scratch, free_names, numbers_in_bucket
 
 _PACK = "pack long, ids array<long>, texts array<string>"
 _ANCHOR_BITS, _WINDOW_BITS = 32, 48
@@ -368,12 +368,13 @@ def corpus(docs: DataFrame, window: int = 20) -> DataFrame:
     """docs with repeated passages cut and n_chars renewed; documents that consisted of repeats only go.
 
     Every other column stays. Rows with a null doc_id, and rows in which nothing repeats, stay as they are.
-    Rows that share a doc_id and text are cut alike.
+    Rows that share a doc_id and text are cut alike. Columns may have any names.
     """
+    cut_id, was, cut_text = free_names(docs.columns, "cut_id", "cut_was", "cut_text")
     cut = repeated_passages(docs, window, with_text=True).filter("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("_cut_id"), F.col("was").alias("_cut_was"), F.col("text").alias("_cut_text")).dropDuplicates(["_cut_id", "_cut_was"])
-    out = docs.join(cut, (docs["doc_id"] == cut["_cut_id"]) & (F.md5(docs["text"].cast("binary")) == cut["_cut_was"]), "left")
-    out = out.filter(F.coalesce(F.col("_cut_text") != "", F.lit(True)))
+    cut = cut.select(F.col("doc_id").alias(cut_id), F.col("was").alias(was), F.col("text").alias(cut_text)).dropDuplicates([cut_id, was])
+    out = docs.join(cut, (docs["doc_id"] == cut[cut_id]) & (F.md5(docs["text"].cast("binary")) == cut[was]), "left")
+    out = out.filter(F.coalesce(F.col(cut_text) != "", F.lit(True)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut_id").isNull(), F.col("n_chars")).otherwise(F.length("_cut_text").cast("long")))
-    return out.withColumn("text", F.coalesce("_cut_text", "text")).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(cut_id).isNull(), F.col("n_chars")).otherwise(F.length(cut_text).cast("long")))
+    return out.withColumn("text", F.coalesce(cut_text, "text")).select(*docs.columns)
