@@ -1 +1,6 @@
 """Audit queries by section of the operator inventory; each module registers a DataFrame form and DuckDB SQL."""
+
+from tracewright.audits import extraction, graphs, metrics, predicates, relations, reports, scheduling, stores
+from tracewright.audits.registry import COVERS, QUERIES, SQL
+
+__all__ = ["COVERS", "QUERIES", "SQL", "extraction", "graphs", "metrics", "predicates", "relations", "reports", "scheduling", "stores"]

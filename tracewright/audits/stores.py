@@ -74,7 +74,7 @@ def apply_transitions(requests: DataFrame, entity: str, order: Sequence[str], ke
     """
     table_ = F.array(*[F.lit(f"{a}>{b}") for a, b in edges])
     row = F.struct(*order, F.col(key).alias("key"), F.col(target).alias("target"))
-    log = requests.groupBy(entity).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    log = requests.groupBy(entity).agg(F.array_sort(F.collect_list(row)).alias("_requests"))
     entry = "array<struct<key: string, target: string, from_state: string, outcome: string>>"
     empty = F.struct(F.lit(start).alias("state"), F.array().cast(entry).alias("done"))
 
@@ -86,8 +86,8 @@ def apply_transitions(requests: DataFrame, entity: str, order: Sequence[str], ke
         made = F.struct(x["key"].alias("key"), x["target"].alias("target"), acc["state"].alias("from_state"), outcome.alias("outcome"))
         return F.struct(F.when(outcome == "applied", x["target"]).otherwise(acc["state"]).alias("state"), F.concat(acc["done"], F.array(made)).alias("done"))
 
-    folded = log.select(entity, F.aggregate("r", empty, step).alias("f"))
-    return folded.select(entity, F.col("f.state").alias("state"), F.posexplode("f.done").alias("place", "x")).select(entity, "state", F.col("place").cast("long").alias("place"), "x.*")
+    folded = log.select(entity, F.aggregate("_requests", empty, step).alias("_folded"))
+    return folded.select(entity, F.col("_folded.state").alias("state"), F.posexplode("_folded.done").alias("place", "x")).select(entity, "state", F.col("place").cast("long").alias("place"), "x.*")
 
 
 @audit("K4 K5 X7", None)
