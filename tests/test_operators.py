@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ def test_range_and_overlap(spark):
     assert rows(J.range_join(points, spans, "p", "s", "e", 2).select("p", "n")) == [(1, "a"), (5, "a"), (5, "b"), (9, "b")]
     assert rows(J.range_join(points, spans, "p", "s", "e", 2, closed=False).select("p", "n")) == [(1, "a"), (5, "b")]
     other = spans.select(F.col("n").alias("m"), F.col("s").alias("t"), F.col("e").alias("f")).filter("t <= f")
+    left = J.range_join(points, spans, "p", "s", "e", 2, how="left").select("p", "n")
+    assert rows(left) == rows(spark.createDataFrame([(1, "a"), (5, "a"), (5, "b"), (9, "b"), (None, None)], "p long, n string"))
     assert rows(J.overlap_join(spans.filter("s <= e"), other, ("s", "e"), ("t", "f"), 2).select("n", "m")) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
 
 
@@ -91,17 +94,45 @@ def test_json_lines_and_sources(spark, tmp_path):
     assert rows(got) == [("a.py", 1, False), ("test_a.py", 1, True)]
 
 
+def test_spans_of_all_lengths(spark):
+    r = random.Random(2)
+    spans = [(k, s, s + r.choice([0, 3, 40, 900, 50_000, 4_000_000])) for k in range(60) for s in [r.randrange(5000)]]
+    points = [(r.randrange(6000),) for _ in range(50)]
+    a = spark.createDataFrame(spans, "n long, s long, e long")
+    b = a.select(F.col("n").alias("m"), F.col("s").alias("t"), F.col("e").alias("f"))
+    got = J.overlap_join(a, b, ("s", "e"), ("t", "f"), 4).select("n", "m").collect()
+    want = [(x[0], y[0]) for x in spans for y in spans if x[1] <= y[2] and y[1] <= x[2]]
+    assert sorted(map(tuple, got)) == sorted(want)
+    inside = J.range_join(spark.createDataFrame(points, "p long"), a, "p", "s", "e", 4).select("p", "n").collect()
+    assert sorted(map(tuple, inside)) == sorted((p, n) for (p,) in points for n, s, e in spans if s <= p <= e)
+
+
+def test_merged_ranges_over_cells(spark):
+    r = random.Random(3)
+    spans = [(k % 2, s, s + r.randrange(30)) for k in range(300) for s in [r.randrange(20_000)]]
+    got = A.merged_ranges(spark.createDataFrame(spans, "g long, s long, e long"), ["g"], "s", "e", 64).collect()
+    for g in (0, 1):
+        covered = sorted({x for k, s, e in spans if k == g for x in range(s, e + 1)})
+        starts = [x for x, y in zip(covered, [-9, *covered], strict=False) if x - y > 1]
+        assert sorted(x["s"] for x in got if x["g"] == g) == starts
+
+
 def test_streamed_leases_equal_batch(spark, tmp_path):
+    """Over several micro-batches, beats in any order within the lateness, and one that comes too late."""
     t0 = dt.datetime(2024, 1, 1)
-    beats = [("u", t0 + dt.timedelta(seconds=s)) for s in (0, 5, 30, 31, 90)] + [("v", t0)]
-    df = spark.createDataFrame(beats, "entity string, at timestamp")
-    df.write.parquet(str(tmp_path / "beats"))
-    stream = L.stream_leases(spark.readStream.schema(df.schema).parquet(str(tmp_path / "beats")), 10)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    schema = "entity string, at timestamp"
+    batches = [[("u", at(30)), ("u", at(0)), ("v", at(0))], [("u", at(5)), ("u", at(90)), ("u", at(31))], [("w", at(4000))], [("u", at(2)), ("w", at(4001))], [("w", at(9000))]]
+    (tmp_path / "beats").mkdir()
+    stream = L.stream_leases(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "beats")), 10)
     q = stream.writeStream.format("memory").queryName("leases").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
     try:
-        q.processAllAvailable()
+        for k, rows_ in enumerate(batches):
+            (tmp_path / "beats" / f"{k}.json").write_text("\n".join(json.dumps({"entity": e, "at": x.isoformat()}) for e, x in rows_))
+            q.processAllAvailable()
     finally:
         q.stop()
+    # The beat at 2 came after the watermark had passed it; the last one is still waiting.
+    df = spark.createDataFrame([x for k, b in enumerate(batches[:4]) for x in b if x != ("u", at(2))], schema)
     batch = L.leases(df, "entity", ["at"], "at", 10).select("entity", "at", "attempt")
     assert rows(spark.table("leases")) == rows(batch)
-    assert [r["attempt"] for r in batch.orderBy("entity", "at").collect()] == [1, 1, 2, 2, 3, 1]

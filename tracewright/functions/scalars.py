@@ -32,8 +32,9 @@ def positive_int(text: Column) -> Column:
 
 
 def digest(prefix: str, *parts: Column, length: int = 20) -> Column:
-    """Content identity: prefix and leading hex digits of SHA-256 over the NUL-joined parts; null parts count as empty."""
-    joined = F.concat_ws(chr(0), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    """Content identity: prefix and leading hex digits of SHA-256 over the NUL-joined parts; a null part is a SUB character,
+    so it differs from the empty text."""
+    joined = F.concat_ws(chr(0), *[F.coalesce(p.cast("string"), F.lit(chr(26))) for p in parts])
     return F.concat(F.lit(prefix), F.substring(F.sha2(joined, 256), 1, length))
 
 

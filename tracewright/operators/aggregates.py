@@ -51,14 +51,11 @@ def clusters(df: DataFrame, signature: Sequence[str], order: Sequence[str], rout
 
 def longest_run(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """The longest run of consecutive integers of each group."""
-    distinct = df.select(*groups, value).distinct()
-    island = F.col(value) - F.row_number().over(W.partitionBy(*groups).orderBy(value))
-    runs = distinct.withColumn("_i", island).groupBy(*groups, "_i").agg(F.count(F.lit(1)).alias("_n"))
-    return runs.groupBy(*groups).agg(F.max("_n").cast("long").alias("longest"))
+    runs = merged_ranges(df.select(*groups, F.col(value).alias("_s"), F.col(value).alias("_e")).distinct(), groups, "_s", "_e")
+    return runs.groupBy(*groups).agg(F.max(F.col("_e") - F.col("_s") + 1).cast("long").alias("longest"))
 
 
-def merged_ranges(df: DataFrame, groups: Sequence[str], start: str, end: str) -> DataFrame:
-    """Closed integer ranges, merged where they overlap or touch."""
+def _merged(df: DataFrame, groups: Sequence[str], start: str, end: str) -> DataFrame:
     w = W.partitionBy(*groups).orderBy(start, end)
     reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
     opens = F.when(F.col(start) > F.coalesce(reach, F.col(start) - 2) + 1, 1).otherwise(0)
@@ -66,6 +63,15 @@ def merged_ranges(df: DataFrame, groups: Sequence[str], start: str, end: str) ->
     return marked.groupBy(*groups, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
 
 
+def merged_ranges(df: DataFrame, groups: Sequence[str], start: str, end: str, width: int = 4096) -> DataFrame:
+    """Closed integer ranges, merged where they overlap or touch.
+
+    First within cells of width starts, so that a group of any size is sorted by many tasks; then what is left of each.
+    """
+    cells = df.select(*groups, start, end).withColumn("_cell", F.floor(F.col(start) / width))
+    return _merged(_merged(cells, [*groups, "_cell"], start, end).drop("_cell"), groups, start, end)
+
+
 def gates(actual: DataFrame, required: Sequence[tuple[str, str, float]]) -> DataFrame:
     """One row a gate of a one-row table: gate, actual, required, passed. A missing value fails.
 

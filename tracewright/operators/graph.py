@@ -1,12 +1,14 @@
 """Graph fix-points as loops over DataFrames with columns src, dst.
 
 Each round joins the frontier with the edges, keeps what is new by an anti-join and cuts the lineage with checkpoint(),
-which writes to the session's shared checkpoint folder: executors may be lost at any time.
+which writes to the session's shared checkpoint folder: executors may be lost at any time. A frontier is written once;
+what was found so far is the union of the frontiers and is never written again.
 """
 
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,50 +28,67 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Found:
+    """The rows of all rounds: their union, stored as one whenever there are 16 of them, so that plans stay small."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, frontier: DataFrame) -> None:
+        self.parts.append(frontier)
+        if len(self.parts) > 16:
+            self.parts = [cut(self.all())]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """node, depth for every node within depth steps of a seed (node); depth counts the fewest steps."""
     edges = cut(edges.select("src", "dst").distinct())
-    seen = frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
-    step = 0
+    frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
+    found, step = Found(frontier), 0
     while depth is None or step < depth:
         step += 1
         new = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(step).cast("long")))
+        frontier = cut(new.join(found.all(), "node", "left_anti").withColumn("depth", F.lit(step).cast("long")))
         if frontier.isEmpty():
             break
-        seen = cut(seen.union(frontier))
-    return seen
+        found.add(frontier)
+    return found.all()
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """seed, node, length, path (array): of the shortest paths from each seed the lexicographically first."""
     edges = cut(edges.select("src", "dst").distinct())
     first = seeds.select(F.col("node").alias("seed"), "node").distinct()
-    seen = frontier = cut(first.withColumns({"length": F.lit(0).cast("long"), "path": F.array("node")}))
+    frontier = cut(first.withColumns({"length": F.lit(0).cast("long"), "path": F.array("node")}))
+    found = Found(frontier)
     for step in range(1, depth + 1):
         grown = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         grown = grown.groupBy("seed", "node").agg(F.min("path").alias("path"))
-        grown = grown.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        grown = grown.join(found.all().select("seed", "node"), ["seed", "node"], "left_anti")
         frontier = cut(grown.select("seed", "node", F.lit(step).cast("long").alias("length"), "path"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        found.add(frontier)
+    return found.all()
 
 
 def nearest_seeds(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """node, distance, seeds (sorted array): undirected distance to the nearest seeds and which ones they are."""
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    seen = frontier = cut(seeds.select("node", F.lit(0).cast("long").alias("distance"), F.array("node").alias("seeds")).dropDuplicates(["node"]))
+    frontier = cut(seeds.select("node", F.lit(0).cast("long").alias("distance"), F.array("node").alias("seeds")).dropDuplicates(["node"]))
+    found = Found(frontier)
     for step in range(1, depth + 1):
         grown = frontier.join(both, frontier["node"] == both["src"]).select(F.col("dst").alias("node"), F.explode("seeds").alias("seed"))
-        grown = grown.join(seen.select("node"), "node", "left_anti")
+        grown = grown.join(found.all().select("node"), "node", "left_anti")
         grown = grown.groupBy("node").agg(F.array_sort(F.collect_set("seed")).alias("seeds"))
         frontier = cut(grown.select("node", F.lit(step).cast("long").alias("distance"), "seeds"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        found.add(frontier)
+    return found.all()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,26 +17,73 @@ def pick_one(left: DataFrame, right: DataFrame, on: Column, key: Sequence[str],
     return joined.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
+_LEVELS = 12
+
+
+def _level(start: str, end: str, width: int) -> Column:
+    """The least level whose cells, width * 4**level long, are no shorter than the span."""
+    out = F.lit(_LEVELS)
+    for k in reversed(range(_LEVELS)):
+        out = F.when(F.col(end) - F.col(start) < width * 4**k, k).otherwise(out)
+    return out
+
+
+def _cells(level: Column, start: str, end: str, width: int) -> Column:
+    size = F.lit(width) * F.pow(F.lit(4.0), level)
+    return F.explode(F.sequence(F.floor(F.col(start) / size).cast("long"), F.floor(F.col(end) / size).cast("long")))
+
+
+def _levels(*spans: DataFrame) -> list[int]:
+    """The levels that occur, thirteen at most."""
+    found = spans[0].select("_level")
+    for s in spans[1:]:
+        found = found.union(s.select("_level"))
+    return sorted(r["_level"] for r in found.distinct().collect())
+
+
 def range_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, width: int, keys: Sequence[str] = (), closed: bool = True, how: str = "inner") -> DataFrame:
-    """Pairs with start <= point <= end (or < end), equal in keys.
+    """Pairs with start <= point <= end (or < end), equal in keys; how: inner or left.
 
-    Spans are repeated for each cell of the given width that they touch and points fall in one cell, so that the join is
-    an equality join, which distributes; width should be near a usual span's length. Columns must be numbers.
+    A span lies in one or two cells of a grid whose cells are no shorter than it, so long spans don't become many rows; a
+    point looks into its cell of each grid that occurs (of thirteen). The join is an equality join, which distributes.
+    width: the finest grid's cells, near a usual span's length. Columns must be numbers and differ by name, but for keys.
     """
-    cells = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
-    spread = spans.filter(F.col(start) <= F.col(end)).withColumn("_cell", F.explode(cells))
-    placed = points.withColumn("_cell", F.floor(F.col(point) / width))
-    upper = F.col(point) <= F.col(end) if closed else F.col(point) < F.col(end)
-    matched = placed.alias("p").join(spread.alias("s"), [*keys, "_cell"], how)
-    return matched.filter((F.col(start) <= F.col(point)) & upper).drop("_cell")
+    spans = spans.filter(F.col(start) <= F.col(end)).withColumn("_level", _level(start, end, width))
+    grids = _levels(spans) or [0]
+    spread = spans.withColumn("_cell", _cells(F.col("_level"), start, end, width)).withColumnsRenamed({k: f"_{k}" for k in keys} | {"_level": "_l", "_cell": "_c"})
+    placed = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in grids])))
+    placed = placed.withColumn("_cell", F.floor(F.col(point) / (F.lit(width) * F.pow(F.lit(4.0), F.col("_level")))).cast("long"))
+    on = (F.col("_level") == F.col("_l")) & (F.col("_cell") == F.col("_c")) & (F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end) if closed else F.col(point) < F.col(end))
+    for k in keys:
+        on &= F.col(k) == F.col(f"_{k}")
+    inner = placed.join(spread, on).drop("_level", "_cell", "_l", "_c", *[f"_{k}" for k in keys])
+    if how == "inner":
+        return inner
+    # Points in no span, once each: a point is looked up in several grids, so an outer join would repeat it.
+    met = inner.select(*[F.col(c).alias(f"_i_{c}") for c in points.columns]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_i_{c}")) for c in points.columns]
+    rest = points.join(met, reduce(and_, same), "left_anti")
+    return inner.unionByName(rest, allowMissingColumns=True)
 
 
 def overlap_join(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], width: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Pairs of closed intervals that overlap, equal in keys; each pair once, found in the cell of the later start."""
-    cells = lambda s: F.explode(F.sequence(F.floor(F.col(s[0]) / width), F.floor(F.col(s[1]) / width)))
-    joined = a.withColumn("_cell", cells(a_span)).join(b.withColumn("_cell", cells(b_span)), [*keys, "_cell"])
+    """Pairs of closed intervals that overlap, equal in keys; each pair once, found in the cell of the later start.
+
+    Two spans meet in the grid of the longer one (see range_join), so a span goes to its own grid and the coarser ones
+    that occur, into one or two cells of each.
+    """
+    a, b = (df.withColumn("_level", _level(*s, width)) for df, s in ((a, a_span), (b, b_span)))
+    grids = F.array(*[F.lit(k) for k in _levels(a, b) or [0]])
+
+    def spread(df: DataFrame, span: tuple[str, str], name: str) -> DataFrame:
+        out = df.withColumn("_grid", F.explode(F.filter(grids, lambda g: g >= F.col("_level"))))
+        return out.withColumn("_cell", _cells(F.col("_grid"), *span, width)).withColumnRenamed("_level", name)
+
+    joined = spread(a, a_span, "_own_a").join(spread(b, b_span, "_own_b"), [*keys, "_grid", "_cell"])
     meets = (F.col(a_span[0]) <= F.col(b_span[1])) & (F.col(b_span[0]) <= F.col(a_span[1]))
-    return joined.filter(meets & (F.col("_cell") == F.floor(F.greatest(F.col(a_span[0]), F.col(b_span[0])) / width))).drop("_cell")
+    size = F.lit(width) * F.pow(F.lit(4.0), F.col("_grid"))
+    first = F.col("_cell") == F.floor(F.greatest(F.col(a_span[0]), F.col(b_span[0])) / size)
+    return joined.filter(meets & first & (F.col("_grid") == F.greatest("_own_a", "_own_b"))).drop("_cell", "_grid", "_own_a", "_own_b")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, payload: Sequence[str], tie: str) -> DataFrame:

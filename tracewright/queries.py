@@ -83,14 +83,6 @@ def usage_cost(spark: SparkSession, d: str) -> DataFrame:
     return usage.groupBy("l_linestatus", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(cost, 4).alias("cost"))
 
 
-@query("""
-SELECT source, CASE WHEN count(DISTINCT toxic) = 1 THEN min(CASE toxic WHEN 1 THEN 'false' ELSE 'real' END) ELSE 'conflict' END AS verdict
-FROM labels JOIN documents USING (doc_id) WHERE doc_id % 7 < 3 GROUP BY source""")
-def verdict_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    given = table(spark, d, "labels").filter("doc_id % 7 < 3").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return A.verdicts(given.withColumn("v", F.when(F.col("toxic") == 1, "false").otherwise("real")), ["source"], "v")
-
-
 @query("""
 WITH e AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), o AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
 x AS (SELECT coalesce(e.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'fn' WHEN e.doc_id IS NULL THEN 'fp' ELSE 'tp' END AS outcome FROM e FULL JOIN o ON e.doc_id = o.doc_id),
@@ -194,32 +186,6 @@ def latest_before(spark: SparkSession, d: str) -> DataFrame:
     return J.as_of(e.filter("event_type = 'purchase'"), views, ["user_id"], "ts", ["view_id"], "view_id").select("event_id", "view_id")
 
 
-@query("""
-SELECT a, b, distance FROM (SELECT x.event_id AS a, y.event_id AS b, abs(x.event_id - y.event_id) AS distance, row_number() OVER (PARTITION BY x.event_id ORDER BY abs(x.event_id - y.event_id), y.event_id) AS r
-FROM events x JOIN events y ON x.user_id = y.user_id WHERE x.event_type = 'error' AND y.event_type = 'signup') WHERE r = 1""")
-def nearest_check(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    x = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("a"))
-    y = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("b"))
-    return J.best_match(x.join(y, "user_id").withColumn("distance", F.abs(F.col("a") - F.col("b"))), ["a"], ["distance", "b"]).select("a", "b", "distance")
-
-
-@query("""
-SELECT DISTINCT s_suppkey, c_custkey FROM supplier, customer WHERE (s_nationkey = c_nationkey AND c_mktsegment = 'BUILDING' AND c_custkey % 10 = 0) OR (s_suppkey = c_custkey AND c_mktsegment = 'BUILDING' AND c_custkey % 10 = 0)""")
-def theta_or(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING' and c_custkey % 10 = 0").select("c_custkey", "c_nationkey")
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    return J.match_either(s, c, [("s_nationkey", "c_nationkey"), ("s_suppkey", "c_custkey")]).select("s_suppkey", "c_custkey").distinct()
-
-
-@query("""
-SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - c_acctbal), c_custkey) AS r
-FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE r = 1""")
-def obligation_binding(spark: SparkSession, d: str) -> DataFrame:
-    pairs = table(spark, d, "supplier").join(table(spark, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey"))
-    return J.best_match(pairs, ["s_suppkey"], [F.abs(F.col("s_acctbal") - F.col("c_acctbal")), F.col("c_custkey")]).select("s_suppkey", "c_custkey")
-
-
 @query("""
 WITH u AS (SELECT n_name, min(n_nationkey) AS k FROM nation GROUP BY 1 HAVING count(*) = 1)
 SELECT s_suppkey, coalesce(a.n_nationkey, u.k, try_cast(regexp_extract(s_name, '([0-9]+)$', 1) AS BIGINT) % 25)::BIGINT AS target
@@ -243,25 +209,6 @@ def neighbour_expansion(spark: SparkSession, d: str) -> DataFrame:
     return edges.join(changed, "l_suppkey", "left_semi").select(F.col("l_partkey").alias("node")).union(edges.join(small, "l_partkey", "left_semi").select("l_suppkey")).distinct()
 
 
-@query("""
-SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderdate, o_orderkey) AS rank FROM orders WHERE o_orderstatus = 'F'""")
-def total_order(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "orders").filter("o_orderstatus = 'F'")
-    return R.ranked(f, ["o_orderpriority"], [F.desc("o_totalprice"), F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "rank")
-
-
-@query("""
-WITH k AS (SELECT o_orderkey, o_orderpriority, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 'critical' WHEN 'O' THEN 'high' ELSE 'retry' END AS kind FROM orders),
-q AS (SELECT *, CASE kind WHEN 'critical' THEN 60 WHEN 'high' THEN 30 ELSE 10 END AS quota, CASE kind WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END AS place FROM k),
-r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, kind ORDER BY o_totalprice DESC, o_orderkey) <= quota AS inside FROM q),
-b AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, inside ORDER BY place, o_totalprice DESC, o_orderkey) AS rest, sum(inside::INT) OVER (PARTITION BY o_orderpriority) AS used FROM r)
-SELECT o_orderkey, CASE WHEN inside THEN 'quota' WHEN rest <= 100 - used THEN 'borrowed' ELSE 'max_slots' END AS reason FROM b""")
-def quota_admission(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("o_orderstatus") == "F", "critical").when(F.col("o_orderstatus") == "O", "high").otherwise("retry")
-    rows = table(spark, d, "orders").withColumn("kind", kind)
-    return R.quota_admission(rows, ["o_orderpriority"], "kind", [F.desc("o_totalprice"), F.col("o_orderkey")], 100, {"critical": 60, "high": 30, "retry": 10}).select("o_orderkey", "reason")
-
-
 @query("""
 SELECT c_custkey, o_orderkey, score FROM (SELECT o_custkey AS c_custkey, o_orderkey, score, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) AS r FROM
 (SELECT *, 20 * (o_orderstatus = 'F')::INT + 4 * (o_orderpriority IN ('1-URGENT', '2-HIGH'))::INT + (o_totalprice / 100000)::INT AS score FROM (SELECT * REPLACE (floor(o_totalprice) AS o_totalprice) FROM orders))) WHERE r <= 3""")
@@ -277,22 +224,6 @@ def wave_assignment(spark: SparkSession, d: str) -> DataFrame:
     return R.waves(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], 5).select("event_id", "wave")
 
 
-@query("""
-SELECT doc_id, before, before + n_chars <= 60000 AS fits FROM (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents)""")
-def running_budget(spark: SparkSession, d: str) -> DataFrame:
-    return R.within_budget(table(spark, d, "documents"), ["source"], ["doc_id"], "n_chars", 60000).select("doc_id", "before", "fits")
-
-
-@query("""
-WITH RECURSIVE o AS (SELECT source, doc_id, n_chars AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
-p AS (SELECT source, doc_id, r, 0::BIGINT AS bin, s AS used FROM o WHERE r = 1
-  UNION ALL SELECT o.source, o.doc_id, o.r, CASE WHEN p.used + 2 + o.s <= 24000 THEN p.bin ELSE p.bin + 1 END, CASE WHEN p.used + 2 + o.s <= 24000 THEN p.used + 2 + o.s ELSE o.s END FROM p JOIN o ON o.source = p.source AND o.r = p.r + 1)
-SELECT doc_id, bin FROM p""")
-def context_packing(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    return R.next_fit(docs, "source", "doc_id", "n_chars", 24000, separator=2).select("doc_id", "bin")
-
-
 @query("""
 SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1""")
 def first_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -309,73 +240,6 @@ def coverage_plan(spark: SparkSession, d: str) -> DataFrame:
     return flag.groupBy("n_name").agg(F.count("k").alias("covered"), F.sum(F.col("k").isNull().cast("long")).alias("uncovered"))
 
 
-_EDGES = "(SELECT DISTINCT o_custkey AS src, o_orderkey % 1500 + 1 AS dst FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')"
-
-
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
-    return rows.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1500 + 1).alias("dst")).distinct()
-
-
-def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").filter("c_custkey <= 20").select(F.col("c_custkey").alias("node"))
-
-
-@query(f"""
-WITH RECURSIVE e AS {_EDGES}, r AS (SELECT c_custkey AS node, 0::BIGINT AS depth FROM customer WHERE c_custkey <= 20 UNION SELECT dst, depth + 1 FROM r JOIN e ON node = src WHERE depth < 6)
-SELECT node, min(depth) AS depth FROM r GROUP BY node""")
-def reachability(spark: SparkSession, d: str) -> DataFrame:
-    return G.reachable(_edges(spark, d), _seeds(spark, d), 6)
-
-
-@query(f"""
-WITH RECURSIVE e AS {_EDGES}, r AS (SELECT c_custkey AS seed, c_custkey AS node, [c_custkey] AS path FROM customer WHERE c_custkey <= 20
-  UNION ALL SELECT seed, dst, list_append(path, dst) FROM r JOIN e ON node = src WHERE len(path) <= 4 AND NOT list_contains(path, dst)),
-m AS (SELECT seed, node, path, row_number() OVER (PARTITION BY seed, node ORDER BY len(path), path) AS k FROM r)
-SELECT seed, node, (len(path) - 1)::BIGINT AS length, array_to_string(path, '>') AS path FROM m WHERE k = 1""")
-def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    found = G.shortest_paths(_edges(spark, d), _seeds(spark, d), 4)
-    return found.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
-
-
-@query(f"""
-WITH RECURSIVE e AS {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-r AS (SELECT c_custkey AS seed, c_custkey AS node, 0::BIGINT AS distance FROM customer WHERE c_custkey <= 20 UNION SELECT seed, dst, distance + 1 FROM r JOIN b ON node = src WHERE distance < 4),
-m AS (SELECT node, seed, min(distance) AS distance FROM r GROUP BY 1, 2), n AS (SELECT node, min(distance) AS distance FROM m GROUP BY 1)
-SELECT node, distance, string_agg(seed::VARCHAR, ',' ORDER BY seed) AS seeds FROM m JOIN n USING (node, distance) GROUP BY 1, 2""")
-def nearest_seeds(spark: SparkSession, d: str) -> DataFrame:
-    found = G.nearest_seeds(_edges(spark, d), _seeds(spark, d), 4)
-    return found.withColumn("seeds", F.array_join(F.transform("seeds", lambda x: x.cast("string")), ","))
-
-
-@query(f"""
-WITH RECURSIVE e AS (SELECT * FROM {_EDGES} WHERE src % 3 = 0), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-r AS (SELECT DISTINCT src AS node, src AS other FROM b UNION SELECT r.node, dst FROM r JOIN b ON other = src)
-SELECT node, min(other) AS component FROM r GROUP BY node""")
-def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return G.components(_edges(spark, d).filter("src % 3 = 0"))
-
-
-_FLOW = "(SELECT DISTINCT l_orderkey % 40 + 1 AS src, (l_orderkey % 40 + 1 + l_linenumber * 3) AS dst FROM lineitem WHERE l_quantity > 48 AND l_orderkey % 40 + 1 + l_linenumber * 3 <= 60 AND l_orderkey < 1200)"
-
-
-@query(f"""
-WITH RECURSIVE e AS {_FLOW}, t AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM t JOIN e ON node = src),
-a AS (SELECT d.node AS gone, 1::BIGINT AS node FROM t d WHERE d.node <> 1 UNION SELECT gone, dst FROM a JOIN e ON node = src WHERE dst <> gone)
-SELECT n.node, d.node AS dominator FROM t n, t d WHERE d.node = 1 OR NOT EXISTS (SELECT 1 FROM a WHERE a.gone = d.node AND a.node = n.node)""")
-def dominators(spark: SparkSession, d: str) -> DataFrame:
-    src = F.col("l_orderkey") % 40 + 1
-    rows = table(spark, d, "lineitem").filter("l_quantity > 48 and l_orderkey < 1200").select(src.alias("src"), (src + F.col("l_linenumber") * 3).cast("long").alias("dst"))
-    return G.dominators(rows.filter("dst <= 60").distinct(), 1)
-
-
-@query(r"""
-SELECT conv_id, turn, trim(regexp_replace(lower(left(text, 200)), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
-  left(regexp_replace(trim(text), '\s+', ' ', 'g'), 80) AS short FROM conversations""")
-def text_normalisation(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", S.slug(F.substring("text", 1, 200)).alias("slug"), S.compact(F.col("text"), 80).alias("short"))
-
-
 @query("""
 SELECT event_id, 'fact_' || left(sha256(event_type || chr(0) || user_id || chr(0) || coalesce(props, '')), 20) AS fact_id FROM events""")
 def content_identity(spark: SparkSession, d: str) -> DataFrame:
@@ -449,23 +313,6 @@ def idempotent_replay(spark: SparkSession, d: str) -> DataFrame:
     return L.replays(table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k")), "user_id", "k", "event_type")
 
 
-@query("""
-SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'O')
-WHERE r = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0)""")
-def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    return new_rows(o.filter("o_orderstatus = 'F' and o_orderkey % 5 = 0"), o.filter("o_orderstatus = 'O'"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_orderkey")
-
-
-@query("""
-SELECT doc_id FROM (SELECT doc_id, lang, source FROM documents WHERE doc_id % 2 = 0) a JOIN (SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN 'moved' ELSE source END AS source FROM documents) b USING (doc_id)
-WHERE a.source <> b.source OR a.lang <> b.lang""")
-def immutable_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
-    again = docs.withColumn("source", F.when(F.col("doc_id") % 10 == 0, "moved").otherwise(F.col("source")))
-    return conflicts(docs.filter("doc_id % 2 = 0"), again, ["doc_id"], ["lang", "source"])
-
-
 @query("SELECT DISTINCT 'sha256:' || sha256(text) AS digest, left(sha256(text), 2) AS shard FROM documents")
 def content_addresses(spark: SparkSession, d: str) -> DataFrame:
     return put_content(table(spark, d, "documents").select("text"), "text").select("digest", "shard")

@@ -41,22 +41,34 @@ def leases(beats: DataFrame, entity: str, order: Sequence[str], at: str, seconds
     return out.withColumn("_late", late.cast("int")).withColumn("attempt", (1 + F.sum("_late").over(w.rowsBetween(W.unboundedPreceding, 0))).cast("long")).drop("_late")
 
 
-def stream_leases(beats: DataFrame, seconds: int) -> DataFrame:
-    """leases() over a stream of (entity string, at timestamp): entity, at, attempt, by a state per entity."""
+def stream_leases(beats: DataFrame, seconds: int, lateness: int = 600, forget: int = 86_400) -> DataFrame:
+    """leases() over a stream of (entity string, at timestamp): entity, at, attempt, by a state per entity.
+
+    A beat waits in the state until the watermark (lateness seconds behind the latest beat) has passed it, so beats are
+    counted in the order of their times whatever batches bring them; later ones are dropped by the watermark. An entity
+    that is silent for forget seconds after its lease ran out is forgotten, and its attempts start again.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expires, attempt = state.get if state.exists else (None, 1)
-        for batch in batches:
-            rows = []
-            for at in sorted(batch["at"]):
-                if expires is not None and at.timestamp() > expires:
-                    attempt += 1
-                expires = at.timestamp() + seconds
-                rows.append((key[0], at, attempt))
-            yield pd.DataFrame(rows, columns=["entity", "at", "attempt"])
-        state.update((expires, attempt))
-
-    return beats.groupBy("entity").applyInPandasWithState(update, "entity string, at timestamp, attempt long", "expires double, attempt long", "append", GroupStateTimeout.NoTimeout)
+        expires, attempt, waiting = state.get if state.exists else (None, 1, [])
+        waiting = sorted([*waiting, *(at.timestamp() for batch in batches for at in batch["at"])])
+        mark, rows = state.getCurrentWatermarkMs() / 1000, []
+        while waiting and waiting[0] <= mark:
+            at = waiting.pop(0)
+            if expires is not None and at > expires:
+                attempt += 1
+            expires = at + seconds
+            rows.append((key[0], pd.Timestamp(at, unit="s"), attempt))
+        wake = waiting[0] if waiting else (expires or mark) + forget
+        if wake <= mark and not waiting:
+            state.remove()
+        else:
+            state.update((expires, attempt, waiting))
+            state.setTimeoutTimestamp(int(max(wake, mark) * 1000) + 1)
+        yield pd.DataFrame(rows, columns=["entity", "at", "attempt"])
+
+    marked = beats.withWatermark("at", f"{lateness} seconds")
+    return marked.groupBy("entity").applyInPandasWithState(update, "entity string, at timestamp, attempt long", "expires double, attempt long, waiting array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:

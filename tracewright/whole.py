@@ -1,6 +1,6 @@
-"""Queries over whole tables, where the query of the same name in ``queries`` and its SQL read a part of them.
+"""Graph queries, and others over whole tables; ``__spark_entry__`` registers them without ``_whole``.
 
-Those keep their SQL; these have ``_whole`` in their names, and SQL of their own where DuckDB can run it.
+Recursive SQL over the whole trade graph is too slow in DuckDB, so the graph queries are tested by brute force instead.
 """
 
 from __future__ import annotations
