@@ -239,9 +239,12 @@ def _bucket_units(members: DataFrame, labels: DataFrame, block_rows: int, block_
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Connected components of edges (a, b): node, root, for every node that has an edge; root is the smallest."""
-    step, before = 0, None
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    """Connected components of edges (a, b): node, root, for every node that has an edge; root is the smallest.
+
+    It ends as soon as the edges are stars: no node has two edges downwards, and none that has one is below another.
+    """
+    step = 0
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -249,13 +252,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         small = scratch.keep(small.select("e.a", "e.b").filter("a <> b").distinct(), f"{name}_{step}")
-        now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if step:
             scratch.drop(f"{name}_{step - 1}")
-        if now == before or not now[0]:
+        ends = small.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e"))
+        per = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("low"))
+        if not per.agg(F.sum(((F.col("up") > 1) | (F.col("up") == 1) & (F.col("low") == 0)).cast("int"))).first()[0]:
             roots = small.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return small.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
-        edges, before, step = small, now, step + 1
+        edges, step = small, step + 1
 
 
 def _judged(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, id_bytes: int, block_rows: int, block_shingles: int, giant_blocks: int) -> DataFrame:

@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -41,16 +42,23 @@ from tracewright.llm.storage import Scratch
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 _PLACED = f"{_PIECE}, sequence_id long, offset long, final boolean"
 _PIECE_BITS = 20  # of a place; the others are the document's position
-_CHUNKS, _TOKENS = 600_000, 1_000_000
+_CHUNKS = 500_000
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: the printable Latin-1 bytes stand for themselves, the others for the letters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 0x100 + k for k, b in enumerate(rest)}
 
 
 class ChunkCache(dict):
     """Token ids, as little-endian unsigned 32-bit, of a chunk of text without blanks.
 
     Texts of code points that are below U+0250 in lower case as well are lower-cased first, as the tokenizer does, and
-    their chunks are put together from the ids of their runs of letters, digits and other characters, which are the
-    tokenizer's pre-tokens. Chunks with an apostrophe (contractions) or ``<|`` (special tokens), and all other texts, are
-    encoded chunk by chunk.
+    their chunks are put together from their runs of letters, digits and other characters, which are the tokenizer's
+    pre-tokens: these go to its merges directly, in the byte-level alphabet. Chunks with an apostrophe (contractions) or
+    ``<|`` (special tokens), and all other texts, are encoded chunk by chunk.
     """
 
     other = re.compile("[%s\u0250-\U0010ffff]" % "".join(chr(c) for c in range(0x250) if max(map(ord, chr(c).lower())) >= 0x250))
@@ -62,38 +70,27 @@ class ChunkCache(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokens: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
 
     def _each(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
-    def _learn_tokens(self, new: list[str]) -> None:
-        """One call for all: each pre-token is a word of its own."""
-        if len(self.tokens) + len(new) > _TOKENS:
-            self.tokens.clear()
-        got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        words = np.array(got.word_ids, dtype=np.float64)
-        cuts = np.flatnonzero(np.diff(words, prepend=-1.0, append=np.inf))
-        if len(cuts) == len(new) + 1:
-            ids = np.array(got.ids, dtype="<u4").tobytes()
-            self.tokens.update(zip(new, (ids[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
-        else:
-            self.tokens.update(zip(new, self._each(new), strict=True))
+    def _merged(self, chunk: str) -> bytes:
+        ids: list[int] = []
+        for run in (chunk,) if chunk.isalpha() else self.runs.findall(chunk):
+            raw = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+            ids += [t.id for t in self.merges(raw)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, chunks: list[str], plain: bool) -> None:
         if len(self) + len(chunks) > _CHUNKS:
             self.clear()
         slow = [c for c in chunks if not plain or self.odd.search(c)]
         self.update(zip(slow, self._each(slow), strict=True))
-        fast = [c for c in chunks if c not in self]
-        split = [self.runs.findall(c) for c in fast]
-        new = sorted({t for x in split for t in x if t not in self.tokens})
-        if len(self.tokens) + len(new) > _TOKENS:
-            new = sorted({t for x in split for t in x})
-        if new:
-            self._learn_tokens(new)
-        look = self.tokens.__getitem__
-        self.update((c, b"".join(map(look, x))) for c, x in zip(fast, split, strict=True))
+        for c in chunks:
+            if c not in self:
+                self[c] = self._merged(c)
 
     def ids(self, text: str) -> bytes:
         plain = not self.other.search(text)
