@@ -328,7 +328,7 @@ def reservations(calls: DataFrame, key: str, order: Sequence[str], hard: int, so
     return calls.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, schema)
 
 
-@audit("O11 N1", None)
+@audit("O11", None)
 def call_reservations(spark: SparkSession, d: str) -> DataFrame:
     """Rejected calls change nothing for those after them, which windows can't say; the test has a plain loop."""
     li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
