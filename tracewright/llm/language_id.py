@@ -282,12 +282,12 @@ def identify(docs: DataFrame, per_label: int = 500) -> DataFrame:
     return predict(docs.withColumn("held_out", F.coalesce(fold() == 0, F.lit(False))), model, ["doc_id", "held_out"])
 
 
-def identified(docs: DataFrame, per_label: int = 500, reject: tuple[int, float] = (400, 0.5)) -> DataFrame:
+def identified(docs: DataFrame, per_label: int = 500, reject: tuple[int, float] = (400, 0.35)) -> DataFrame:
     """docs in which a language was found, with all their columns.
 
     Those without any letter go, with or without a model, and so do texts of at least reject[0] n-grams (some 100
-    characters) whose calibrated score is below reject[1]. A shorter text has a low score in every language and is no worse
-    for it, so no score is asked of it.
+    characters) whose calibrated score is below reject[1]. Half the text in another language doesn't bring it down there,
+    and a shorter text has a low score in every language and is no worse for it, so no score is asked of it.
     """
     model = fit(docs, fold() != 0, per_label)
     names = docs.columns
