@@ -7,7 +7,6 @@ import duckdb
 import pytest
 
 from tests.test_audit_queries import plain
-from tracewright import queries as audit
 from tracewright import whole
 
 FOLDER = "/root/testdata/sf0.001"
@@ -116,17 +115,10 @@ def test_sql(spark, duck, name):
     assert got == plain(duck.execute(whole.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", ["theta_or", "insert_if_absent"])
-def test_whole_is_another_result(spark, duck, name):
-    part = plain(duck.execute(audit.oracle_sql()[name]).df())
-    assert part != plain(whole.queries()[f"{name}_whole"](spark, FOLDER).toPandas())
-
-
 def test_verdicts_of_all_labels(spark, tmp_path):
     spark.createDataFrame([(1, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int").toPandas().to_parquet(tmp_path / "labels.parquet")
     spark.createDataFrame([(1, "s"), (3, "s")], "doc_id long, source string").toPandas().to_parquet(tmp_path / "documents.parquet")
     assert [tuple(r) for r in whole.queries()["verdict_conflicts_whole"](spark, str(tmp_path)).collect()] == [("s", "conflict")]
-    assert [tuple(r) for r in audit.queries()["verdict_conflicts"](spark, str(tmp_path)).collect()] == [("s", "false")]
 
 
 def test_conflicts_of_odd_ids(spark):
