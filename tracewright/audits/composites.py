@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.audits.metrics import ids, tally
-from tracewright.audits.registry import FACTS, FOUND, RUNS, WORK, audit, facts, found, runs, work
+from tracewright.audits.registry import FACTS, FOUND, QUERIES, RUNS, SQL, WORK, audit, facts, found, runs, work
 from tracewright.functions import scalars as S
 from tracewright.operators import ranking as R
 from tracewright.sources.tables import table
@@ -221,3 +221,46 @@ def step_plan(spark: SparkSession, d: str) -> DataFrame:
     running = F.col("status") == "running"
     state = F.when((F.col("status") == "done") | running & (F.col("place") <= 4), "done").when(running & (F.col("place") == 5) | (F.col("status") == "pending") & (F.col("place") == 1), "ready").otherwise("blocked")
     return w.select("work_id", "step", "place", state.alias("state"))
+
+
+#: Seed builders: kind, query, and the key=value facts that its rows give.
+SEEDS = [
+    ("capacity", "capacity_chains", "allocation", {"guard": "guard", "signal": "signal", "score": "score"}),
+    ("initialisation", "partial_initialisation", "allocation", {"consumers": "consumers", "disclosed": "disclosed"}),
+    ("static", "static_findings", "fact_id", {"line": "line", "findings": "findings"}),
+    ("cursor", "nearest_loop", "fact_id", {"loop": "loop_id"}),
+    ("length", "nearest_length_check", "fact_id", {"check": "check_id", "distance": "distance"}),
+    ("format", "format_width", "p_partkey", {"dynamic": "dynamic", "guard": "guard"}),
+    ("closure", "guarded_allocations", "node_id", {"seed": "seed", "reached": "reached"}),
+]
+
+
+def _seed_sql() -> str:
+    def facts_of(pairs: dict[str, str]) -> str:
+        return " || ';' || ".join(f"'{k}=' || coalesce({c}::VARCHAR, 'none')" for k, c in pairs.items())
+
+    return " UNION ALL ".join(f"SELECT '{kind}' AS kind, {key} AS id, {facts_of(pairs)} AS facts FROM ({SQL[name]})" for kind, name, key, pairs in SEEDS)
+
+
+@audit("A8 U5", _seed_sql())
+def obligation_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Chains, facts and checks as obligations' seeds: a kind, an id and structural facts as key=value."""
+    out = None
+    for kind, name, key, pairs in SEEDS:
+        parts = [F.concat(F.lit(f"{k}="), F.coalesce(F.col(c).cast("string"), F.lit("none"))) for k, c in pairs.items()]
+        seeds = QUERIES[name](spark, d).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.concat_ws(";", *parts).alias("facts"))
+        out = seeds if out is None else out.unionByName(seeds)
+    return out
+
+
+_GRAPH = [("node", "symbol_rows", "symbol || ':' || file"), ("macro", "symbol_rows", "macro || '=' || value"), ("include", "symbol_rows", "include || ':' || file"), ("fact", "source_facts", "fact_id"), ("read", "pointer_reads", "file || ':' || most_index")]
+
+
+@audit("S8", " UNION ALL ".join(f"SELECT '{kind}' AS \"table\", {row}::VARCHAR AS row FROM ({SQL[name]})" for kind, name, row in _GRAPH))
+def source_graph(spark: SparkSession, d: str) -> DataFrame:
+    """All fact tables of the source files as one: each row with the table that it belongs to."""
+    tables = [QUERIES[name](spark, d).select(F.lit(kind).alias("table"), F.expr(f"cast({row} as string)").alias("row")) for kind, name, row in _GRAPH]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
