@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, html_extract, language_id, minhash, mixing, packing, quality, sql, substring, topk, warc
+from tracewright.llm import chat, html_extract, language_id, minhash, mixing, packing, quality, resampling, sql, substring, topk, warc
 from tracewright.llm.storage import table
 
 #: The conversation that op8 formats besides the table's.
@@ -59,6 +59,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
@@ -72,4 +76,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": sql.warc(),
         "op8_chat_format": sql.chat(),
         "op10_quality_rules": sql.quality(),
+        "op13_importance_resampling": sql.resampling(10_000, 20, 10, 2024),
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracewright.llm.quality import RULES, STEPS
 
 WORD = r"[^\x20\x09-\x0D]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def quality(alpha: float = 0.02, delta: float = 0.05) -> str:
@@ -148,3 +149,42 @@ WITH valid AS (
 )
 SELECT query_id, r::INT AS rank, vec_id, score FROM ranked WHERE r <= {k}
 """
+
+
+def resampling(buckets: int, least_words: int, percent: int, seed: int) -> str:
+    """crc32 goes bit by bit over the bytes of each different word."""
+    turned = "x"
+    for _ in range(8):
+        turned = f"list_transform([{turned}], lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)[1]"
+    return rf"""
+WITH found AS (
+  SELECT 'd' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 't', item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), words AS (
+  SELECT side, doc_id, unnest(w) AS word FROM found
+), bytes AS (
+  SELECT word, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b
+  FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words))
+), crcs AS (
+  SELECT list_transform(range(0, 256), lambda x: {turned}) AS t
+), hashed AS (
+  SELECT word, xor(list_reduce(b, lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)]), 4294967295), 4294967295) % {buckets} AS bucket FROM bytes, crcs
+), counts AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM words JOIN hashed USING (word) GROUP BY bucket
+), sums AS (
+  SELECT coalesce(sum(s), 0)::DOUBLE AS ss, coalesce(sum(t), 0)::DOUBLE AS tt FROM counts
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (ss + {buckets}) / ((s + 1)::DOUBLE * (tt + {buckets}))))::BIGINT AS gain FROM counts, sums
+), weights AS (
+  SELECT doc_id, sum(gain)::BIGINT AS weight FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM found LEFT JOIN weights USING (doc_id) WHERE side = 'd'
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= {least_words} ORDER BY score DESC, doc_id) AS r FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= {least_words} AND r <= {percent} * (SELECT count(*) FROM scored WHERE n_features >= {least_words}) // 100 THEN r END AS rank
+FROM placed
+"""
