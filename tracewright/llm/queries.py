@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, html_extract, language_id, minhash, mixing, packing, quality, resampling, sql, substring, topk, warc
+from tracewright.llm import chat, html_extract, language_id, lexical, minhash, mixing, packing, quality, resampling, sql, substring, topk, warc
 from tracewright.llm.storage import table
 
 #: The conversation that op8 formats besides the table's.
@@ -59,6 +59,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,5 +80,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": sql.warc(),
         "op8_chat_format": sql.chat(),
         "op10_quality_rules": sql.quality(),
+        "op11_lexical_search": sql.lexical(50, 50),
         "op13_importance_resampling": sql.resampling(10_000, 20, 10, 2024),
     }

@@ -188,3 +188,29 @@ SELECT doc_id, n_features, weight, score,
   CASE WHEN n_features >= {least_words} AND r <= {percent} * (SELECT count(*) FROM scored WHERE n_features >= {least_words}) // 100 THEN r END AS rank
 FROM placed
 """
+
+
+def lexical(k: int, b: int) -> str:
+    found = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {found} AS w FROM documents
+), sizes AS (
+  SELECT count(*) FILTER (len(w) > 0)::HUGEINT AS n, coalesce(sum(len(w)), 0)::HUGEINT AS l FROM docs
+), asked AS (
+  SELECT DISTINCT item_id, unnest({found}) AS term FROM benchmark
+), postings AS (
+  SELECT r, doc_id, term, count(*) AS tf, any_value(len_) AS len_
+  FROM (SELECT r, doc_id, len(w) AS len_, unnest(w) AS term FROM docs) SEMI JOIN asked USING (term) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), sizes
+), impacts AS (
+  SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (100 - {b} + ({b} * len_ * n) // l)) AS impact FROM postings, sizes
+), scored AS (
+  SELECT item_id, r, doc_id, sum(weight * impact)::BIGINT AS score
+  FROM impacts JOIN weights USING (term) JOIN asked USING (term) GROUP BY ALL HAVING sum(weight * impact) > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {k}
+"""
