@@ -27,7 +27,7 @@ rows. Extra columns are ignored (``keep_one`` keeps them).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ from tracewright.llm import hashing
 from tracewright.llm.storage import Scratch
 
 _UNIVERSE = 1 << 21
+#: What tells a set from others.
+_SET = ["n_shingles", "low", "high"]
 #: Documents whose signatures are held at a time.
 _ROWS = 1024
 
@@ -116,14 +118,33 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 names=["doc_id", "text_hash", "n_shingles", "low", "high", "keys"],
             )
 
-    return _texts(docs).mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, low long, high long, keys array<long>")
+    return texts(docs).mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, low long, high long, keys array<long>")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def texts(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
+def once(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows without those that repeat a key of earlier rows of the same task, so that each key leaves a task once."""
+
+    @hashing.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
+            new = np.zeros(len(keys), dtype=bool)
+            for k, x in enumerate(keys):
+                if x not in seen:
+                    seen.add(x)
+                    new[k] = True
+            if new.any():
+                yield batch if new.all() else batch.filter(pa.array(new))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def forest(sets: list[np.ndarray], labels: list[int], sides: list[int] | None, percent: int) -> list[tuple[int, int]]:
     """Places (i, j) of similar sets, as few as connect what similar sets and equal labels connect.
 
@@ -191,8 +212,8 @@ def _compared(wanted: DataFrame, docs: DataFrame, classes: DataFrame, shingle: i
 
     wanted = wanted.join(classes.select("node", F.col("rep").alias("doc_id"), "text_hash"), "node")
     few = 96 * wanted.count() <= id_bytes
-    rows = _texts(docs).join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"])
-    return rows.select(*_UNIT, "part", "side", "label", "node", "text").groupBy(*_UNIT).applyInArrow(compare, "a long, b long")
+    rows = texts(docs).join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select(*_UNIT, "part", "side", "label", "node", "text")
+    return once(rows, [*_UNIT, "part", "node"]).groupBy(*_UNIT).applyInArrow(compare, "a long, b long")
 
 
 def _blocks(block_rows: int, block_shingles: int) -> Column:
@@ -262,20 +283,18 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         edges, step = small, step + 1
 
 
-def _judged(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, id_bytes: int, block_rows: int, block_shingles: int, giant_blocks: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and kept for every row."""
-    scratch = Scratch(docs.sparkSession, "minhash")
-    same = ["n_shingles", "low", "high"]
-    signed = scratch.keep(signatures(docs, shingle, bands, rows), "signed")
+def named_classes(signed: DataFrame, *carry: str) -> DataFrame:
+    """A row for each different set of signed rows: node, n_shingles, low, high, rep (the smallest doc_id), its text_hash."""
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
-    classes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min(named).alias("rep"), F.first("keys").alias("keys")).filter("rep is not null")
-    classes = classes.select(F.monotonically_increasing_id().alias("node"), *same, F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("text_hash"), "keys")
-    classes = scratch.keep(classes, "classes")
-    cells = classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    heads = scratch.keep(cells.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("m")).filter("m > 1").select("key", "head"), "heads")
-    few = 16 * heads.count() <= id_bytes
-    members = scratch.keep(cells.join(F.broadcast(heads) if few else heads, "key"), "members")
-    ties = members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    classes = signed.filter("n_shingles > 0").groupBy(*_SET).agg(F.min(named).alias("rep"), *[F.first(c).alias(c) for c in carry]).filter("rep is not null")
+    return classes.select(F.monotonically_increasing_id().alias("node"), *_SET, F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("text_hash"), *carry)
+
+
+def joined(docs: DataFrame, signed: DataFrame, classes: DataFrame, ties: DataFrame, members_of: Callable[[DataFrame], DataFrame], scratch: Scratch, shingle: int, percent: int, id_bytes: int, block_rows: int, block_shingles: int, giant_blocks: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept for every row of signed, which names the sets of docs.
+
+    ties (a, b) connect all classes that share a bucket; members_of gives node, n, key and head of some nodes' buckets.
+    """
     clusters = components(ties, scratch, "clusters")
     inside = clusters.select("node", F.col("root").alias("cluster")).join(classes.select("node", F.col("n_shingles").alias("n")), "node")
     inside = scratch.keep(inside, "inside")
@@ -285,7 +304,7 @@ def _judged(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int,
     wanted, giant = _units(inside.join(sizes, "cluster"), spread, giant_blocks)
     links = scratch.keep(_compared(scratch.keep(wanted, "wanted"), docs, classes, shingle, percent, id_bytes), "links")
     if most > giant_blocks:
-        crowd = scratch.keep(members.join(giant, "node", "left_semi"), "crowd")
+        crowd = scratch.keep(members_of(giant), "crowd")
         # Each tie is a unit of two classes.
         pairs = crowd.filter("node <> head").select("head", "node").distinct().withColumn("part", F.xxhash64("head", "node"))
         none = F.lit(-1).cast("long")
@@ -296,13 +315,26 @@ def _judged(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int,
         links = links.union(tied).union(scratch.keep(_compared(wanted, docs, classes, shingle, percent, id_bytes), "crowded"))
     roots = components(links, scratch, "edges").join(classes.select("node", "rep"), "node")
     found = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
-    classes = classes.join(found, "node", "left").select(*[F.col(c).alias(f"_{c}") for c in same], F.coalesce("component_id", "rep").alias("component_id"))
-    matches = F.col("doc_id").isNotNull() & F.expr(" and ".join(f"{c} = _{c}" for c in same))
-    out = signed.select("doc_id", "text_hash", *same).join(classes, matches, "left")
+    classes = classes.join(found, "node", "left").select(*[F.col(c).alias(f"_{c}") for c in _SET], F.coalesce("component_id", "rep").alias("component_id"))
+    matches = F.col("doc_id").isNotNull() & F.expr(" and ".join(f"{c} = _{c}" for c in _SET))
+    out = signed.select("doc_id", "text_hash", *_SET).join(classes, matches, "left")
     out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _judged(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, id_bytes: int, block_rows: int, block_shingles: int, giant_blocks: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept for every row."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    signed = scratch.keep(signatures(docs, shingle, bands, rows), "signed")
+    classes = scratch.keep(named_classes(signed, "keys"), "classes")
+    cells = classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    heads = scratch.keep(cells.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("m")).filter("m > 1").select("key", "head"), "heads")
+    few = 16 * heads.count() <= id_bytes
+    members = scratch.keep(cells.join(F.broadcast(heads) if few else heads, "key"), "members")
+    ties = members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    return joined(docs, signed, classes, ties, lambda giant: members.join(giant, "node", "left_semi"), scratch, shingle, percent, id_bytes, block_rows, block_shingles, giant_blocks)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, id_bytes: int = 8 << 20, block_rows: int = 1024, block_shingles: int = 1 << 19, giant_blocks: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest document reachable by links) and kept for every row.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, html_extract, language_id, lexical, minhash, mixing, packing, quality, resampling, sql, substring, topk, warc
+from tracewright.llm import chat, html_extract, language_id, lexical, minhash, mixing, packing, partenum, quality, resampling, sql, substring, topk, warc
 from tracewright.llm.storage import table
 
 #: The conversation that op8 formats besides the table's.
@@ -63,6 +63,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.similar(table(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -81,5 +85,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_format": sql.chat(),
         "op10_quality_rules": sql.quality(),
         "op11_lexical_search": sql.lexical(50, 50),
+        "op12_jaccard_join": sql.jaccard_join(5, 80),
         "op13_importance_resampling": sql.resampling(10_000, 20, 10, 2024),
     }

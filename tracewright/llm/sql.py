@@ -214,3 +214,7 @@ WITH docs AS (
 SELECT item_id, rank::INT AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {k}
 """
+
+
+def jaccard_join(shingle: int, percent: int) -> str:
+    return f"SELECT doc_id, n_shingles, component_id FROM ({near_duplicates(shingle, percent)})"
