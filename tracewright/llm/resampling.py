@@ -39,7 +39,7 @@ from tracewright.llm.hashing import held, trimmed
 from tracewright.llm.storage import Scratch
 from tracewright.llm.terms import terms
 
-_KNOWN = 500_000
+_KNOWN = 100_000
 _ROWS = 512
 
 
