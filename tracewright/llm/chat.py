@@ -54,6 +54,25 @@ def _encoding(path: str):
     return tiktoken.Encoding("text", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
+#: The white space of the tokenizer's pattern. Runs this long aren't given to its matcher, which backtracks.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
+def encode(encoding, text: str) -> list[int]:
+    """Ids of a text, as the tokenizer gives them.
+
+    White space before other characters is one pre-token up to its last character, and at a text's end up to there. So a
+    long run is merged by itself, and what lies around it is encoded separately.
+    """
+    ids, at = [], 0
+    for run in _BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def assemble(segments: list[tuple[list[int], bool]]) -> tuple[np.ndarray, np.ndarray]:
     """Ids and loss mask of segments (ids, in the loss?)."""
     ends = np.cumsum([len(s) for s, _ in segments])
@@ -79,8 +98,8 @@ def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
                     head, segments = KNOWN[role], [([number[KNOWN[role]]], False)]
                 else:
                     head = ROLE + escape(role) + TEXT
-                    segments = [([number[ROLE]], False), (encoding.encode_ordinary(escape(role)), False), ([number[TEXT]], False)]
-                segments += [(encoding.encode_ordinary(body), role == "assistant"), ([number[END]], False)]
+                    segments = [([number[ROLE]], False), (encode(encoding, escape(role)), False), ([number[TEXT]], False)]
+                segments += [(encode(encoding, body), role == "assistant"), ([number[END]], False)]
                 a, b = assemble(segments)
                 ids.append(a)
                 loss.append(b)
