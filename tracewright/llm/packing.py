@@ -6,8 +6,11 @@ the last piece may be shorter. Full pieces are sequences by themselves; the othe
 Method. Pieces are dealt evenly to shards of about ``shard_pieces``. A shard is packed best-fit, longest piece first, and
 then improved: from the emptiest underfull sequence a piece moves to a fuller one, or is exchanged for a shorter piece or
 for two shorter ones there, or two of its pieces for a shorter one, as long as the sum of squared fills grows: until as
-few sequences are left as the lengths' sum needs, or no such trade among all underfull sequences is left. Full sequences are final; the pieces of underfull ones go on to the next level, where 64 shards' pieces
-become one, until one shard is left. So the loss is a sequence or so for the whole corpus, not one for each shard.
+few sequences are left as the lengths' sum needs, or no such trade among all underfull sequences is left. A shard's emptiest
+sequences, of ``shard_pieces`` / 64 pieces together or a single one, then go on to the next level, where those of 64 shards
+become one, until one shard is left; all others are final. So the loss is a sequence or so for the whole corpus, not one for
+each shard, and a task of a later level holds ``shard_pieces`` pieces at most (64 sequences, if these have more), whatever
+the lengths: documents of which no two fit together stay where they are.
 
 Order. If the documents have positions, each range of consecutive positions is packed by itself, without further levels,
 and a sequence's number is the place (position, then piece) of its longest piece, the first of equal ones. So the
@@ -291,26 +294,35 @@ class Offers:
         return int(bins[k]), int(sums[k]), bool(pair[k]), int(gains[k] + sums[k])
 
 
-def pack_shard(lengths: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each piece its bin, its offset there, and whether the bin is full."""
+def pack_shard(lengths: list[int], capacity: int, send: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece its bin, its offset there, and whether the bin is final.
+
+    send: the emptiest underfull bins aren't, as many as have no more pieces together, one at least; 0: all are final.
+    """
     bins = Bins(lengths, capacity)
     bins.best_fit()
     bins.search()
     place, offset = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
-    full = np.empty(len(lengths), dtype=bool)
+    final = np.ones(len(lengths), dtype=bool)
     for b, items in enumerate(bins.items):
         at = 0
         for i in items:
-            place[i], offset[i], full[i] = b, at, not bins.free[b]
+            place[i], offset[i] = b, at
             at += lengths[i]
-    return place, offset, full
+    sent = 0
+    for b in sorted((b for b, items in enumerate(bins.items) if send and items and bins.free[b]), key=lambda b: (-bins.free[b], b)):
+        sent += len(bins.items[b])
+        if sent > max(send, len(bins.items[b])):
+            break
+        final[bins.items[b]] = False
+    return place, offset, final
 
 
-def _placed(table: pa.Table, level: int, shard: int, capacity: int, last: bool) -> pa.Table:
+def _placed(table: pa.Table, level: int, shard: int, capacity: int, send: int) -> pa.Table:
     # By content first: a task that runs again may get its rows in another order.
     table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32", "place")])
     lengths, places = table["length"].to_pylist(), table["place"].to_pylist()
-    bins, offset, full = pack_shard(lengths, capacity)
+    bins, offset, final = pack_shard(lengths, capacity, send)
     if places and places[0] is not None:
         longest: dict[int, tuple[int, int]] = {}
         for b, n, place in zip(bins.tolist(), lengths, places, strict=True):
@@ -319,13 +331,13 @@ def _placed(table: pa.Table, level: int, shard: int, capacity: int, last: bool)
     else:
         number = (np.int64(level) << 58) + (np.int64(shard) << 26) + bins
     out = table.select(["doc_id", "piece", "start", "length", "ids_crc32", "place"]).append_column("sequence_id", pa.array(number))
-    return out.append_column("offset", pa.array(offset)).append_column("final", pa.array(full | last))
+    return out.append_column("offset", pa.array(offset)).append_column("final", pa.array(final))
 
 
-def _repack(level: int, capacity: int, last: bool):
+def _repack(level: int, capacity: int, send: int):
     @trimmed
     def again(group: pa.Table) -> pa.Table:
-        return _placed(group, level, group["shard"][0].as_py(), capacity, last)
+        return _placed(group, level, group["shard"][0].as_py(), capacity, send)
 
     return again
 
@@ -333,13 +345,14 @@ def _repack(level: int, capacity: int, last: bool):
 def pack_pieces(pieces: DataFrame, length: int, shard_pieces: int, scratch: Scratch) -> DataFrame:
     """Adds sequence_id and offset; pieces must be a stored table."""
     shards = max(1, math.ceil(pieces.count() / shard_pieces))
-    last = shards == 1
+    send = lambda shards: 0 if shards == 1 else max(1, shard_pieces // 64)
+    more = send(shards)
 
     @trimmed
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if got:
-            yield from _placed(pa.Table.from_batches(got), 0, TaskContext.get().partitionId(), length, last).to_batches()
+            yield from _placed(pa.Table.from_batches(got), 0, TaskContext.get().partitionId(), length, more).to_batches()
 
     # Dealt round-robin, not by doc_id: repeated ids don't meet in one shard.
     level = scratch.keep(pieces.repartition(shards).mapInArrow(first, _PLACED), "level_0")
@@ -347,7 +360,7 @@ def pack_pieces(pieces: DataFrame, length: int, shard_pieces: int, scratch: Scra
     while shards > 1:
         rest = level.filter("not final").withColumn("shard", F.shiftright(F.col("sequence_id").bitwiseAND(F.lit((1 << 58) - 1)), 26 + 6))
         k, shards = k + 1, math.ceil(shards / 64)
-        level = scratch.keep(rest.groupBy("shard").applyInArrow(_repack(k, length, shards == 1), _PLACED), f"level_{k}")
+        level = scratch.keep(rest.groupBy("shard").applyInArrow(_repack(k, length, send(shards)), _PLACED), f"level_{k}")
         done = done.union(level.filter("final"))
     return done.drop("final")
 
@@ -357,7 +370,7 @@ def pack_ranges(pieces: DataFrame, length: int, range_pieces: int) -> DataFrame:
     size = pieces.agg(F.count("*").alias("n"), F.max(F.shiftright("place", _PIECE_BITS)).alias("last")).first()
     positions = math.ceil(((size["last"] or 0) + 1) / max(1, math.ceil(size["n"] / range_pieces)))
     ranges = pieces.withColumn("shard", F.floor(F.shiftright("place", _PIECE_BITS) / positions).cast("long"))
-    return ranges.groupBy("shard").applyInArrow(_repack(0, length, True), _PLACED).drop("final")
+    return ranges.groupBy("shard").applyInArrow(_repack(0, length, 0), _PLACED).drop("final")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, shard_pieces: int = 16384, order: str | None = None) -> DataFrame:
