@@ -1,5 +1,7 @@
 """Nulls, empty tables, clashing columns, very long inputs, and brute-force checks of the learned operators."""
 
+import base64
+import hashlib
 import math
 import random
 import time
@@ -10,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, html_extract, language_id, mixing, packing, quality, substring, warc
+from tracewright.llm import chat, html_extract, language_id, mixing, packing, quality, storage, substring, warc
 
 
 def test_token_ids_of_all_code_points():
@@ -120,11 +122,85 @@ def test_language_rejects_what_is_in_none(spark):
     docs = [(i, " ".join("".join(r.choice(letters[lang]) for _ in range(6)) for _ in range(40)), lang) for i in range(300) for lang in [r.choice(list(letters))]]
     mixed = " ".join("".join(r.choice("qrstuvwxyz") for _ in range(6)) for _ in range(200))
     df = spark.createDataFrame([*docs, (1000, mixed, None), (1001, "12", "aa"), (1002, "q", None)], "doc_id long, text string, lang string")
-    kept = {x["doc_id"] for x in language_id.identified(df, reject=(400, 0.9)).collect()}
+    kept = {x["doc_id"] for x in language_id.identified(df).collect()}
     assert kept == {d[0] for d in docs} | {1002}
     assert {x["doc_id"] for x in language_id.identified(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {d[0] for d in docs} | {1000, 1002}
 
 
+def test_language_stage_on_other_languages_and_noise(spark):
+    r = random.Random(1)
+    texts = [
+        " ".join("%08x" % r.getrandbits(32) for _ in range(120)),
+        base64.b64encode(bytes(r.getrandbits(8) for _ in range(900))).decode(),
+        " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randint(3, 8))) for _ in range(120)),
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+        "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen. "
+        "Een ieder heeft aanspraak op alle rechten en vrijheden in deze verklaring opgesomd, zonder onderscheid van welke aard ook.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "int main(int argc, char **argv) { for (int i = 0; i < argc; i++) { printf(argv[i]); } struct node *next = malloc(sizeof(*next)); if (!next) return -1; memcpy(buf, src, len); "
+        "while (ptr != NULL) { ptr = ptr->next; free(ptr); } switch (kind) { case 1: break; default: continue; } }",
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = spark.createDataFrame([(10**6 + k, t, None, "x", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x["doc_id"] for x in language_id.identified(docs.unionByName(more)).select("doc_id").collect()}
+    assert kept == {x["doc_id"] for x in docs.select("doc_id").collect()}
+    # One label alone, whose score is 1 for every text.
+    alone = docs.filter("lang = 'en'")
+    kept = {x["doc_id"] for x in language_id.identified(alone.unionByName(more)).select("doc_id").collect()}
+    assert kept == {x["doc_id"] for x in alone.select("doc_id").collect()}
+
+
+def test_language_ties_go_to_the_first_label(spark):
+    rows = [(k, "same words everywhere", lang) for k, lang in enumerate(["zz", "aa"] * 20)]
+    got = {x["lang_pred"] for x in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got <= {"aa", "zz"}
+    model = language_id.Model(["aa", "bb"], np.ones(language_id.FEATURES), np.zeros((language_id.FEATURES, 2)), np.zeros(2), 1.0, np.zeros(language_id.FEATURES, dtype=bool))
+    got = language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, ["doc_id"]).collect()
+    assert {(x["lang_pred"], x["score"]) for x in got} == {("aa", 0.5)}
+
+
+def test_packing_sends_few_pieces_up(spark, tmp_path):
+    """Pieces of which no two fit together stay in their shards; a level's groups stay within a shard's size."""
+    r = random.Random(3)
+    pieces = [(i, 0, 0, r.randint(1100, 1500), 0, None) for i in range(6000)] + [(9000 + i, 0, 0, r.randint(1, 40), 0, None) for i in range(3000)]
+    stored = spark.createDataFrame(pieces, packing._PIECE).repartition(4)
+    scratch = storage.Scratch(spark, "test_packing")
+    got = packing.pack_pieces(scratch.keep(stored, "pieces"), 2048, 128, scratch).toPandas()
+    assert sorted(got.doc_id) == sorted(p[0] for p in pieces)
+    for _, bin_ in got.sort_values("offset").groupby("sequence_id"):
+        assert (bin_.offset == bin_.length.cumsum() - bin_.length).all() and bin_.length.sum() <= 2048
+    assert got.sequence_id.nunique() == 6000
+    sizes = [x["n"] for x in spark.read.parquet(scratch.path("level_1")).groupBy(F.shiftright("sequence_id", 26)).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 128
+
+
+def test_only_the_emptiest_bins_are_not_final():
+    lengths = [60, 60, 60, 50, 30, 30, 10]
+    place, _, final = packing.pack_shard(lengths, 100, 2)
+    room = {b: 100 - sum(n for n, x in zip(lengths, place, strict=True) if x == b) for b in set(place.tolist())}
+    sent = {b for b, f in zip(place.tolist(), final.tolist(), strict=True) if not f}
+    assert sent and all(room[b] >= max((room[c] for c in room if c not in sent), default=0) for b in sent)
+    assert packing.pack_shard(lengths, 100)[2].all()
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\u2003", "\u3000"])
+def test_ids_of_white_space_are_the_encoders(blank):
+    encoding, _ = chat._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for n in (1, 2, 4095, 4096, 4097, 50_000):
+        for text in (blank * n, "a" + blank * n, blank * n + "b", f"a{blank * n} b", f"a{blank * n}'s", f"x {blank * n}\n{blank * n}9"):
+            assert chat.encode(encoding, text) == encoding.encode_ordinary(text)
+
+
+def test_chat_of_very_long_white_space(spark):
+    texts = [c * 10_000_000 for c in (" ", "\n", "\t")] + ["a" + "\u3000" * 2_000_000 + "b"]
+    turns = [(k, t, role, text) for k, text in enumerate(texts) for t, role in enumerate(["user", "assistant"])]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(8)
+    got = {x["conv_id"]: x for x in chat.round_trip(df, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}
+    for k, text in enumerate(texts):
+        assert got[k]["loss_chars"] == len(text) and got[k]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("uri, path", [("/a/b", "/a/b"), ("file:/a/b", "/a/b"), ("file:///a/b", "/a/b"), ("dbfs:/a/b", "/dbfs/a/b")])
 def test_archive_schemes(uri, path):
     assert warc.filesystem(uri)[1] == path

@@ -9,6 +9,12 @@ are exactly zero, on a bounded sample: the ``per_label`` documents a label with
 so many labels that this would be more than ``sample_rows`` documents, 8 at least. Every label is learned. A fifth of the
 sample stays out of training; on it a temperature is fitted, which makes the score a calibrated probability.
 
+Rejection. A probability among the learned labels says nothing of other languages, as one label always comes out best. So
+``identified`` looks at the n-grams themselves: a feature is foreign if fewer than one in 500 of the learnable documents has
+it, and a text of n n-grams is in none of the learned languages if its share of foreign ones is above a limit plus
+1 / sqrt(n), or plus 4 / n if that is more, at any length. The limit is 0.06, or half as much again as what the sample's documents that stayed out of
+training reach, each against the counts of the others. Passages in several learned languages aren't foreign.
+
 Learning sees only the text and label of rows for which ``learnable`` is true. Prediction sees only the text.
 
 Defined cases. Null text or text without a letter: ``und`` with score 0. No labelled row at all: ``und`` with score 0 for
@@ -104,11 +110,19 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
+    foreign: np.ndarray  # by feature
+    limit: float = 0.0
 
     def logits(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return (counts * self.idf[at] / counts.sum()) @ self.weights[at] + self.bias
 
 
+def foreign_limit(rows: list[tuple[np.ndarray, np.ndarray]], seen: np.ndarray, least: float, floor: float = 0.06) -> float:
+    """Limit for the share of foreign n-grams; rows: (features, counts) of documents that are among those of seen."""
+    most = [float(counts[seen[at] - 1 < least].sum() / counts.sum() - counts.sum() ** -0.5) for at, counts in rows]
+    return max([floor, *(1.5 * x for x in most)])
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -191,6 +205,7 @@ def fit(docs: DataFrame, learnable: Column, per_label: int = 500, sample_rows: i
         return None
     n_docs, seen = _frequencies(rows)
     idf = np.log((1 + n_docs) / (1 + seen)) + 1.0
+    least = max(1.0, n_docs / 500)
     labels = sorted(r["lang"] for r in per)
     place = {label: k for k, label in enumerate(labels)}
     per_label = min(per_label, max(8, sample_rows // len(labels)))
@@ -217,28 +232,30 @@ def fit(docs: DataFrame, learnable: Column, per_label: int = 500, sample_rows: i
     fed = [(at, scale * counts * idf[at] / counts.sum()) for at, counts in grams]
     use = [i for i in range(len(fed)) if not apart[i]]
     weights, bias = train_ftrl([fed[i] for i in use], y[use], len(labels))
-    model = Model(labels, idf, np.ascontiguousarray(weights * scale), bias, 1.0)
+    model = Model(labels, idf, np.ascontiguousarray(weights * scale), bias, 1.0, seen < least)
+    model.limit = foreign_limit([grams[i] for i in np.flatnonzero(apart)], seen, least)
     out = np.array([model.logits(*grams[i]) for i in np.flatnonzero(apart)]).reshape(-1, len(labels))
     model.temperature = fit_temperature(out, y[apart])
     return model
 
 
-def _predictor(model: Model | None, reject: tuple[int, float]) -> Callable[[pa.Array], tuple[list[str], list[float]]]:
+def _predictor(model: Model | None, reject: bool) -> Callable[[pa.Array], tuple[list[str], list[float]]]:
     grams = held("grams", Grams)
     heavy = None if model is None else np.ascontiguousarray(model.idf[:, None] * model.weights)
 
     def predict(column: pa.Array) -> tuple[list[str], list[float]]:
         names, scores = [], []
         for text in column.to_pylist():
-            total, n = 0.0, 0
+            total, n, foreign = 0.0, 0, 0
             if model is not None:
                 for f in grams.slices(text):
                     total = total + heavy[f].sum(axis=0)
                     n += len(f)
+                    foreign += int(model.foreign[f].sum())
             if n:
                 p = _softmax((total / n + model.bias) / model.temperature)
                 k = int(np.argmax(p))
-                names.append(model.labels[k] if n < reject[0] or p[k] >= reject[1] else UNDETERMINED)
+                names.append(UNDETERMINED if reject and foreign / n > model.limit + max(n**-0.5, 4 / n) else model.labels[k])
                 scores.append(float(p[k]))
             else:
                 names.append(UNDETERMINED)
@@ -248,11 +265,11 @@ def _predictor(model: Model | None, reject: tuple[int, float]) -> Callable[[pa.A
     return predict
 
 
-def predict(docs: DataFrame, model: Model | None, carry: list[str], added: tuple[str, str] = ("lang_pred", "score"), reject: tuple[int, float] = (0, 0.0)) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, carry: list[str], added: tuple[str, str] = ("lang_pred", "score"), reject: bool = False) -> DataFrame:
     """The carried columns and the two added ones, prediction and score, for every row.
 
-    The model, 2**16 * (labels + 1) numbers however long the input, is broadcast. reject: (n-grams, score); a text of
-    at least so many n-grams and a lower score is in none of the learned languages and gets ``und``, its score kept.
+    The model, 2**16 * (labels + 1) numbers however long the input, is broadcast. reject: texts in none of the learned
+    languages get ``und``, their score kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     whole = "text" in carry and dict(docs.dtypes)["text"] == "string"
@@ -282,16 +299,14 @@ def identify(docs: DataFrame, per_label: int = 500) -> DataFrame:
     return predict(docs.withColumn("held_out", F.coalesce(fold() == 0, F.lit(False))), model, ["doc_id", "held_out"])
 
 
-def identified(docs: DataFrame, per_label: int = 500, reject: tuple[int, float] = (400, 0.35)) -> DataFrame:
-    """docs in which a language was found, with all their columns.
+def identified(docs: DataFrame, per_label: int = 500) -> DataFrame:
+    """docs in which a learned language was found, with all their columns.
 
-    Those without any letter go, with or without a model, and so do texts of at least reject[0] n-grams (some 100
-    characters) whose calibrated score is below reject[1]. Half the text in another language doesn't bring it down there,
-    and a shorter text has a low score in every language and is no worse for it, so no score is asked of it.
+    Those without any letter go, with or without a model, and so do texts in none of the learned languages.
     """
     model = fit(docs, fold() != 0, per_label)
     names = docs.columns
     pred, score = free_names(names, "pred", "score")
     if model is None:
         return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
-    return predict(docs, model, names, (pred, score), reject).filter(F.col(pred) != UNDETERMINED).select(*names)
+    return predict(docs, model, names, (pred, score), reject=True).filter(F.col(pred) != UNDETERMINED).select(*names)
