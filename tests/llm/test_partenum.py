@@ -66,3 +66,20 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     # Nine shingles against ten; a row without id links with nothing.
     assert got(spark, rows) == sorted([(5, 6, 3), (5, 6, 3), (5, 1, 5), (None, 6, None), (3, 6, 3), (9, 7, 3), (10, 0, 10)], key=str)
     assert got(spark, []) == []
+
+
+def test_linked_sets_share_as_many_signatures_as_needed():
+    r = np.random.default_rng(2)
+    enum = partenum.PartEnum(80)
+    for size in [*range(4, 50), 75, 130, 316, 317, 318, 900] * 4:
+        whole = r.integers(1, 2**63, 2 * size + 2, dtype=np.uint64)
+        extra = int(r.integers(1, size // 5 + 2))
+        split = int(r.integers(0, extra + 1))
+        a, b = whole[: size - split], whole[extra - split : size]
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared >= 80 * (len(a) + len(b) - shared) and len(a) + len(b) > 2 * shared:
+            got = [enum.counted(x) for x in (a, b)]
+            sizes, bands = np.array([len(a), len(b)]), np.array([g[1] for g in got])
+            counts = np.array([g[2] for g in got]).T
+            need = enum.need(sizes, bands, counts[0], counts[1:], 0)[1]
+            assert len(np.intersect1d(got[0][0], got[1][0])) >= need, (len(a), len(b))

@@ -145,10 +145,16 @@ def once(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def forest(sets: list[np.ndarray], labels: list[int], sides: list[int] | None, percent: int) -> list[tuple[int, int]]:
-    """Places (i, j) of similar sets, as few as connect what similar sets and equal labels connect.
+def jaccard_need(percent: int) -> Callable[[np.ndarray, int], np.ndarray]:
+    """How many shingles sets of these sizes must share with set i."""
+    return lambda sizes, i: -(-percent * (sizes + sizes[i]) // (100 + percent))
 
-    sides: sets of one side are not compared. Sets are arrays of distinct hashes and not empty.
+
+def forest(sets: list[np.ndarray], labels: list[int], sides: list[int] | None, need: Callable[[np.ndarray, int], np.ndarray]) -> list[tuple[int, int]]:
+    """Places (i, j) of sets that share enough, as few as connect what such sets and equal labels connect.
+
+    need: from all sizes and i, how many elements each set must share with set i, one at least. sides: sets of one side are
+    not compared. Sets are arrays of distinct hashes and not empty.
     """
     k = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -162,8 +168,8 @@ def forest(sets: list[np.ndarray], labels: list[int], sides: list[int] | None, p
     # Sets of common shingles first: they connect most.
     for i in np.argsort(-weight, kind="stable").tolist():
         left[i] = False
-        most = np.minimum(common, common[i])
-        may = left & (group != group[i]) & (100 * most >= percent * (sizes + sizes[i] - most))
+        least = need(sizes, i)
+        may = left & (group != group[i]) & (np.minimum(common, common[i]) >= least)
         if side is not None:
             may &= side != side[i]
         if not may.any():
@@ -176,19 +182,19 @@ def forest(sets: list[np.ndarray], labels: list[int], sides: list[int] | None, p
         else:
             shared = np.add.reduceat(flag[ids], bounds[:-1])[others]
         flag[mine] = 0
-        for j in others[100 * shared >= percent * (sizes[others] + sizes[i] - shared)].tolist():
+        for j in others[shared >= least[others]].tolist():
             if group[j] != group[i]:
                 group[group == group[j]] = group[i]
                 out.append((i, j))
     return out
 
 
-_ROW = "u long, x long, y long, part long, side int, label long, node long"
-_UNIT = ["u", "x", "y"]
+ROW = "u long, x long, y long, part long, side int, label long, node long"
+UNIT = ["u", "x", "y"]
 
 
 def _compared(wanted: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int, id_bytes: int) -> DataFrame:
-    """The links (a, b) of each unit (u, x, y) of wanted, a table of _ROW; parts are compared each by itself."""
+    """The links (a, b) of each unit (u, x, y) of wanted, a table of ROW; parts are compared each by itself."""
 
     @hashing.trimmed
     def compare(group: pa.Table) -> pa.Table:
@@ -205,23 +211,23 @@ def _compared(wanted: DataFrame, docs: DataFrame, classes: DataFrame, shingle: i
             if hi - lo > 1:
                 sets = list(shingler.sets(texts.take(pa.array(order[lo:hi]))))
                 sides = side[lo:hi].tolist() if side[lo:hi].any() else None
-                for i, j in forest(sets, label[lo:hi].tolist(), sides, percent):
+                for i, j in forest(sets, label[lo:hi].tolist(), sides, jaccard_need(percent)):
                     a.append(node[lo + i])
                     b.append(node[lo + j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     wanted = wanted.join(classes.select("node", F.col("rep").alias("doc_id"), "text_hash"), "node")
     few = 96 * wanted.count() <= id_bytes
-    rows = texts(docs).join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select(*_UNIT, "part", "side", "label", "node", "text")
-    return once(rows, [*_UNIT, "part", "node"]).groupBy(*_UNIT).applyInArrow(compare, "a long, b long")
+    rows = texts(docs).join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select(*UNIT, "part", "side", "label", "node", "text")
+    return once(rows, [*UNIT, "part", "node"]).groupBy(*UNIT).applyInArrow(compare, "a long, b long")
 
 
-def _blocks(block_rows: int, block_shingles: int) -> Column:
+def sized_blocks(block_rows: int, block_shingles: int) -> Column:
     return F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("long").alias("blocks")
 
 
-def _units(sized: DataFrame, spread: int, giant_blocks: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of _ROW for the clusters (node, cluster, blocks) of at most giant_blocks, and the nodes of the others."""
+def units(sized: DataFrame, spread: int, giant_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ROW for the clusters (node, cluster, blocks) of at most giant_blocks, and the nodes of the others."""
     none, zero = F.lit(-1).cast("long"), F.lit(0)
     small = sized.filter("blocks = 1").select(F.pmod(F.xxhash64("cluster"), F.lit(spread)).cast("long").alias("u"), none.alias("x"), none.alias("y"), F.col("cluster").alias("part"), zero.alias("side"), F.col("node").alias("label"), "node")
     own = F.pmod(F.xxhash64("node"), "blocks").cast("long")
@@ -234,14 +240,14 @@ def _units(sized: DataFrame, spread: int, giant_blocks: int) -> tuple[DataFrame,
 
 
 def _bucket_units(members: DataFrame, labels: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
-    """The rows of _ROW for members (node, n, key), bucket by bucket; labels (node, root): what is connected already.
+    """The rows of ROW for members (node, n, key), bucket by bucket; labels (node, root): what is connected already.
 
     A label of more than a block has blocks of its own in a bucket, which meet all blocks there but those.
     """
     labelled = members.join(labels, "node", "left").select("node", "n", "key", F.coalesce("root", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
     labelled = labelled.join(mixed, "key", "left_semi")
-    per = labelled.groupBy("key", "label").agg(_blocks(block_rows, block_shingles), F.sum("n").alias("n"), F.count("*").alias("m"))
+    per = labelled.groupBy("key", "label").agg(sized_blocks(block_rows, block_shingles), F.sum("n").alias("n"), F.count("*").alias("m"))
     rest = per.filter("blocks = 1").groupBy("key").agg(F.greatest(F.ceil(F.sum("m") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("long").alias("shared"))
     rows = labelled.join(per.select("key", "label", "blocks"), ["key", "label"]).join(rest, "key", "left")
     pure = F.col("blocks") > 1
@@ -255,7 +261,7 @@ def _bucket_units(members: DataFrame, labels: DataFrame, block_rows: int, block_
     for mine, side in (("a", 0), ("b", 1)):
         met = pairs if side == 0 else pairs.filter("apure <> bpure or ablock <> bblock")
         met = met.select("key", F.col(f"{mine}pure").alias("pure"), F.col(f"{mine}block").alias("block"), *name)
-        out.append(rows.join(met, ["key", "pure", "block"]).select(*_UNIT, F.lit(0).cast("long").alias("part"), F.lit(side).alias("side"), "label", "node"))
+        out.append(rows.join(met, ["key", "pure", "block"]).select(*UNIT, F.lit(0).cast("long").alias("part"), F.lit(side).alias("side"), "label", "node"))
     return out[0].unionByName(out[1])
 
 
@@ -298,10 +304,10 @@ def joined(docs: DataFrame, signed: DataFrame, classes: DataFrame, ties: DataFra
     clusters = components(ties, scratch, "clusters")
     inside = clusters.select("node", F.col("root").alias("cluster")).join(classes.select("node", F.col("n_shingles").alias("n")), "node")
     inside = scratch.keep(inside, "inside")
-    sizes = inside.groupBy("cluster").agg(_blocks(block_rows, block_shingles), F.count("*").alias("m"), F.sum("n").alias("s"))
+    sizes = inside.groupBy("cluster").agg(sized_blocks(block_rows, block_shingles), F.count("*").alias("m"), F.sum("n").alias("s"))
     most, n, shingles = sizes.agg(*[F.coalesce(f, F.lit(0)) for f in (F.max("blocks"), F.sum("m"), F.sum("s"))]).first()
     spread = max(1, math.ceil(4 * n / block_rows), math.ceil(4 * shingles / block_shingles))
-    wanted, giant = _units(inside.join(sizes, "cluster"), spread, giant_blocks)
+    wanted, giant = units(inside.join(sizes, "cluster"), spread, giant_blocks)
     links = scratch.keep(_compared(scratch.keep(wanted, "wanted"), docs, classes, shingle, percent, id_bytes), "links")
     if most > giant_blocks:
         crowd = scratch.keep(members_of(giant), "crowd")

@@ -16,8 +16,11 @@ fewer give these as well.
 Scale. Sets that are equal become one class first, and only classes have signatures, about one for two shingles. These go,
 packed by ranges of their hash, to the task of their bucket, once; a task sends each signature once and ties its other
 classes to that one itself, so a signature that a third of the classes share arrives once a task. Pairs aren't made: a tie
-leads from each class to the smallest of its signature, and the components of ties are clusters that hold every pair. They
-are compared as in ``minhash``: on the full sets, in blocks, without pairs that are connected already.
+leads from each class to the smallest of its signature, and the components of ties are clusters that hold every pair.
+Documents that share a passage chain up to large clusters, so these are thinned by signatures alone first: of two linked
+sets with x and y signatures in a scheme of single parts, min(x, y) - k agree at least, and the components of such pairs are
+the clusters that count. They are compared as in ``minhash``: on the full sets, in blocks, without pairs that are connected
+already. A cluster beyond ``giant_blocks`` blocks isn't thinned, and goes bucket by bucket.
 
 Defined cases. As ``minhash``: null text: empty set. Null doc_id: linked with nothing, component_id null. Rows that share a
 doc_id are each judged by their own text. Empty table: no rows. Extra columns are ignored.
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import hashing
-from tracewright.llm.minhash import Shingler, joined, named_classes, once, texts
+from tracewright.llm.minhash import UNIT, Shingler, components, forest, joined, named_classes, once, sized_blocks, texts, units
 from tracewright.llm.storage import Scratch
 
 #: Largest size of a band to its smallest.
@@ -111,6 +114,26 @@ class PartEnum:
             out.append((scheme(2 * number - 1, across(before)), mine))
         return out
 
+    def need(self, sizes: np.ndarray, bands: np.ndarray, own: np.ndarray, across: np.ndarray, i: int) -> np.ndarray:
+        """How many signatures sets must share with set i to be linked with it perhaps.
+
+        own: how many signatures each has in its band's scheme; across: in those of the border below and the border above;
+        0 where the scheme has pairs of parts.
+        """
+        most = (100 - self.percent) * (sizes + sizes[i]) // (100 + self.percent)
+        step = bands - bands[i]
+        mine = np.where(step == 0, np.minimum(own, own[i]), np.where(step == 1, np.minimum(across[0], across[1, i]), np.minimum(across[1], across[0, i])))
+        far = (abs(step) > 1) | (100 * np.minimum(sizes, sizes[i]) < self.percent * np.maximum(sizes, sizes[i]))
+        return np.where(far, 1 << 40, np.maximum(1, mine - most))
+
+    def counted(self, hashes: np.ndarray) -> tuple[np.ndarray, int, list[int]]:
+        """The signatures as 32 bits, the band, and the numbers of signatures in its scheme and in those of its borders."""
+        band, found, counts = self.number(len(hashes)), [np.empty(0, dtype=np.uint64)], {}
+        for s, k in self._schemes(len(hashes)):
+            found.append(s.signatures(hashes, k))
+            counts[s.tag] = len(found[-1]) if s.subset == 1 else 0
+        return np.unique(np.concatenate(found) >> np.uint64(32)).astype(np.uint32), band, [counts.get(2 * band + d, 0) for d in (0, -1, 1)]
+
     def signatures(self, hashes: np.ndarray) -> np.ndarray:
         """64-bit signatures of a set; sets that are linked and not equal have one in common."""
         found = [s.signatures(hashes, k) for s, k in self._schemes(len(hashes))]
@@ -151,7 +174,7 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _rows_of(classes: DataFrame, docs: DataFrame, id_bytes: int) -> DataFrame:
     """node, n and text of the classes, once a task."""
-    few = 48 * classes.count() <= id_bytes
+    few = 32 * classes.count() <= id_bytes
     wanted = classes.select("node", F.col("n_shingles").alias("n"), F.col("rep").alias("doc_id"), "text_hash")
     return once(texts(docs).join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select("node", "n", "text"), ["node"])
 
@@ -204,6 +227,54 @@ def bucket_ties(rows: DataFrame, buckets: int, shingle: int, percent: int) -> Da
     return rows.mapInArrow(sign, kinds).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
+def _sketches(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """node, size, band, own, low, high (as ``PartEnum.counted``) and keys of each row of node, n, text."""
+
+    @hashing.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, enum = hashing.held(("partenum", shingle, percent), lambda: (Shingler(shingle), PartEnum(percent)))
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            got = [enum.counted(s) for s in shingler.sets(batch.column(2))]
+            numbers = [pa.array([g[1] for g in got], pa.int64()), *(pa.array([g[2][d] for g in got], pa.int64()) for d in range(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array([g[0].tobytes() for g in got], pa.binary())], names=["node", "size", "band", "own", "low", "high", "keys"])
+
+    return rows.mapInArrow(run, "node long, size long, band long, own long, low long, high long, keys binary")
+
+
+def thinned(ties: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, shingle: int, percent: int, id_bytes: int, block_rows: int, block_keys: int, giant_blocks: int) -> DataFrame:
+    """Ties (a, b) that connect all classes that may be linked, by the numbers of signatures that they share."""
+    clusters = scratch.keep(components(ties, scratch, "tied").withColumnRenamed("root", "cluster"), "tied")
+    sketches = scratch.keep(_sketches(_rows_of(classes.join(clusters, "node", "left_semi"), docs, id_bytes), shingle, percent), "sketches")
+    inside = clusters.join(sketches.select("node", (F.length("keys") / 4).cast("long").alias("n")).groupBy("node").agg(F.max("n").alias("n")), "node")
+    sizes = scratch.keep(inside.groupBy("cluster").agg(sized_blocks(block_rows, block_keys), F.count("*").alias("m"), F.sum("n").alias("s")), "tied_sizes")
+    m, keys = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
+    wanted, giant = units(inside.join(sizes.select("cluster", "blocks"), "cluster"), max(1, -(-4 * m // block_rows), -(-4 * keys // block_keys)), giant_blocks)
+
+    @hashing.trimmed
+    def compare(group: pa.Table) -> pa.Table:
+        enum = hashing.held(("thin", percent), lambda: PartEnum(percent))
+        order = group.select(["part", "node"]).append_column("at", pa.array(range(group.num_rows))).sort_by([("part", "ascending"), ("node", "ascending"), ("at", "ascending")])["at"].to_numpy()
+        part, node, side, label, size, band, own, low, high = (group[c].to_numpy()[order] for c in ("part", "node", "side", "label", "size", "band", "own", "low", "high"))
+        new = np.append(True, (part[1:] != part[:-1]) | (node[1:] != node[:-1]))  # a class may have come from several tasks
+        order, part, node, side, label, size, band, own, low, high = (x[new] for x in (order, part, node, side, label, size, band, own, low, high))
+        packed = group["keys"].combine_chunks()
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        a, b = [], []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if hi - lo > 1:
+                sets = [np.frombuffer(packed[k].as_buffer(), dtype=np.uint32) for k in order[lo:hi].tolist()]
+                here = size[lo:hi], band[lo:hi], own[lo:hi], np.array([low[lo:hi], high[lo:hi]])
+                sides = side[lo:hi].tolist() if side[lo:hi].any() else None
+                for i, j in forest(sets, label[lo:hi].tolist(), sides, lambda _, i, here=here: enum.need(*here, i)):
+                    a.append(node[lo + i])
+                    b.append(node[lo + j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = wanted.join(sketches, "node").select(*UNIT, "part", "side", "label", "node", "size", "band", "own", "low", "high", "keys")
+    kept = rows.groupBy(*UNIT).applyInArrow(compare, "a long, b long")
+    return scratch.keep(kept.union(ties.join(giant.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")), "thinned")
+
+
 def _members(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """node, n, key and head (the smallest node of the key) of each signature that several of the nodes have."""
 
@@ -230,5 +301,6 @@ def similar(docs: DataFrame, shingle: int = 5, percent: int = 80, id_bytes: int
     classes = scratch.keep(named_classes(signed), "classes")
     buckets = max(1, (classes.agg(F.sum("n_shingles")).first()[0] or 0) // (2 * bucket_rows))
     ties = scratch.keep(bucket_ties(_rows_of(classes, docs, id_bytes), buckets, shingle, percent), "bucket_ties")
+    ties = thinned(ties, docs, classes, scratch, shingle, percent, id_bytes, 4 * block_rows, block_shingles, 4 * giant_blocks)
     members = lambda giant: _members(_rows_of(classes.join(giant, "node", "left_semi"), docs, id_bytes), shingle, percent)
     return joined(docs, signed, classes, ties, members, scratch, shingle, percent, id_bytes, block_rows, block_shingles, giant_blocks).drop("text_hash", "kept")
