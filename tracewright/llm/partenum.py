@@ -19,8 +19,9 @@ classes to that one itself, so a signature that a third of the classes share arr
 leads from each class to the smallest of its signature, and the components of ties are clusters that hold every pair.
 Documents that share a passage chain up to large clusters, so these are thinned by signatures alone first: of two linked
 sets with x and y signatures in a scheme of single parts, min(x, y) - k agree at least, and the components of such pairs are
-the clusters that count. They are compared as in ``minhash``: on the full sets, in blocks, without pairs that are connected
-already. A cluster beyond ``giant_blocks`` blocks isn't thinned, and goes bucket by bucket.
+the clusters that count. For that, a cluster's classes are dealt into slabs of sizes as wide as linked sets can differ, and
+a slab meets itself and the next one alone. The thin clusters are compared as in ``minhash``: on the full sets, in blocks,
+without pairs that are connected already. Two slabs beyond ``giant_blocks`` blocks aren't thinned, and go bucket by bucket.
 
 Defined cases. As ``minhash``: null text: empty set. Null doc_id: linked with nothing, component_id null. Rows that share a
 doc_id are each judged by their own text. Empty table: no rows. Extra columns are ignored.
@@ -84,6 +85,7 @@ class PartEnum:
     def __init__(self, percent: int):
         self.percent = percent
         self.ratio = max(RATIO, 101 / percent)
+        self.slab = np.log(100 / percent * (1 + 1e-6))  # a trifle wider than linked sets differ, for rounding
 
     @lru_cache(maxsize=256)
     def band(self, number: int) -> tuple[int, int]:
@@ -228,7 +230,7 @@ def bucket_ties(rows: DataFrame, buckets: int, shingle: int, percent: int) -> Da
 
 
 def _sketches(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """node, size, band, own, low, high (as ``PartEnum.counted``) and keys of each row of node, n, text."""
+    """node, size, slab, band, own, low, high (as ``PartEnum.counted``) and keys of each row of node, n, text."""
 
     @hashing.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,17 +238,22 @@ def _sketches(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
         for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
             got = [enum.counted(s) for s in shingler.sets(batch.column(2))]
             numbers = [pa.array([g[1] for g in got], pa.int64()), *(pa.array([g[2][d] for g in got], pa.int64()) for d in range(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array([g[0].tobytes() for g in got], pa.binary())], names=["node", "size", "band", "own", "low", "high", "keys"])
+            slab = pa.array((np.log(batch.column(1).to_numpy()) / enum.slab).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), slab, *numbers, pa.array([g[0].tobytes() for g in got], pa.binary())], names=["node", "size", "slab", "band", "own", "low", "high", "keys"])
 
-    return rows.mapInArrow(run, "node long, size long, band long, own long, low long, high long, keys binary")
+    return rows.mapInArrow(run, "node long, size long, slab long, band long, own long, low long, high long, keys binary")
 
 
 def thinned(ties: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, shingle: int, percent: int, id_bytes: int, block_rows: int, block_keys: int, giant_blocks: int) -> DataFrame:
     """Ties (a, b) that connect all classes that may be linked, by the numbers of signatures that they share."""
     clusters = scratch.keep(components(ties, scratch, "tied").withColumnRenamed("root", "cluster"), "tied")
     sketches = scratch.keep(_sketches(_rows_of(classes.join(clusters, "node", "left_semi"), docs, id_bytes), shingle, percent), "sketches")
-    inside = clusters.join(sketches.select("node", (F.length("keys") / 4).cast("long").alias("n")).groupBy("node").agg(F.max("n").alias("n")), "node")
-    sizes = scratch.keep(inside.groupBy("cluster").agg(sized_blocks(block_rows, block_keys), F.count("*").alias("m"), F.sum("n").alias("s")), "tied_sizes")
+    one = sketches.groupBy("node").agg(F.max(F.length("keys") / 4).cast("long").alias("n"), F.max("slab").alias("slab"))
+    # A class is of its slab's group, and of the one below, where it meets the classes of that slab alone.
+    inside = clusters.join(one, "node").select("node", "n", F.col("cluster").alias("_c"), "slab", F.explode(F.array("slab", F.col("slab") - 1)).alias("_s"))
+    inside = inside.select("node", "n", F.xxhash64("_c", "_s").alias("cluster"), (F.col("slab") == F.col("_s")).cast("int").alias("lower"))
+    sizes = inside.groupBy("cluster").agg(sized_blocks(block_rows, block_keys), F.count("*").alias("m"), F.sum("n").alias("s"), F.max("lower").alias("lower"))
+    sizes = scratch.keep(sizes.filter("lower = 1 and m > 1").drop("lower"), "tied_sizes")
     m, keys = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
     wanted, giant = units(inside.join(sizes.select("cluster", "blocks"), "cluster"), max(1, -(-4 * m // block_rows), -(-4 * keys // block_keys)), giant_blocks)
 
@@ -254,9 +261,9 @@ def thinned(ties: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scrat
     def compare(group: pa.Table) -> pa.Table:
         enum = hashing.held(("thin", percent), lambda: PartEnum(percent))
         order = group.select(["part", "node"]).append_column("at", pa.array(range(group.num_rows))).sort_by([("part", "ascending"), ("node", "ascending"), ("at", "ascending")])["at"].to_numpy()
-        part, node, side, label, size, band, own, low, high = (group[c].to_numpy()[order] for c in ("part", "node", "side", "label", "size", "band", "own", "low", "high"))
+        part, node, side, label, size, slab, band, own, low, high = (group[c].to_numpy()[order] for c in ("part", "node", "side", "label", "size", "slab", "band", "own", "low", "high"))
         new = np.append(True, (part[1:] != part[:-1]) | (node[1:] != node[:-1]))  # a class may have come from several tasks
-        order, part, node, side, label, size, band, own, low, high = (x[new] for x in (order, part, node, side, label, size, band, own, low, high))
+        order, part, node, side, label, size, slab, band, own, low, high = (x[new] for x in (order, part, node, side, label, size, slab, band, own, low, high))
         packed = group["keys"].combine_chunks()
         cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
         a, b = [], []
@@ -265,14 +272,17 @@ def thinned(ties: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scrat
                 sets = [np.frombuffer(packed[k].as_buffer(), dtype=np.uint32) for k in order[lo:hi].tolist()]
                 here = size[lo:hi], band[lo:hi], own[lo:hi], np.array([low[lo:hi], high[lo:hi]])
                 sides = side[lo:hi].tolist() if side[lo:hi].any() else None
-                for i, j in forest(sets, label[lo:hi].tolist(), sides, lambda _, i, here=here: enum.need(*here, i)):
+                upper = slab[lo:hi] > slab[lo:hi].min()
+                need = lambda _, i, here=here, upper=upper: np.where(upper & upper[i], 1 << 40, enum.need(*here, i))
+                for i, j in forest(sets, label[lo:hi].tolist(), sides, need):
                     a.append(node[lo + i])
                     b.append(node[lo + j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = wanted.join(sketches, "node").select(*UNIT, "part", "side", "label", "node", "size", "band", "own", "low", "high", "keys")
+    rows = wanted.join(sketches, "node").select(*UNIT, "part", "side", "label", "node", "size", "slab", "band", "own", "low", "high", "keys")
     kept = rows.groupBy(*UNIT).applyInArrow(compare, "a long, b long")
-    return scratch.keep(kept.union(ties.join(giant.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")), "thinned")
+    loose = [ties.join(giant.select(F.col("node").alias(end)), end, "left_semi").select("a", "b") for end in "ab"]
+    return scratch.keep(kept.union(loose[0]).union(loose[1]), "thinned")
 
 
 def _members(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
