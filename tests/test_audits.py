@@ -10,6 +10,7 @@ from test_audit_queries import FOLDER, plain
 
 from tracewright import audits
 from tracewright.audits import registry, relations, scheduling, stores
+from tracewright.streaming.states import FINDING_EDGES, FINDING_STATES
 
 
 @pytest.fixture(scope="module")
@@ -32,23 +33,22 @@ def test_every_operator_number_is_of_the_inventory():
 
 def test_transitions_against_a_loop(spark):
     r = random.Random(3)
-    names = sorted({s for e in stores.FINDING_EDGES for s in e})
-    rows = [(f"f{r.randrange(30)}", k, f"k{r.randrange(6)}", r.choice(names[:8])) for k in range(600)]
-    got = stores.apply_transitions(spark.createDataFrame(rows, "f string, at long, key string, target string"), "f", ["at"], "key", "target", stores.FINDING_EDGES, "raw")
+    rows = [(f"f{r.randrange(30)}", k, f"k{r.randrange(6)}", r.choice(FINDING_STATES[:8])) for k in range(600)]
+    got = stores.apply_transitions(spark.createDataFrame(rows, "f string, at long, key string, target string"), "f", ["at"], "key", "target", FINDING_EDGES, "hypothesis")
     want, state, used = [], {}, {}
     for f, _, key, target in rows:
-        now = state.get(f, "raw")
+        now = state.get(f, "hypothesis")
         if used.get((f, key)) == target:
             outcome = "replayed"
         elif (f, key) in used:
             outcome = "key_conflict"
-        elif (now, target) in stores.FINDING_EDGES:
+        elif (now, target) in FINDING_EDGES:
             outcome, state[f], used[f, key] = "applied", target, target
         else:
             outcome = "illegal"
-        want.append((f, key, target, now, outcome))
-    assert sorted((x["f"], x["key"], x["target"], x["from_state"], x["outcome"]) for x in got.collect()) == sorted(want)
-    assert {x["f"]: x["state"] for x in got.collect()} == {f: state.get(f, "raw") for f, *_ in rows}
+        want.append((f, key, target, now, state.get(f, "hypothesis"), outcome))
+    assert sorted((x["f"], x["key"], x["target"], x["from_state"], x["state"], x["outcome"]) for x in got.collect()) == sorted(want)
+    assert {x[-1] for x in want} == {"applied", "replayed", "key_conflict", "illegal"}
 
 
 def test_reservations_against_a_loop(spark):

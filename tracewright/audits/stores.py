@@ -15,18 +15,10 @@ from pyspark.sql import Window as W
 from tracewright.audits.metrics import ids, tally
 from tracewright.audits.registry import FOUND, WORK, audit, found, work
 from tracewright.operators import ranking as R
+from tracewright.operators.folds import ordered_fold
 from tracewright.sources.tables import put_content, table
-
-# The allowed transitions of a run and of a finding.
-RUN_EDGES = [
-    ("created", "snapshotted"), ("snapshotted", "indexed"), ("indexed", "planned"), ("planned", "hunting"), ("hunting", "verifying"), ("hunting", "budget_limited"),
-    ("budget_limited", "hunting"), ("verifying", "reviewing"), ("reviewing", "reporting"), ("reporting", "completed"), ("created", "failed"), ("hunting", "failed"), ("verifying", "failed"), ("hunting", "cancelled"),
-]
-FINDING_EDGES = [
-    ("raw", "deduplicated"), ("raw", "rejected"), ("deduplicated", "feasible"), ("deduplicated", "infeasible"), ("feasible", "poc_attempted"), ("poc_attempted", "poc_ready"), ("poc_attempted", "feasible"), ("poc_ready", "reproduced"),
-    ("poc_ready", "not_reproduced"), ("reproduced", "in_review"), ("in_review", "reviewer_verified"), ("in_review", "review_inconclusive"), ("in_review", "rejected"), ("reviewer_verified", "reportable"),
-]
-
+from tracewright.streaming.leases import task_log
+from tracewright.streaming.states import FINDING_EDGES, FINDING_STATES, RUN_EDGES, RUN_STATES
 
 def payload_digest(*columns: str) -> Column:
     """Null and the empty text differ: a null field isn't in the JSON."""
@@ -66,38 +58,75 @@ def finding_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("hunter", "fingerprint", F.col("first.run_id").alias("stored"), F.lit(1).cast("long").alias("created"), (F.col("n") - 1).alias("deduplicated"))
 
 
+class Transitions:
+    """The state of one entity and what its idempotency keys stand for."""
+
+    def __init__(self, key: str, target: str, edges: frozenset, state: str):
+        self.key, self.target, self.edges, self.state, self.used, self.place = key, target, edges, state, {}, -1
+
+    def step(self, row: dict) -> list[tuple]:
+        key, target, before = row[self.key], row[self.target], self.state
+        self.place += 1
+        if key in self.used:
+            outcome = "replayed" if self.used[key] == target else "key_conflict"
+        elif (before, target) in self.edges:
+            outcome = "applied"
+            self.state = self.used[key] = target
+        else:
+            outcome = "illegal"
+        return [(self.place, key, target, before, self.state, outcome)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def apply_transitions(requests: DataFrame, entity: str, order: Sequence[str], key: str, target: str, edges: Iterable[tuple[str, str]], start: str) -> DataFrame:
-    """Requests in order with outcome and from_state: applied, replayed, key_conflict or illegal.
+    """Requests in order with outcome (applied, replayed, key_conflict or illegal), from_state and the state after each.
 
-    The first request of an idempotency key decides what the key stands for; another target under it is a conflict. What
-    a request does depends on all before it, so each entity's few requests are folded as an array, inside code generation.
+    The first applied request of an idempotency key decides what the key stands for; another target under it is a conflict.
+    What a request does depends on all before it: an ordered fold, which holds one entity's state and no log.
     """
-    table_ = F.array(*[F.lit(f"{a}>{b}") for a, b in edges])
-    row = F.struct(*order, F.col(key).alias("key"), F.col(target).alias("target"))
-    log = requests.groupBy(entity).agg(F.array_sort(F.collect_list(row)).alias("_requests"))
-    entry = "array<struct<key: string, target: string, from_state: string, outcome: string>>"
-    empty = F.struct(F.lit(start).alias("state"), F.array().cast(entry).alias("done"))
+    allowed = frozenset(edges)
+    rows = requests.select(entity, *order, key, target)
+    return ordered_fold(rows, [entity], order, lambda: Transitions(key, target, allowed, start), "place long, key string, target string, from_state string, state string, outcome string")
 
-    def step(acc: Column, x: Column) -> Column:
-        used = F.filter(acc["done"], lambda y: (y["key"] == x["key"]) & (y["outcome"] == "applied"))
-        same = F.exists(used, lambda y: y["target"] == x["target"])
-        legal = F.array_contains(table_, F.concat(acc["state"], F.lit(">"), x["target"]))
-        outcome = F.when(same, "replayed").when(F.size(used) > 0, "key_conflict").when(legal, "applied").otherwise("illegal")
-        made = F.struct(x["key"].alias("key"), x["target"].alias("target"), acc["state"].alias("from_state"), outcome.alias("outcome"))
-        return F.struct(F.when(outcome == "applied", x["target"]).otherwise(acc["state"]).alias("state"), F.concat(acc["done"], F.array(made)).alias("done"))
 
-    folded = log.select(entity, F.aggregate("_requests", empty, step).alias("_folded"))
-    return folded.select(entity, F.col("_folded.state").alias("state"), F.posexplode("_folded.done").alias("place", "x")).select(entity, "state", F.col("place").cast("long").alias("place"), "x.*")
+_LOG_TARGETS = {"view": "statically_supported", "click": "poc_ready", "purchase": "reproduction_pending"}
 
 
-@audit("K4 K5 X7", None)
+@audit("K4 K5", None)
 def transition_log(spark: SparkSession, d: str) -> DataFrame:
     """Whether a request applies depends on which of those before it did; the test has a plain loop."""
-    names = sorted({s for e in FINDING_EDGES for s in e})
-    wanted = F.element_at(F.array(*[F.lit(n) for n in names]), (1 + F.get_json_object("props", "$.k").cast("int") % len(names)))
-    target = F.when(F.col("event_type") == "view", "deduplicated").when(F.col("event_type") == "click", "feasible").when(F.col("event_type") == "purchase", "poc_attempted").otherwise(wanted)
+    wanted = F.element_at(F.array(*[F.lit(n) for n in FINDING_STATES]), (1 + F.get_json_object("props", "$.k").cast("int") % len(FINDING_STATES)))
+    target = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _LOG_TARGETS.items()], wanted)
     e = table(spark, d, "events").select(F.concat_ws("-", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("finding"), "ts", "event_id", F.concat(F.lit("k"), (F.col("event_id") % 5).cast("string")).alias("key"), target.alias("target"))
-    return apply_transitions(e, "finding", ["ts", "event_id"], "key", "target", FINDING_EDGES, "raw")
+    return apply_transitions(e, "finding", ["ts", "event_id"], "key", "target", FINDING_EDGES, "hypothesis")
+
+
+def _values(rows: Iterable[tuple[str, str]]) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in rows)
+
+
+_RUN_STEP = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 0 END"
+
+
+@audit(
+    "X7",
+    f"""WITH edges(a, b) AS (VALUES {_values(RUN_EDGES)}), names(i, name) AS (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(RUN_STATES))}),
+e AS (SELECT user_id, event_id, ts, least(9, sum({_RUN_STEP}) OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS i, event_type = 'error' AND json_extract(props, '$.k')::BIGINT % 2 = 0 AS stops FROM events),
+s AS (SELECT user_id, event_id, ts, name AS state FROM e JOIN names ON names.i = CASE WHEN stops THEN 11 ELSE e.i END), t AS (SELECT *, lag(state) OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY ts, event_id) AS before FROM s)
+SELECT t.user_id, t.event_id, before AS from_state, state AS to_state, edges.a IS NOT NULL AS legal FROM t LEFT JOIN edges ON a = before AND b = state WHERE before IS NOT NULL AND before <> state""",
+)
+def run_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of a run's state, judged by the table of allowed ones; runs are a user's weeks, whose events advance them."""
+    w = W.partitionBy("user_id", F.date_trunc("week", "ts")).orderBy("ts", "event_id")
+    step = F.when(F.col("event_type").isin("view", "click"), 1).when(F.col("event_type") == "purchase", 2).otherwise(0)
+    stops = (F.col("event_type") == "error") & (F.get_json_object("props", "$.k").cast("long") % 2 == 0)
+    at = F.when(stops, 11).otherwise(F.least(F.lit(9), F.sum(step).over(w.rowsBetween(W.unboundedPreceding, 0))))
+    s = table(spark, d, "events").withColumn("to_state", F.element_at(F.array(*[F.lit(n) for n in RUN_STATES]), (at + 1).cast("int")))
+    t = s.withColumn("from_state", F.lag("to_state").over(w)).filter("from_state <> to_state")
+    legal = F.concat_ws(">", "from_state", "to_state").isin([f"{a}>{b}" for a, b in RUN_EDGES])
+    return t.select("user_id", "event_id", "from_state", "to_state", legal.alias("legal"))
 
 
 @audit(
@@ -130,44 +159,97 @@ def content_reads(spark: SparkSession, d: str) -> DataFrame:
     return get_content(stored, wanted).select("item_id", "state")
 
 
-@audit(
-    "X2 X4",
-    f"""WITH {WORK} SELECT work_id, CASE status WHEN 'pending' THEN 'acquired' WHEN 'running' THEN CASE WHEN score >= 100 THEN 'held' WHEN attempt >= 3 THEN 'failed' ELSE 'reacquired' END ELSE 'terminal' END AS outcome, CASE WHEN status = 'pending' THEN attempt WHEN status = 'running' AND score < 100 AND attempt < 3 THEN attempt + 1 ELSE attempt END AS attempt,
-  status = 'running' AND score >= 100 AS may_finish FROM work""",
-)
+def task_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of ``streaming.leases``: a run is a user, a task_key one of its weeks, and an event's type an action.
+
+    A worker claims the lease that its latest acquire of the task asked for; every seventh event claims another.
+    """
+    k = F.get_json_object("props", "$.k").cast("long")
+    is_ = lambda kind: F.col("event_type") == kind
+    action = F.when(is_("view"), "acquire").when(is_("click"), "beat").when(is_("purchase"), "finish").when(is_("error"), "sweep").when(k % 2 == 0, "defer").otherwise("requeue")
+    e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("task_key"), F.when(k % 3 == 0, "review").otherwise("hunt").alias("task_type"), F.col("ts").alias("at"), "event_id", k.alias("k"), action.alias("action"))
+    mine = W.partitionBy("run_id", "task_key", "task_type").orderBy("at", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    claim = F.last(F.when(F.col("action") == "acquire", F.col("event_id")), ignorenulls=True).over(mine)
+    e = e.withColumn("claim", F.when(F.col("event_id") % 7 == 0, F.col("event_id")).otherwise(F.coalesce(claim, F.lit(-1))))
+    finish, target = F.col("action") == "finish", F.element_at(F.array(*[F.lit(t) for t in _LEASE_TARGETS]), (1 + F.col("k") % len(_LEASE_TARGETS)).cast("int"))
+    requests = e.select(
+        "run_id", "task_key", "task_type", "at", F.lpad(F.col("event_id").cast("string"), 19, "0").alias("request_id"), "action",
+        F.concat(F.lit("w"), (F.col("claim") % 5).cast("string")).alias("worker"), F.concat(F.lit("t"), F.col("claim").cast("string")).alias("token"),
+        F.lit(None).cast("long").alias("attempt"), F.lit(172_800).cast("long").alias("seconds"),
+        F.when(finish, F.when(F.col("k") % 4 == 0, "running").otherwise("completed")).alias("status"), F.when(F.col("action") == "defer", F.when(F.col("k") % 10 == 0, " ").otherwise("budget")).alias("error"),
+        F.when(finish & (F.col("k") % 2 == 1), target).alias("target"), F.concat(F.lit("i"), (F.col("event_id") % 2).cast("string")).alias("key"),
+    )
+    kinds = F.explode(F.array(F.lit("hunt"), F.lit("review"))).alias("task_type")
+    made = requests.groupBy("run_id", "task_key").agg(F.min("at").alias("at")).select("run_id", "task_key", kinds, "at")
+    made = made.select("*", F.lit("").alias("request_id"), F.lit("enqueue").alias("action"), *[F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in requests.columns[6:]])
+    return made.union(requests)
+
+
+_LEASE_TARGETS = ["statically_supported", "poc_ready", "environment_blocked", "rejected", "reportable"]
+# The state of both tasks of a unit as structs; one round of the recursion applies the n-th request of every unit.
+_TASK0 = "{'status': 'pending', 'attempt': 1::BIGINT, 'worker': NULL::VARCHAR, 'token': NULL::VARCHAR, 'expires': NULL::TIMESTAMP, 'error': NULL::VARCHAR}"
+_LEASES = f"""edges(a, b) AS (VALUES {_values(FINDING_EDGES)}), pairs AS (SELECT list(a || '>' || b) AS allowed FROM edges),
+q0 AS (SELECT user_id AS run_id, strftime(date_trunc('week', ts), '%Y-%m-%d') AS task_key, CASE WHEN json_extract(props, '$.k')::BIGINT % 3 = 0 THEN 'review' ELSE 'hunt' END AS task_type, ts, event_id, json_extract(props, '$.k')::BIGINT AS k,
+  CASE event_type WHEN 'view' THEN 'acquire' WHEN 'click' THEN 'beat' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'sweep' ELSE CASE WHEN json_extract(props, '$.k')::BIGINT % 2 = 0 THEN 'defer' ELSE 'requeue' END END AS action FROM events),
+q1 AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN event_id ELSE coalesce(last_value(CASE WHEN action = 'acquire' THEN event_id END IGNORE NULLS) OVER (PARTITION BY run_id, task_key, task_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) END AS claim, row_number() OVER (PARTITION BY run_id, task_key ORDER BY ts, event_id) AS n FROM q0),
+q AS (SELECT *, 'w' || (claim % 5) AS worker, 't' || claim AS token, CASE WHEN action = 'finish' AND k % 2 = 1 THEN (['statically_supported', 'poc_ready', 'environment_blocked', 'rejected', 'reportable'])[1 + k % 5] END AS target, 'i' || (event_id % 2) AS key FROM q1),
+s AS (SELECT run_id, task_key, 0::BIGINT AS n, {_TASK0} AS hunt, {_TASK0} AS review, 'hypothesis' AS finding, NULL::VARCHAR AS i0, NULL::VARCHAR AS i1, NULL::BIGINT AS event_id, NULL::VARCHAR AS task_type, NULL::VARCHAR AS action, NULL::VARCHAR AS outcome FROM (SELECT DISTINCT run_id, task_key FROM q)
+UNION ALL SELECT run_id, task_key, n, CASE task_type WHEN 'hunt' THEN after ELSE hunt END, CASE task_type WHEN 'review' THEN after ELSE review END, CASE WHEN moves THEN target ELSE finding END, CASE WHEN moves AND key = 'i0' THEN target ELSE i0 END, CASE WHEN moves AND key = 'i1' THEN target ELSE i1 END, event_id, task_type, action, outcome FROM (
+  SELECT *, outcome = 'finished' AND target IS NOT NULL AND had IS NULL AS moves, CASE
+    WHEN outcome IN ('acquired', 'reacquired') THEN {{'status': 'running', 'attempt': t.attempt + (outcome = 'reacquired')::BIGINT, 'worker': worker, 'token': token, 'expires': ts + INTERVAL 48 HOUR, 'error': NULL::VARCHAR}}
+    WHEN outcome = 'exhausted' THEN {{'status': 'failed', 'attempt': t.attempt, 'worker': NULL::VARCHAR, 'token': NULL::VARCHAR, 'expires': NULL::TIMESTAMP, 'error': 'worker lease expired; attempts exhausted'}}
+    WHEN outcome = 'requeued' THEN {{'status': 'pending', 'attempt': t.attempt + 1, 'worker': NULL::VARCHAR, 'token': NULL::VARCHAR, 'expires': NULL::TIMESTAMP, 'error': 'worker lease expired'}}
+    WHEN outcome = 'extended' THEN {{'status': t.status, 'attempt': t.attempt, 'worker': t.worker, 'token': t.token, 'expires': ts + INTERVAL 48 HOUR, 'error': t.error}}
+    WHEN outcome = 'finished' THEN {{'status': 'completed', 'attempt': t.attempt, 'worker': NULL::VARCHAR, 'token': NULL::VARCHAR, 'expires': NULL::TIMESTAMP, 'error': NULL::VARCHAR}}
+    WHEN outcome = 'deferred' THEN {{'status': 'budget_deferred', 'attempt': t.attempt, 'worker': NULL::VARCHAR, 'token': NULL::VARCHAR, 'expires': NULL::TIMESTAMP, 'error': 'budget'}}
+    WHEN outcome = 'returned' THEN {{'status': 'pending', 'attempt': t.attempt, 'worker': NULL::VARCHAR, 'token': NULL::VARCHAR, 'expires': NULL::TIMESTAMP, 'error': NULL::VARCHAR}} ELSE t END AS after FROM (
+    SELECT *, CASE action
+      WHEN 'acquire' THEN CASE WHEN t.status = 'pending' THEN 'acquired' WHEN t.status <> 'running' THEN 'not_pending' WHEN NOT late THEN 'held' WHEN t.attempt >= 3 THEN 'exhausted' ELSE 'reacquired' END
+      WHEN 'beat' THEN CASE WHEN live THEN 'extended' ELSE 'lost' END
+      WHEN 'finish' THEN CASE WHEN k % 4 = 0 THEN 'bad_request' WHEN NOT live THEN 'lost' WHEN target IS NULL OR had = target THEN 'finished' WHEN had IS NOT NULL THEN 'key_conflict' WHEN NOT list_contains(allowed, finding || '>' || target) THEN 'illegal_transition' ELSE 'finished' END
+      WHEN 'sweep' THEN CASE WHEN NOT late THEN 'kept' WHEN t.attempt >= 3 THEN 'exhausted' ELSE 'requeued' END
+      WHEN 'defer' THEN CASE WHEN k % 10 = 0 THEN 'bad_request' WHEN t.status = 'pending' THEN 'deferred' ELSE 'refused' END
+      ELSE CASE WHEN t.status = 'budget_deferred' THEN 'returned' ELSE 'refused' END END AS outcome FROM (
+      SELECT *, t.status = 'running' AND t.expires <= ts AS late, coalesce(t.status = 'running' AND t.worker = worker AND t.token = token AND t.expires > ts, false) AS live FROM (
+        SELECT s.run_id, s.task_key, q.n, hunt, review, finding, i0, i1, q.event_id, q.task_type, q.action, q.ts, q.k, q.worker, q.token, q.target, q.key, CASE q.key WHEN 'i0' THEN i0 ELSE i1 END AS had, CASE q.task_type WHEN 'hunt' THEN hunt ELSE review END AS t, allowed
+        FROM s JOIN q ON q.run_id = s.run_id AND q.task_key = s.task_key AND q.n = s.n + 1 CROSS JOIN pairs))))),
+leases AS (SELECT run_id, task_key, task_type, n, event_id, action, outcome, finding, CASE task_type WHEN 'hunt' THEN hunt ELSE review END AS t FROM s WHERE n > 0)"""
+
+
+def leases(spark: SparkSession, d: str) -> DataFrame:
+    return task_log(task_requests(spark, d)).filter("action <> 'enqueue'").withColumn("event_id", F.col("request_id").cast("long"))
+
+
+@audit("X4 X6", f"WITH RECURSIVE {_LEASES} SELECT run_id, task_key, task_type, event_id, action, outcome, t.status AS status, t.attempt AS attempt, t.token AS token, t.expires AS expires, finding, t.error AS error FROM leases")
+def task_leases(spark: SparkSession, d: str) -> DataFrame:
+    """What each request does to its task and finding: leases by token and expiry, attempts, deferrals, joint transitions."""
+    return leases(spark, d).select("run_id", "task_key", "task_type", "event_id", "action", "outcome", "status", "attempt", "token", "expires", "finding", "error")
+
+
+@audit("X2", f"WITH RECURSIVE {_LEASES} SELECT run_id, task_type, outcome, count(*) AS n, max(t.attempt) AS attempt, min(event_id) AS first FROM leases WHERE action = 'acquire' GROUP BY 1, 2, 3")
 def lease_acquire(spark: SparkSession, d: str) -> DataFrame:
-    """Pending work is acquired; running work whose lease has run out (score below 100 stands for that) is acquired again
-    with the next attempt, or fails at three. Only a live lease may finish."""
-    expired = F.col("score") < 100
-    running = F.when(~expired, "held").when(F.col("attempt") >= 3, "failed").otherwise("reacquired")
-    outcome = F.when(F.col("status") == "pending", "acquired").when(F.col("status") == "running", running).otherwise("terminal")
-    w = work(spark, d).withColumn("outcome", outcome)
-    return w.select("work_id", "outcome", (F.col("attempt") + F.when(F.col("outcome") == "reacquired", 1).otherwise(0)).alias("attempt"), (F.col("outcome") == "held").alias("may_finish"))
+    """How acquisitions end: pending work is acquired, a lease that ran out is taken over with the next attempt or fails at
+    three, a live one is held."""
+    a = leases(spark, d).filter("action = 'acquire'").groupBy("run_id", "task_type", "outcome")
+    return a.agg(F.count("*").alias("n"), F.max("attempt").alias("attempt"), F.min("event_id").alias("first"))
 
 
-@audit(
-    "X3",
-    """WITH b AS (SELECT user_id, event_id, ts, event_id % 7 <> 0 AS right_token, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, event_id, right_token AND coalesce(ts <= before + INTERVAL 1 HOUR, true) AS extended, CASE WHEN right_token AND coalesce(ts <= before + INTERVAL 1 HOUR, true) THEN ts + INTERVAL 1 HOUR END AS expires FROM b""",
-)
+@audit("X3", f"WITH RECURSIVE {_LEASES} SELECT run_id, event_id, outcome = 'extended' AS extended, CASE WHEN outcome = 'extended' THEN t.expires END AS expires FROM leases WHERE action = 'beat'")
 def heartbeat_extend(spark: SparkSession, d: str) -> DataFrame:
-    """A beat with the lease's token that comes before the expiry extends it from now; any other is refused."""
-    hour = F.make_dt_interval(hours=F.lit(1))
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    live = (F.col("event_id") % 7 != 0) & F.coalesce(F.col("ts") <= F.lag("ts").over(w) + hour, F.lit(True))
-    return table(spark, d, "events").select("user_id", "event_id", live.alias("extended"), F.when(live, F.col("ts") + hour).alias("expires"))
+    """A beat by the live lease's worker and token extends it from now; a refused one changes nothing."""
+    live = F.col("outcome") == "extended"
+    return leases(spark, d).filter("action = 'beat'").select("run_id", "event_id", live.alias("extended"), F.when(live, F.col("expires")).alias("expires"))
 
 
 @audit(
-    "X5 X6",
-    f"""WITH {WORK}, s AS (SELECT campaign, work_id, CASE WHEN status = 'running' AND score < 200 THEN CASE WHEN attempt >= 3 THEN 'failed' ELSE 'requeued' END WHEN status = 'pending' AND risk = 1 THEN 'budget_deferred' ELSE 'kept' END AS outcome FROM work)
-SELECT campaign, count(*) FILTER (outcome = 'failed') AS n_failed, count(*) FILTER (outcome = 'requeued') AS n_requeued, count(*) FILTER (outcome = 'budget_deferred') AS n_deferred, coalesce(string_agg(work_id::VARCHAR, ',' ORDER BY work_id::VARCHAR) FILTER (outcome = 'failed'), '') AS failed FROM s GROUP BY 1""",
+    "X5",
+    f"""WITH RECURSIVE {_LEASES} SELECT run_id, count(*) AS swept, coalesce(string_agg(task_type || ':' || task_key, ',' ORDER BY task_type || ':' || task_key) FILTER (outcome = 'requeued'), '') AS requeued, coalesce(string_agg(task_type || ':' || task_key, ',' ORDER BY task_type || ':' || task_key) FILTER (outcome = 'exhausted'), '') AS failed FROM leases WHERE action = 'sweep' GROUP BY 1""",
 )
 def expiry_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Expired leases are requeued, or fail after three attempts; low risks wait for budget; the lists are sorted."""
-    expired = (F.col("status") == "running") & (F.col("score") < 200)
-    outcome = F.when(expired & (F.col("attempt") >= 3), "failed").when(expired, "requeued").when((F.col("status") == "pending") & (F.col("risk") == 1), "budget_deferred").otherwise("kept")
-    s = work(spark, d).withColumn("o", outcome)
-    return s.groupBy("campaign").agg(tally(F.col("o") == "failed", "n_failed"), tally(F.col("o") == "requeued", "n_requeued"), tally(F.col("o") == "budget_deferred", "n_deferred"), ids(F.when(F.col("o") == "failed", F.col("work_id").cast("string"))).alias("failed"))
+    """What a run's sweeps requeue and fail, sorted; a list holds sweeps that found a lease run out, three a task at most."""
+    name = F.concat_ws(":", "task_type", "task_key")
+    listed = lambda outcome: F.array_join(F.array_sort(F.collect_list(F.when(F.col("outcome") == outcome, name))), ",").alias({"exhausted": "failed"}.get(outcome, outcome))
+    return leases(spark, d).filter("action = 'sweep'").groupBy("run_id").agg(F.count("*").alias("swept"), listed("requeued"), listed("exhausted"))
 
 
 @audit(
