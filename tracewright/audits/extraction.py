@@ -9,6 +9,7 @@ from tracewright.audits.metrics import ids, tally
 from tracewright.audits.reports import text
 from tracewright.audits.registry import audit
 from tracewright.functions import scalars as S
+from tracewright.operators import merging
 from tracewright.sources.tables import table
 
 _SOURCE = """src AS (SELECT p_partkey AS file, '#include "' || p_brand || '.h"' || chr(10) || '#define MAX_' || p_size || ' \\' || chr(10) || '  (' || p_size * 4 || ')' || chr(10) || 'int parse_' || p_partkey || '(char *buf, size_t len) {' || chr(10) || '  char *p = malloc(' || p_size || ' * len);' || chr(10) || '  if (len > ' || p_size * 8 || ') return -1;' || chr(10) || '  p[' || (p_size % 13) || '] = buf[' || (p_size % 9) || '];' || chr(10) || '  p += ' || (1 + p_size % 5) || ';' || chr(10) || '  sprintf(p, "%d", len);' || chr(10) || '}' AS body FROM part)"""
@@ -189,21 +190,30 @@ def byte_elements(spark: SparkSession, d: str) -> DataFrame:
     return b.select("vec_id", size.alias("size"), number(1, 2).alias("tag"), field.alias("length_field"), (field > size - 4).alias("exceeds"))
 
 
-@audit(
-    "S21 D12 D19 O32",
-    """WITH i AS (SELECT l_suppkey AS fn, l_partkey % 30 AS block, l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'store' WHEN 'N' THEN 'load' ELSE 'call' END AS op, CASE WHEN l_quantity > 40 THEN 0 WHEN l_quantity > 20 THEN 2 ELSE 5 END AS priority FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY fn, block ORDER BY priority, l_orderkey, l_linenumber) AS k FROM i), s AS (SELECT fn, block, min(priority) AS best, string_agg(op, ' ' ORDER BY k) FILTER (k <= 3) AS slice, count(*) - least(count(*), 3) AS omitted, count(*) FILTER (op = 'store') AS sinks FROM r GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY fn ORDER BY best, block) AS place FROM s)
-SELECT fn, block, best::BIGINT AS best, slice, omitted, sinks FROM t WHERE place <= 5""",
-)
+# A chain of uses longer than three steps ends at priority 6, so the recursion counts no further and ends.
+_SLICES = """i AS (SELECT l_suppkey AS fn, l_partkey % 30 AS block, (l_orderkey * 8 + l_linenumber) * 4096 + l_partkey % 4096 AS address, l_linenumber::BIGINT AS index, CASE WHEN l_returnflag <> 'N' THEN 'v' || (l_partkey % 97) END AS result, 'v' || (l_orderkey % 97) AS a, 'v' || (l_partkey * 3 % 97) AS b, CASE WHEN l_quantity > 49 THEN 0 WHEN l_quantity > 48 THEN 1 WHEN l_quantity > 47 THEN 2 END AS own FROM lineitem),
+j AS (SELECT fn, result, arg_max(a, (address, index)) AS a, arg_max(b, (address, index)) AS b, max((address, index)) AS id FROM i WHERE result IS NOT NULL GROUP BY 1, 2),
+need AS (SELECT fn, name, 1 AS hops FROM (SELECT fn, unnest([a, b]) AS name FROM i WHERE own IS NOT NULL) UNION SELECT need.fn, unnest([j.a, j.b]), least(hops + 1, 3) FROM need JOIN j ON j.fn = need.fn AND j.result = need.name),
+h AS (SELECT need.fn, j.id, min(hops) AS hops FROM need JOIN j ON j.fn = need.fn AND j.result = need.name GROUP BY 1, 2),
+p AS (SELECT i.*, coalesce(own, 3 + hops)::BIGINT AS priority FROM i LEFT JOIN h ON h.fn = i.fn AND h.id = (i.address, i.index)),
+o AS (SELECT *, row_number() OVER (PARTITION BY fn ORDER BY priority, address, index) AS place FROM p WHERE priority IS NOT NULL),
+k AS (SELECT fn, block, min((priority, address)) AS best, string_agg(index::VARCHAR, ',' ORDER BY address, index) AS kept, count(*) AS n FROM o WHERE place <= 24 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY fn ORDER BY best, block) AS nth, count(*) OVER (PARTITION BY fn) AS m FROM k),
+f AS (SELECT fn, block, count(*) AS full_count FROM i GROUP BY 1, 2), w AS (SELECT fn, count(*) AS n FROM o GROUP BY 1)"""
+
+
+def instructions(spark: SparkSession, d: str) -> DataFrame:
+    """A supplier's lines as the instructions of a function: fn, block, address, index, result, operands, own."""
+    own = F.when(F.col("l_quantity") > 49, 0).when(F.col("l_quantity") > 48, 1).when(F.col("l_quantity") > 47, 2)
+    name = lambda c: F.concat(F.lit("v"), (c % 97).cast("string"))
+    address = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4096 + F.col("l_partkey") % 4096
+    return table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("fn"), (F.col("l_partkey") % 30).alias("block"), address.alias("address"), F.col("l_linenumber").cast("long").alias("index"),
+        F.when(F.col("l_returnflag") != "N", name(F.col("l_partkey"))).alias("result"), F.array(name(F.col("l_orderkey")), name(F.col("l_partkey") * 3)).alias("operands"), own.alias("own"),
+    )
+
+
+@audit("S21 D12 D19 O32", f"WITH RECURSIVE {_SLICES} SELECT fn, block, struct_extract(best, 1) AS priority, struct_extract(best, 2) AS address, kept, full_count AS full, full_count - r.n AS omitted, w.n > 24 OR m > 5 AS limited FROM r JOIN f USING (fn, block) JOIN w USING (fn) WHERE nth <= 5")
 def evidence_slices(spark: SparkSession, d: str) -> DataFrame:
-    """The three best instructions of a block, then the five best blocks of a function; instructions are reduced before
-    they are gathered."""
-    from tracewright.operators.ranking import top_k
-
-    op = F.when(F.col("l_returnflag") == "A", "store").when(F.col("l_returnflag") == "N", "load").otherwise("call")
-    priority = F.when(F.col("l_quantity") > 40, 0).when(F.col("l_quantity") > 20, 2).otherwise(5)
-    i = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("fn"), (F.col("l_partkey") % 30).alias("block"), "l_orderkey", "l_linenumber", op.alias("op"), priority.cast("long").alias("p"))
-    s = i.groupBy("fn", "block").agg(F.min("p").alias("best"), F.count("*").alias("n"), tally(F.col("op") == "store", "sinks"))
-    few = top_k(i, ["fn", "block"], [F.col("p"), F.col("l_orderkey"), F.col("l_linenumber")], 3)
-    few = few.groupBy("fn", "block").agg(F.array_sort(F.collect_list(F.struct("rank", "op"))).alias("x"))
-    t = top_k(s.join(few, ["fn", "block"]), ["fn"], [F.col("best"), F.col("block")], 5)
-    return t.select("fn", "block", "best", F.array_join(F.transform("x", lambda v: v["op"]), " ").alias("slice"), (F.col("n") - F.least(F.col("n"), F.lit(3))).alias("omitted"), "sinks")
+    """The 24 best instructions of a function and the five best of their blocks, by priorities relaxed along definitions."""
+    s = merging.evidence_slices(instructions(spark, d), 24, 5)
+    return s.withColumn("kept", F.array_join(F.transform("kept", lambda x: x.cast("string")), ","))

@@ -193,7 +193,7 @@ def forward_taint(spark: SparkSession, d: str) -> DataFrame:
 
 
 @audit(
-    "G24 U6 U7",
+    "G24 U7",
     """WITH RECURSIVE v AS (SELECT l_suppkey AS fn, l_partkey % 60 AS a, (l_partkey * 7 + l_linenumber) % 60 AS b, l_returnflag FROM lineitem), e AS (SELECT DISTINCT fn, a, b FROM v WHERE l_returnflag = 'A' AND a <> b AND a < 25), n AS (SELECT DISTINCT fn, a AS x FROM v UNION SELECT fn, b FROM v), ab AS (SELECT fn, a, b FROM e UNION SELECT fn, b, a FROM e),
 r AS (SELECT fn, x, x AS y FROM n UNION SELECT r.fn, r.x, b FROM r JOIN ab ON ab.fn = r.fn AND a = r.y) SELECT fn, x, min(y) AS root FROM r GROUP BY 1, 2""",
 )
@@ -239,7 +239,7 @@ def guard_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 @audit(
-    "G19 G12 C16",
+    "G19 C16",
     f"""WITH {FACTS}, w AS (SELECT * FROM facts WHERE kind = 'write'), a AS (SELECT node_id, name, min(bound) AS capacity, min(line) AS line FROM facts WHERE kind = 'allocation' GROUP BY 1, 2), l AS (SELECT DISTINCT node_id, name FROM facts WHERE kind = 'loop'), g AS (SELECT DISTINCT node_id, name FROM facts WHERE kind = 'guard')
 SELECT w.fact_id, w.name, w.line, w.bound, concat_ws(',', CASE WHEN a.capacity * 2 < w.bound AND g.name IS NULL THEN 'overflow_to_size' END, CASE WHEN l.name IS NOT NULL AND g.name IS NULL THEN 'offset_plus_length' END, CASE WHEN w.bound > a.capacity THEN 'copy_mismatch' END, CASE WHEN w.line < a.line THEN 'use_outside_lifetime' END) AS findings FROM w LEFT JOIN a USING (node_id, name) LEFT JOIN l USING (node_id, name) LEFT JOIN g USING (node_id, name)""",
 )
