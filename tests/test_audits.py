@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_audit_queries import FOLDER, plain
 
 from tracewright import audits
-from tracewright.audits import registry, relations, scheduling, stores
+from tracewright.audits import predicates, registry, relations, scheduling, stores
 from tracewright.streaming.states import FINDING_EDGES, FINDING_STATES
 
 
@@ -96,7 +96,7 @@ def test_reservations_against_a_loop(spark):
 def test_diverse_admission_of_reduced_groups_is_that_of_whole_ones(spark, sessions):
     items = scheduling.candidates(spark, FOLDER).withColumn("campaign", F.substring("campaign", 1, 4))
     got = scheduling.diverse_allocation(items, ["campaign"], scheduling.candidate_order(), sessions).toPandas()
-    order = items.select("*", F.struct(*[F.struct(c.alias("x")).alias(f"k{i}") for i, c in enumerate(scheduling.plain_order([]))]).alias("_k")).orderBy("campaign", "_k")
+    order = items.select("*", F.struct(*[F.struct(c.alias("x")).alias(f"k{i}") for i, c in enumerate(scheduling.candidate_order())]).alias("_k")).orderBy("campaign", "_k")
     groups = {}
     for x in order.collect():
         row = x.asDict()
@@ -141,3 +141,45 @@ def test_plans_have_no_nested_loops(spark):
     assert "WindowGroupLimit" in plan  # each task keeps six rows a key before the shuffle
     plan = registry.QUERIES["input_by_work"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan.split("ReadSchema")[1]
+
+
+def test_paths_against_the_fixed_values(spark):
+    """All extensions and folders, each in another case too, and names that only look like one."""
+    python, node, java, c = [".py"], [".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx"], [".java", ".kt"], [".c", ".h", ".l", ".y"]
+    of = {e: n for n, es in (("python", python), ("node", node), ("java", java), ("c", c)) for e in es}
+    assert len(of) == 13
+    skip = ".git node_modules __pycache__ .venv venv env dist build target .mypy_cache .pytest_cache .tox vendor third_party docs examples migrations".split()
+    hints = ["test", "tests", "__tests__", "spec", "specs"]
+    assert len(skip) == 17
+    rows = [(f"src/a{e}", n, False, False) for e, n in of.items()] + [(f"src/a.b{e.upper()}", n, False, False) for e, n in of.items()]
+    rows += [(f"x/{s}/a.c", "c", True, False) for s in skip] + [(f"x/{s.upper()}/a.c", "c", False, False) for s in skip if s.upper() != s]
+    rows += [(f"{h}/a.py", "python", False, True) for h in hints] + [(f"a/{h.upper()}/b.py", "python", False, True) for h in hints]
+    rows += [(".c", None, False, False), ("a/.py", None, False, False), ("a..c", "c", False, False), ("c", None, False, False), ("testing/a.go", None, False, False), ("a/test_b.c", "c", False, False), ("build", None, True, False), ("a.c/b", None, False, False)]
+    df = spark.createDataFrame([(p,) for p, *_ in rows], "path string")
+    got = df.select("path", *[x.alias(n) for x, n in zip(predicates.path_columns("path"), ("language", "skipped", "is_test"), strict=True)])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_evidence_adds_up_and_one_hunter_comes_first(spark):
+    rows = [(required, risk, status, attempt) for required in (True, False) for risk in (3, 4) for status in ("done", "running") for attempt in (1, 2)]
+    got = spark.createDataFrame(rows, "required boolean, risk long, status string, attempt long").select("*", scheduling.evidence_points().alias("points")).collect()
+    assert {x[:4]: x["points"] for x in got} == {x: 40 * x[0] + 30 * (x[1] == 4) + 20 * (x[2] == "done") + 10 * (x[3] == 1) for x in rows}
+    work = [(w, "pending", 1, True, 4, 1, "c", 0, h) for w, h in enumerate(("h3", "h0", "h2", "h1"))]
+    df = spark.createDataFrame(work, "work_id long, status string, score long, required boolean, risk long, attempt long, component string, family long, hunter string")
+    keys = df.select("hunter", scheduling.candidate_order()[3].alias("k")).collect()
+    assert {x["hunter"]: x["k"] for x in keys} == {"h0": 0, "h1": 1, "h2": 1, "h3": 1}
+
+
+def test_passages_against_contains(spark):
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(60)}"
+    protected = [(k, " ".join(word() for _ in range(r.choice([1, 2, 3, 7, 8, 9, 30])))) for k in range(40)] + [(90, None), (91, " \n "), (92, "Ä b\tC"), (0, "w1")]
+    texts = [(k, " ".join(word() for _ in range(r.choice([0, 1, 5, 200])))) for k in range(60)] + [(100, None), (101, ""), (102, "x ä  B\nc y"), (103, "xä b c")]
+    texts += [(200 + k, f"before {p}\n after") for k, (_, p) in enumerate(protected) if p and k % 2]
+    got = predicates.passages(spark.createDataFrame(protected, "item_id long, passage string"), spark.createDataFrame([*texts, *texts[:5]], "doc_id long, text string"))
+    flat = lambda t: " " + " ".join(t.lower().split()) + " "
+    want = {(i, d) for i, p in protected for d, t in texts if p and p.split() and t is not None and flat(p) in flat(t)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {(92, 102)} <= want and (92, 103) not in want
+    none = spark.createDataFrame([], "item_id long, passage string")
+    assert predicates.passages(none, spark.createDataFrame(texts, "doc_id long, text string")).collect() == []

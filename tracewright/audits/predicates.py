@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from tracewright.audits.registry import FOUND, RUNS, WORK, audit, found, runs, w
 from tracewright.functions import scalars as S
 from tracewright.sources.tables import table
 
-# Languages and their extensions, skipped folders, stop words, format conversions, type words, CWE names.
-EXTENSIONS = {"python": ["py"], "c": ["c", "h", "l", "y"], "javascript": ["js", "jsx", "ts", "tsx", "mjs"], "java": ["java"]}
+# Languages and their extensions, skipped folders, folders of tests, stop words, format conversions, CWE names.
+EXTENSIONS = {"python": ["py"], "node": ["js", "mjs", "cjs", "jsx", "ts", "tsx"], "java": ["java", "kt"], "c": ["c", "h", "l", "y"]}
+SKIPPED = [".git", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", "target", ".mypy_cache", ".pytest_cache", ".tox", "vendor", "third_party", "docs", "examples", "migrations"]
+TEST_PARTS = ["test", "tests", "__tests__", "spec", "specs"]
 STOP_WORDS = ["and", "else", "for", "if", "in", "is", "not", "of", "or", "return", "the", "to"]
 WIDTHS = {"d": 11, "i": 11, "u": 10, "x": 8, "X": 8, "c": 1}
 CWE = {"buffer overflow": "CWE-787", "out-of-bounds read": "CWE-125", "integer overflow": "CWE-190", "use after free": "CWE-416", "format string": "CWE-134"}
@@ -31,25 +35,35 @@ def case(value: str, pairs: dict, other: str = "NULL") -> str:
     return f"CASE {value} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in pairs.items()) + f" ELSE {other} END"
 
 
-_EXT = "lower(regexp_extract(path, '[.]([A-Za-z]+)$', 1))"
+def path_columns(path: str) -> tuple[Column, Column, Column]:
+    """Of a path: its language by the last extension (null: none), whether a folder or the file itself has a skipped name,
+    and whether one has a test's, in any case. A name that only begins with a dot has no extension."""
+    parts = F.split(path, "/")
+    extension = F.lower(F.regexp_extract(F.element_at(parts, -1), "^[.]*[^.].*[.]([^.]+)$", 1))
+    language = F.coalesce(*[F.when(extension.isin(e), F.lit(n)) for n, e in EXTENSIONS.items()])
+    skipped = F.arrays_overlap(parts, F.array(*[F.lit(x) for x in SKIPPED]))
+    is_test = F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*[F.lit(x) for x in TEST_PARTS]))
+    return language, skipped, is_test
+
+
+# The names that a part's file is made of, by its size and key; they cover the fixed values and others.
+_SUFFIXES = ["py", "js", "mjs", "cjs", "jsx", "ts", "tsx", "java", "kt", "c", "h", "l", "Y", "txt"]
+_FOLDERS = ["src", "Node_modules", *SKIPPED, *TEST_PARTS, "Tests", "testing"]
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
 @audit(
     "P1 S2",
-    f"""WITH p AS (SELECT p_partkey, replace(lower(p_type), ' ', '/') || '/' || CASE WHEN p_size % 7 = 0 THEN 'node_modules/' WHEN p_size % 5 = 0 THEN 'Tests/' ELSE '' END || 'f' || p_partkey || '.' || CASE p_size % 6 WHEN 0 THEN 'py' WHEN 1 THEN 'C' WHEN 2 THEN 'tsx' WHEN 3 THEN 'java' WHEN 4 THEN 'h' ELSE 'txt' END AS path FROM part)
-SELECT p_partkey, CASE WHEN {_EXT} = 'py' THEN 'python' WHEN {_EXT} IN ('c', 'h', 'l', 'y') THEN 'c' WHEN {_EXT} IN ('js', 'jsx', 'ts', 'tsx', 'mjs') THEN 'javascript' WHEN {_EXT} = 'java' THEN 'java' END AS language, list_has_any(string_split(path, '/'), ['.git', 'build', 'dist', 'node_modules', 'vendor']) AS skipped, regexp_matches(lower(path), '(^|/)(tests?|spec)(/|_)') AS is_test FROM p""",
+    f"""WITH p AS (SELECT p_partkey, ({_LIST(_FOLDERS)})[1 + p_partkey % {len(_FOLDERS)}] || '/' || ({_LIST(_FOLDERS)})[1 + (p_partkey // {len(_FOLDERS)}) % {len(_FOLDERS)}] || '/f.' || p_partkey || '.' || ({_LIST(_SUFFIXES)})[1 + p_size % {len(_SUFFIXES)}] AS path FROM part), x AS (SELECT *, string_split(path, '/') AS parts, lower(string_split(path, '.')[-1]) AS e FROM p)
+SELECT p_partkey, CASE e WHEN 'py' THEN 'python' WHEN 'java' THEN 'java' WHEN 'kt' THEN 'java' WHEN 'c' THEN 'c' WHEN 'h' THEN 'c' WHEN 'l' THEN 'c' WHEN 'y' THEN 'c' WHEN 'txt' THEN NULL ELSE 'node' END AS language, list_has_any(parts, {_LIST(SKIPPED)}) AS skipped, list_has_any(list_transform(parts, lambda q: lower(q)), {_LIST(TEST_PARTS)}) AS is_test FROM x""",
 )
 def path_filter(spark: SparkSession, d: str) -> DataFrame:
-    """A path's language by extension, whether a folder of it is skipped, and whether it looks like a test's."""
-    size = F.col("p_size") % 6
-    folder = F.when(F.col("p_size") % 7 == 0, "node_modules/").when(F.col("p_size") % 5 == 0, "Tests/").otherwise("")
-    extension = chosen(size, {0: "py", 1: "C", 2: "tsx", 3: "java", 4: "h"}, F.lit("txt"))
-    path = F.concat(F.replace(F.lower("p_type"), F.lit(" "), F.lit("/")), F.lit("/"), folder, F.lit("f"), F.col("p_partkey").cast("string"), F.lit("."), extension)
-    p = table(spark, d, "part").select("p_partkey", path.alias("path"))
-    found_extension = F.lower(F.regexp_extract("path", "[.]([A-Za-z]+)$", 1))
-    language = F.coalesce(*[F.when(found_extension.isin(e), F.lit(n)) for n, e in EXTENSIONS.items()])
-    skipped = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in (".git", "build", "dist", "node_modules", "vendor")]))
-    return p.select("p_partkey", language.alias("language"), skipped.alias("skipped"), F.lower("path").rlike("(^|/)(tests?|spec)(/|_)").alias("is_test"))
+    """A path's language by extension, whether a folder of it is skipped, and whether it is a test's."""
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), (1 + at % len(names)).cast("int"))
+    key = F.col("p_partkey")
+    path = F.concat(pick(_FOLDERS, key), F.lit("/"), pick(_FOLDERS, F.floor(key / len(_FOLDERS))), F.lit("/f."), key.cast("string"), F.lit("."), pick(_SUFFIXES, F.col("p_size")))
+    language, skipped, is_test = path_columns("path")
+    return table(spark, d, "part").select("p_partkey", path.alias("path")).select("p_partkey", language.alias("language"), skipped.alias("skipped"), is_test.alias("is_test"))
 
 
 @audit(
@@ -350,12 +364,43 @@ def semantic_projection(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("recurs", F.col("campaigns") > 1)
 
 
+def passages(protected: DataFrame, texts: DataFrame, n: int = 8) -> DataFrame:
+    """item_id and doc_id of each protected passage (item_id, passage) that a text (doc_id, text) holds as whole words.
+
+    Passages of at least n words are found by their rarest run of n words, shorter ones by all of theirs: runs are joined by
+    equality with those of the texts that any passage's chosen run is among, and what meets is compared word by word. A run
+    that many texts share therefore costs what its passages do. Case and white space between words don't matter. A passage
+    without words is in no text; null texts and passages are skipped; repeated rows give one row.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), "[ \\t\\n\\x0b\\f\\r]+"), lambda w: w != "")
+    items = protected.select("item_id", words("passage").alias("_w")).filter("size(_w) > 0").distinct()
+    items = items.withColumn("_n", F.least(F.size("_w"), F.lit(n)))
+    docs = texts.select("doc_id", words("text").alias("_d")).filter("size(_d) > 0")
+    runs = lambda w, k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
+    lengths = [r[0] for r in items.select("_n").distinct().collect()]  # n numbers at most
+    found = []
+    for k in sorted(lengths):
+        mine = items.filter(F.col("_n") == k).select("item_id", "_w", F.explode(F.array_distinct(runs(F.col("_w"), k))).alias("_run"))
+        there = docs.filter(F.size("_d") >= k).select("doc_id", F.explode(F.array_distinct(runs(F.col("_d"), k))).alias("_run"))
+        counts = there.join(mine.select("_run").distinct(), "_run", "left_semi").groupBy("_run").agg(F.count("*").alias("_c"))
+        rarest = F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), F.col("_run").alias("run")))
+        chosen = mine.join(counts, "_run", "left").groupBy("item_id", "_w").agg(rarest.alias("_x")).filter("_x.c > 0").select("item_id", "_w", F.col("_x.run").alias("_run"))
+        found.append(there.join(chosen, "_run").select("item_id", "doc_id", "_w").distinct())
+    if not found:
+        return items.join(docs, F.lit(False)).select("item_id", "doc_id")
+    pairs = reduce(DataFrame.union, found).select("item_id", "doc_id", F.array_join("_w", " ").alias("_p"))
+    held = F.concat(F.lit(" "), F.array_join("_d", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("_p"), F.lit(" ")))
+    return pairs.join(docs, "doc_id").filter(held).select("item_id", "doc_id").distinct()
+
+
 @audit(
     "P27",
-    """SELECT item_id, doc_id FROM benchmark JOIN documents ON length(trim(benchmark.text)) >= 40 AND contains(documents.text, left(trim(benchmark.text), 40))""".replace("SELECT item_id, doc_id FROM benchmark", "SELECT lower(left(sha256(item_id::VARCHAR), 8)) AS token, count(doc_id) AS leaks, min(doc_id) AS first FROM benchmark") + " GROUP BY 1",
+    r"""WITH b AS (SELECT DISTINCT item_id, ' ' || trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g')) || ' ' AS p FROM benchmark), d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g')) || ' ' AS t FROM documents)
+SELECT lower(left(sha256(item_id::VARCHAR), 8)) AS token, count(DISTINCT doc_id) AS leaks, min(doc_id) AS first FROM b JOIN d ON length(p) > 2 AND contains(t, p) GROUP BY item_id""",
 )
 def production_leakage(spark: SparkSession, d: str) -> DataFrame:
-    """Protected passages that a production text holds, with the first text; the passages, a registry, are broadcast."""
-    protected = table(spark, d, "benchmark").filter(F.length(F.trim("text")) >= 40).select(F.substring(F.sha2(F.col("item_id").cast("string"), 256), 1, 8).alias("token"), F.substring(F.trim("text"), 1, 40).alias("passage"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(protected), F.contains("text", "passage")).groupBy("token").agg(F.count("doc_id").alias("leaks"), F.min("doc_id").alias("first"))
+    """Protected passages that a production text holds, whole and of any length, with the first text."""
+    protected = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    p = passages(protected, table(spark, d, "documents").select("doc_id", "text"))
+    out = p.groupBy("item_id").agg(F.count("*").alias("leaks"), F.min("doc_id").alias("first"))
+    return out.select(F.substring(F.sha2(F.col("item_id").cast("string"), 256), 1, 8).alias("token"), "leaks", "first")

@@ -67,17 +67,23 @@ def work_allocation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("work_id", "campaign", "component", "pre_rank", "place", "disposition")
 
 
+def evidence_points() -> Column:
+    """What speaks for a candidate, each by itself: 40, 30, 20 and 10 points, which add up."""
+    facts = [(F.col("required"), 40), (F.col("risk") >= 4, 30), (F.col("status") == "done", 20), (F.col("attempt") == 1, 10)]
+    return sum((F.when(c, n).otherwise(0) for c, n in facts), F.lit(0))
+
+
 def candidate_order() -> list[Column]:
-    """The ten keys of a candidate: class, chain score, evidence, hunter, required, risk, reachable, component, family, tie."""
+    """The ten keys of a candidate, ascending: class, chain score, evidence, hunter (the preferred one first), required,
+    risk, reachable, component, family, tie. Those that fall are negated."""
     rank = F.when(F.col("status") == "pending", 0).when(F.col("status") == "running", 1).otherwise(2)
-    evidence = F.when(F.col("risk") >= 4, 40).when(F.col("risk") == 3, 30).when(F.col("risk") == 2, 20).otherwise(10)
-    hunter = F.when(F.col("hunter") == "h0", 0).when(F.col("hunter") == "h2", 1).otherwise(2)
     tie = F.sha2(F.concat_ws(chr(31), "component", "hunter", F.col("work_id").cast("string")), 256)
-    return [rank, F.desc("score"), evidence.desc(), hunter, F.desc("required"), F.desc("risk"), F.desc("attempt"), F.col("component"), F.col("family"), tie]
+    return [rank, -F.col("score"), -evidence_points(), (F.col("hunter") != "h0").cast("int"), -F.col("required").cast("int"), -F.col("risk"), -F.col("attempt"), F.col("component"), F.col("family"), tie]
 
 
-_ORDER = """CASE status WHEN 'pending' THEN 0 WHEN 'running' THEN 1 ELSE 2 END, score DESC, CASE WHEN risk >= 4 THEN 40 WHEN risk = 3 THEN 30 WHEN risk = 2 THEN 20 ELSE 10 END DESC,
-  CASE hunter WHEN 'h0' THEN 0 WHEN 'h2' THEN 1 ELSE 2 END, required DESC, risk DESC, attempt DESC, component, family, sha256(component || chr(31) || hunter || chr(31) || work_id)"""
+_EVIDENCE = "40 * required::INT + 30 * (risk >= 4)::INT + 20 * (status = 'done')::INT + 10 * (attempt = 1)::INT"
+_ORDER = f"""CASE status WHEN 'pending' THEN 0 WHEN 'running' THEN 1 ELSE 2 END, score DESC, {_EVIDENCE} DESC,
+  CASE hunter WHEN 'h0' THEN 0 ELSE 1 END, required DESC, risk DESC, attempt DESC, component, family, sha256(component || chr(31) || hunter || chr(31) || work_id)"""
 
 
 @audit("O1", f"WITH {WORK} SELECT campaign, family, work_id, row_number() OVER (PARTITION BY campaign, family ORDER BY {_ORDER}) AS place FROM work")
@@ -204,7 +210,7 @@ def diverse_allocation(items: DataFrame, groups: Sequence[str], order: Sequence[
     alike = [c for c in _CANDIDATE if c not in ("work_id", "weights", "obligations")] + ["_obligations"]
     items = items.withColumn("_obligations", F.array_join("obligations", ","))
     items = items.withColumn("_nth", F.row_number().over(W.partitionBy(*groups, *alike).orderBy(*order)))
-    items = items.withColumn("_order", F.struct(*[F.struct(c.alias("x")).alias(f"k{i}") for i, c in enumerate(plain_order(order))]))
+    items = items.withColumn("_order", F.struct(*[F.struct(c.alias("x")).alias(f"k{i}") for i, c in enumerate(order)]))
     first = items.filter(F.col("_nth") <= sessions + 1)
     keys = ", ".join(f"{g} {dict(items.dtypes)[g]}" for g in groups)
 
@@ -227,14 +233,6 @@ def diverse_allocation(items: DataFrame, groups: Sequence[str], order: Sequence[
     return decided.unionByName(joined.select(*groups, "work_id", F.lit(None).cast("long").alias("place"), F.lit(None).cast("string").alias("quota"), "reason"))
 
 
-def plain_order(order: Sequence[Column]) -> list[Column]:
-    """Sort keys as ascending values, given as columns on the views' names: descending numbers are negated."""
-    rank = F.when(F.col("status") == "pending", 0).when(F.col("status") == "running", 1).otherwise(2)
-    hunter = F.when(F.col("hunter") == "h0", 0).when(F.col("hunter") == "h2", 1).otherwise(2)
-    tie = F.sha2(F.concat_ws(chr(31), "component", "hunter", F.col("work_id").cast("string")), 256)
-    return [rank, -F.col("score"), -F.least(F.col("risk"), F.lit(4)), hunter, -F.col("required").cast("int"), -F.col("risk"), -F.col("attempt"), F.col("component"), F.col("family"), tie]
-
-
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Work items with what diverse admission looks at."""
     w = work(spark, d)
