@@ -72,7 +72,7 @@ def spread(states: DataFrame, edges: DataFrame, step, keys: list[str], rounds: i
 
 
 @audit(
-    "G8 D2",
+    "D2",
     f"""WITH RECURSIVE {_EDGES}, {FACTS}, w AS (SELECT DISTINCT node_id AS node, name, 0 AS depth FROM facts WHERE kind = 'write'), r AS (SELECT node, name, depth FROM w UNION SELECT src, name, depth + 1 FROM r JOIN edges ON dst = r.node WHERE depth < 5)
 SELECT node, string_agg(DISTINCT name, ',' ORDER BY name) AS written, count(DISTINCT name) FILTER (own) AS own FROM (SELECT node, name, min(depth) = 0 AS own FROM r GROUP BY 1, 2) GROUP BY 1""",
 )

@@ -1,13 +1,15 @@
-"""Slices that overlap, and risk chains of functions, over the driver's tables."""
+"""Slices that overlap, risk chains of functions and summaries of what they do, over the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.audits.registry import audit
+from tracewright.audits.registry import audit, calls, facts, nodes
+from tracewright.audits.relations import resolved_calls
 from tracewright.operators.chains import risk_chains
 from tracewright.operators.merging import slice_groups
+from tracewright.operators.summaries import propagate
 from tracewright.sources.tables import table
 
 
@@ -56,3 +58,32 @@ def function_risk_chains(spark: SparkSession, d: str) -> DataFrame:
     c = risk_chains(statements(spark, d))
     text = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",").alias(x)
     return c.select("fn", "allocation", "line", text("sources"), text("source_lines"), text("names"), text("transforms"), "guard", text("guard_lines"), text("copies"), "score", "confidence")
+
+
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    """What a function does by itself: its writes through parameters p0 to p2, of which the first two are pointers."""
+    f = facts(spark, d).filter("kind = 'write'").select("node_id", F.concat(F.lit("p"), F.substring("name", 2, 1)).alias("p"), F.concat(F.lit("n * "), F.col("bound").cast("string")).alias("x"))
+    f = f.filter("p <> 'p2'").groupBy("node_id", "p").agg(F.array_sort(F.collect_set("x")).alias("xs")).groupBy("node_id")
+    own = f.agg(F.array_sort(F.collect_list("p")).alias("written"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "xs")))).alias("extents"))
+    n = nodes(spark, d).join(own, "node_id", "left")
+    names, k = F.array(F.lit("p0"), F.lit("p1"), F.lit("n")), F.col("node_id") % 5
+    return n.select(
+        F.col("node_id").alias("node"), names.alias("parameters"), F.slice(names, 1, 2).alias("pointers"), F.create_map(F.lit("q"), F.lit("p0")).alias("aliases"), "written", "extents",
+        F.when(k < 3, F.array(F.concat(F.lit("r"), k.cast("string")))).alias("returns"), F.when(k == 3, "consumed_or_required").when(k == 4, "pass_through").otherwise("unknown").alias("kind"), F.when(k == 4, F.array(F.lit("p1"))).alias("passed"),
+    )
+
+
+def summary_calls(spark: SparkSession, d: str) -> DataFrame:
+    r = resolved_calls(calls(spark, d), nodes(spark, d), ["memcpy"])
+    key, k = F.concat_ws("-", "caller", "line", "callee"), F.col("caller") + F.col("line")
+    some = lambda i: F.element_at(F.array(*[F.lit(x) for x in ("p0", "(char *)p1 + n", "&q", "other", "n")]), ((k + i) % 5 + 1).cast("int"))
+    r = r.withColumns({"call_id": key, "arguments": F.array(some(0), some(1), F.concat(F.lit("n + "), F.col("line").cast("string"))), "result": F.concat(F.lit("r"), (F.col("line") % 3).cast("string"))})
+    return r.select("call_id", "caller", "target", (F.col("callee") != "memcpy").alias("direct"), "callee", "arguments", "result").dropDuplicates(["call_id"])
+
+
+@audit("G8 F6", None)
+def capacity_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Calls are visited in their order within each pass; the test has the plain sequence."""
+    s = propagate(summaries(spark, d), summary_calls(spark, d))
+    extents = F.array_sort(F.transform(F.map_entries("extents"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ";"))))
+    return s.select("node", F.array_join("written", ",").alias("written"), F.array_join(extents, "|").alias("extents"), "kind", F.array_join("passed", ",").alias("passed"), F.array_join("calls", ",").alias("calls"), "depth")
