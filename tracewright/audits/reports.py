@@ -13,6 +13,7 @@ from tracewright.audits.predicates import truncate_utf8
 from tracewright.audits.registry import FOUND, WORK, audit, found, work
 from tracewright.functions import scalars as S
 from tracewright.operators import ranking as R
+from tracewright.operators.fitting import DROP_CLASS, fit_responses
 from tracewright.sources.tables import table
 
 #: SARIF levels of severities.
@@ -143,7 +144,7 @@ def fitted(parts: DataFrame, key: str, size: str, order: Sequence[str], most: in
 
 
 @audit(
-    "O24 O33 O22",
+    "O24 O22",
     """WITH RECURSIVE p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, strlen(coalesce(text, ''))::BIGINT AS size FROM conversations),
 r AS (SELECT conv_id, turn, i, size, greatest(least(size, 900), least(size, 200)) AS kept, 900 - greatest(least(size, 900), least(size, 200)) AS room FROM p WHERE i = 1 UNION ALL SELECT p.conv_id, p.turn, p.i, p.size, CASE WHEN p.size <= room THEN p.size ELSE 0 END, room - CASE WHEN p.size <= room THEN p.size ELSE 0 END FROM r JOIN p ON p.conv_id = r.conv_id AND p.i = r.i + 1)
 SELECT conv_id, turn, size, kept FROM r""",
@@ -154,6 +155,29 @@ def packet_fit(spark: SparkSession, d: str) -> DataFrame:
     return fitted(c, "conv_id", "size", ["turn", "role", "text"], 900, 200).select("conv_id", "turn", "size", "kept")
 
 
+def responses(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """A customer's orders as the functions of a response, their lines as instructions, calls and facts."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("response"), "o_orderpriority", "o_orderstatus")
+    li = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    place = [F.col("l_orderkey").alias("fn"), F.col("l_partkey").alias("address"), F.col("l_linenumber").cast("long").alias("index")]
+    kind = F.element_at(F.array(*[F.lit(k) for k in DROP_CLASS]), (1 + F.col("l_suppkey") % len(DROP_CLASS)).cast("int"))
+    block = (F.col("l_linenumber") % 3).cast("string")
+    return {
+        "responses": o.groupBy("response").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("omissions")),
+        "functions": o.select("response", F.col("o_orderkey").alias("fn"), F.repeat(F.concat("o_orderpriority", F.lit("é ")), (F.col("o_orderkey") % 9).cast("int")).alias("excerpt")),
+        "instructions": li.select("response", *place, block.alias("block"), F.concat_ws(" ", "l_returnflag", F.lit("←"), F.col("l_quantity").cast("long").cast("string")).alias("text")).dropDuplicates(["response", "fn", "address", "index"]),
+        "edges": li.filter("l_tax > 0.04").select("response", F.col("l_orderkey").alias("caller"), (F.col("l_partkey") - F.floor(F.col("l_discount") * 10)).cast("long").alias("address"), F.col("l_suppkey").alias("callee"), F.array(block, F.lit("1")).alias("guards")),
+        "facts": li.filter("l_quantity > 10").select("response", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"), F.col("l_extendedprice").cast("long")).alias("fact_id"), kind.alias("kind"), *place, ((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 44)).alias("protected")),
+    }
+
+
+@audit("O33", None)
+def response_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes are those of the JSON, byte by byte; the test removes and serialises again and again."""
+    out = fit_responses(**responses(spark, d), maximum=3000)
+    return out.select("response", "outcome", "dropped", F.octet_length("body").cast("long").alias("bytes"), F.sha2("body", 256).alias("digest"))
+
+
 @audit(
     "O25",
     f"""WITH {FOUND}, s AS (SELECT run_id, hunter, count(*) AS facts, sum(target_id)::BIGINT AS bytes FROM found GROUP BY 1, 2), t AS (SELECT run_id, sum(bytes) AS total, count(*) AS shards FROM s GROUP BY 1) SELECT run_id, CASE WHEN total > 300 THEN hunter ELSE 'whole' END AS shard, sum(facts)::BIGINT AS facts, sum(bytes)::BIGINT AS bytes FROM s JOIN t USING (run_id) GROUP BY 1, 2""",
