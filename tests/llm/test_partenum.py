@@ -83,3 +83,40 @@ def test_linked_sets_share_as_many_signatures_as_needed():
             counts = np.array([g[2] for g in got]).T
             need = enum.need(sizes, bands, counts[0], counts[1:], 0)[1]
             assert len(np.intersect1d(got[0][0], got[1][0])) >= need, (len(a), len(b))
+
+
+def test_linked_sets_keep_a_signature_in_common():
+    """Whatever order all sets agree on."""
+    r = np.random.default_rng(3)
+    enum = partenum.PartEnum(80)
+    for size in [*range(1, 60), 75, 130, 316, 317, 318, 900] * 4:
+        whole = r.integers(1, 2**63, 2 * size + 2, dtype=np.uint64)
+        extra = int(r.integers(1, size // 5 + 2))
+        split = int(r.integers(0, extra + 1))
+        a, b = whole[: size - split], whole[extra - split : size]
+        shared = len(np.intersect1d(a, b))
+        if len(a) and len(b) and 100 * shared >= 80 * (len(a) + len(b) - shared) and len(a) + len(b) > 2 * shared:
+            for order in (lambda x: x, lambda x: -x, lambda x: x * 40503 % 65521):
+                kept = [{int(y) for mine, _, most in enum.kept(s) for y in sorted(mine, key=lambda y: (order(int(y)), int(y)))[:most]} for s in (a, b)]
+                assert kept[0] & kept[1], (len(a), len(b))
+
+
+def test_common_signatures_have_one_level(spark, monkeypatch):
+    """Nodes of one task, of several, and beyond COMMON: each level is that of all, and what nobody shares stays away."""
+    monkeypatch.setattr(partenum, "COMMON", 6)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, 80, " ".join([*words[:60], *(f"u{k}_{j}" for j in range(20))])) for k in range(30)] + [(100 + k, 80, " ".join([*words[200:260], *(f"v{k}_{j}" for j in range(20))])) for k in range(4)]
+    rows.append((200, 80, " ".join(f"x{j}" for j in range(80))))
+    df = spark.createDataFrame(rows, "node long, n long, text string")
+    seen = []
+    for parts in (1, 3, 12):
+        got = partenum.common(df.repartition(parts), 5, 5, 80).distinct().collect()
+        seen.append(sorted((x["node"], x["key"], x["level"], x["x"], x["most"]) for x in got))
+    assert seen[0] == seen[1] == seen[2]
+    levels = {(x[0] // 100, x[2]) for x in seen[0] if x[2]}
+    assert levels <= {(0, n) for n in range(2, 7)} | {(1, n) for n in range(2, 5)} and {(0, 6), (1, 4)} <= levels
+    by = {}
+    for node, key, level, *_ in seen[0]:
+        if level:
+            by.setdefault(key, set()).add((node, level))
+    assert all(len({lv for _, lv in x}) == 1 and min(len(x), 6) == next(iter(x))[1] for x in by.values())

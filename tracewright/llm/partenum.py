@@ -11,13 +11,16 @@ A scheme partitions the domain of shingles, in two levels: n1 parts of n2 parts
 differences at most, so there all but so many of the n2 parts agree, and the signatures, which are the contents of subsets
 of the n2 parts, have one in common. Small sets have n1 = 1 and all pairs of k + 3 parts; others have n2 = 2 and all single
 ones. A set with more than k parts that aren't empty shares one of those, so it needs no signature of empty parts; sets with
-fewer give these as well.
-
-Scale. Sets that are equal become one class first, and only classes have signatures, about one for two shingles. These go,
-packed by ranges of their hash, to the task of their bucket, once; a task sends each signature once and ties its other
-classes to that one itself, so a signature that a third of the classes share arrives once a task. Pairs aren't made: a tie
-leads from each class to the smallest of its signature, and the components of ties are clusters that hold every pair.
-Documents that share a passage chain up to large clusters, so these are thinned by signatures alone first: of two linked
+fewer give these as well. Of single parts there are about 1.5 k, and any k + 1 of a set's signatures have one that a linked
+set has as well: it is enough for both to keep the k + 1 rarest, in one order for all. A set with more than k signatures
+that no other set has is linked with nothing.
+
+Scale. Sets that are equal become one class first, and only classes have signatures, about three for four shingles. These
+go, packed by ranges of their hash, to the task of their bucket, once, and those that several classes have come back with
+their frequency; from ``COMMON`` on all are alike, and a task that has so many classes of one signature sends it once and
+knows their answer. Documents that share a passage have rarer signatures, and keep these. Pairs aren't made: a tie leads
+from each class to the smallest of a signature that both kept, and the components of ties are clusters that hold every pair.
+What still chains up to large clusters is thinned by signatures alone: of two linked
 sets with x and y signatures in a scheme of single parts, min(x, y) - k agree at least, and the components of such pairs are
 the clusters that count. For that, a cluster's classes are dealt into slabs of sizes as wide as linked sets can differ, and
 a slab meets itself and the next one alone. The thin clusters are compared as in ``minhash``: on the full sets, in blocks,
@@ -38,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tracewright.llm import hashing
 from tracewright.llm.minhash import UNIT, Shingler, components, forest, joined, named_classes, once, sized_blocks, texts, units
@@ -50,6 +54,8 @@ _PAIRS = 6
 _ROWS = 1024
 #: Signatures that a task holds before it sends them.
 _HELD = 1 << 21
+#: Classes of a signature from which on its frequency counts no further.
+COMMON = 64
 
 
 @dataclass(frozen=True)
@@ -62,23 +68,28 @@ class Scheme:
 
     def signatures(self, hashes: np.ndarray, k: int) -> np.ndarray:
         """Signatures of a set of hashes that differs from what it may link with in at most k."""
+        return self.signed(hashes, k)[0]
+
+    def signed(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, bool]:
+        """The signatures, and whether any k + 1 of them have one in common with a linked set."""
         part = (hashing.mix(hashes ^ np.uint64(self.tag + 1)) % np.uint64(self.parts)).astype(np.int64)
         content = np.zeros(self.parts, dtype=np.uint64)
         np.add.at(content, part, hashing.mix(hashes))
         full = np.bincount(part, minlength=self.parts) > 0
+        enough = self.subset == 1 and bool(full.sum() > k)
         if full.sum() <= k:
             full[:] = True  # empty parts may be all that agrees
         named = hashing.mix(content + hashing.mix(np.arange(self.parts, dtype=np.uint64) + np.uint64(self.tag << 32)))
         if self.subset == 1:
-            return named[full]
+            return named[full], enough
         some = [(i, j) for i, j in combinations(range(self.parts), 2) if full[i] or full[j]]
         i, j = np.array(some, dtype=np.int64).T
-        return hashing.mix(named[i] + hashing.mix(named[j]))
+        return hashing.mix(named[i] + hashing.mix(named[j])), enough
 
 
 def scheme(tag: int, k: int) -> Scheme:
-    """More than k parts, so many more that sets seldom have fewer than k + 1 that aren't empty."""
-    return Scheme(tag, k + 3, 2) if k <= _PAIRS else Scheme(tag, 2 * -(-(k + 3 + k // 20) // 2), 1)
+    """More than k parts: a set keeps k + 1 of its signatures, so with more parts it keeps rarer ones."""
+    return Scheme(tag, k + 3, 2) if k <= _PAIRS else Scheme(tag, 2 * -(-(k + 3 + k // 2) // 2), 1)
 
 
 class PartEnum:
@@ -141,6 +152,17 @@ class PartEnum:
         found = [s.signatures(hashes, k) for s, k in self._schemes(len(hashes))]
         return np.concatenate(found).view(np.int64) if found else np.empty(0, dtype=np.int64)
 
+    def kept(self, hashes: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """For each scheme of a set its different signatures, whose last two bits name the scheme, that name, and how many
+        of the rarest must be kept."""
+        out = []
+        for s, k in self._schemes(len(hashes)):
+            name = s.tag % 4  # a set has schemes of three consecutive tags at most
+            found, enough = s.signed(hashes, k)
+            mine = np.unique(found & ~np.uint64(3) | np.uint64(name)).view(np.int64)
+            out.append((mine, name, k + 1 if enough else len(mine)))
+        return out
+
     @lru_cache(maxsize=4096)
     def _schemes(self, size: int) -> list[tuple[Scheme, int]]:
         return self.schemes(size)
@@ -164,16 +186,6 @@ def digests(docs: DataFrame, shingle: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, low long, high long")
 
 
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The different keys and the smallest node of each, and ties (smallest, other) of those with several."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-    head = nodes[first][np.cumsum(first) - 1]
-    ties = np.unique(np.array([head[head != nodes], nodes[head != nodes]]), axis=1)
-    return keys[first], nodes[first], ties[0], ties[1]
-
-
 def _rows_of(classes: DataFrame, docs: DataFrame, id_bytes: int) -> DataFrame:
     """node, n and text of the classes, once a task."""
     few = 32 * classes.count() <= id_bytes
@@ -181,52 +193,95 @@ def _rows_of(classes: DataFrame, docs: DataFrame, id_bytes: int) -> DataFrame:
     return once(texts(docs).join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select("node", "n", "text"), ["node"])
 
 
-def bucket_ties(rows: DataFrame, buckets: int, shingle: int, percent: int) -> DataFrame:
-    """Ties (a, b) that connect all nodes of a signature; rows: node, n, text."""
-    kinds, names = "bucket long, whole boolean, a binary, b binary", ["bucket", "whole", "a", "b"]
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal sorted keys start, and their lengths."""
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return starts, np.diff(np.append(starts, len(keys)))
+
+
+def common(rows: DataFrame, buckets: int, shingle: int, percent: int) -> DataFrame:
+    """node, key and level (classes, COMMON at most) of each signature that several nodes have; and, with level 0, for each
+    scheme of a node its name as key, its number of signatures x and how many of them to keep. rows: node, n, text."""
+    kinds, names = "bucket long, kind int, a binary, b binary", ["bucket", "kind", "a", "b"]
+    number = lambda *x: np.array(x, dtype=np.int64)
 
     @hashing.trimmed
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, enum = hashing.held(("partenum", shingle, percent), lambda: (Shingler(shingle), PartEnum(percent)))
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
+        facts: list[tuple[int, int, int, int]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
-            key, head, a, b = _stars(np.concatenate([np.empty(0, dtype=np.int64), *keys]), np.concatenate([np.empty(0, dtype=np.int64), *nodes]))
-            keys.clear()
-            nodes.clear()
-            to = (key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # keys are sorted as signed numbers
+            key, node = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (keys, nodes))
+            order = np.argsort(key.view(np.uint64), kind="stable")
+            key, node = key[order], node[order]
+            starts, lengths = _runs(key)
+            hot = np.repeat(lengths > COMMON, lengths)
+            rows = []
+            if hot.any():  # these nodes know the level; the bucket has to know that there are so many
+                h, m = key[hot], node[hot]
+                rows += [(int(m[k]) % buckets, 1, h[k : k + 4096].tobytes(), m[k : k + 4096].tobytes()) for k in range(0, len(h), 4096)]
+            cold = np.concatenate([key[~hot], key[starts[lengths > COMMON]]]), np.concatenate([node[~hot], np.full((lengths > COMMON).sum(), -1)])
+            to = ((cold[0].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            to, key, head = to[order].astype(np.int64), key[order], head[order]
-            cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)]), len(to))
-            rows = [(int(to[i]), False, key[i:j].tobytes(), head[i:j].tobytes()) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            for k in range(0, len(a), 4096):
-                rows.append((int(b[k]) % buckets, True, a[k : k + 4096].tobytes(), b[k : k + 4096].tobytes()))
+            to, key, node = to[order], cold[0][order], cold[1][order]
+            starts, lengths = _runs(to)
+            rows += [(int(to[i]), 0, key[i : i + n].tobytes(), node[i : i + n].tobytes()) for i, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+            rows += [(f[0] % buckets, 2, number(f[0], f[1]).tobytes(), number(f[2], f[3]).tobytes()) for f in facts]
+            for x in (keys, nodes, facts):
+                x.clear()
             for k in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 64]], t) for c, t in enumerate((pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 64]], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=names)
 
         n = 0
         for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
             for node, found in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(2)), strict=True):
-                mine = enum.signatures(found)
-                keys.append(mine)
-                nodes.append(np.full(len(mine), node, dtype=np.int64))
-                n += len(mine)
-                if n >= _HELD:
-                    yield from send()
-                    n = 0
+                for mine, name, most in enum.kept(found):
+                    keys.append(mine)
+                    nodes.append(np.full(len(mine), node, dtype=np.int64))
+                    facts.append((node, name, len(mine), most))
+                    n += len(mine)
+            if n >= _HELD:
+                yield from send()
+                n = 0
         yield from send()
 
     @hashing.trimmed
     def meet(group: pa.Table) -> pa.Table:
-        whole = group["whole"].to_numpy()
+        kind = group["kind"].to_numpy()
         packed = {c: [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in group[c]] for c in "ab"}
-        of = lambda c, kind: np.concatenate([np.empty(0, dtype=np.int64), *(x for x, w in zip(packed[c], whole, strict=True) if w == kind)])
-        _, _, a, b = _stars(of("a", False), of("b", False))
-        ties = np.unique(np.array([np.append(a, of("a", True)), np.append(b, of("b", True))]), axis=1)
-        return pa.table({"a": ties[0], "b": ties[1]})
-
-    return rows.mapInArrow(sign, kinds).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+        of = lambda c, k: np.concatenate([np.empty(0, dtype=np.int64), *(x for x, w in zip(packed[c], kind, strict=True) if w == k)])
+        key, node = of("a", 0), of("b", 0)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)] | (node < 0)  # a class may come twice
+        key, node = key[new], node[new]
+        _, lengths = _runs(key)
+        level = np.repeat(lengths, lengths)
+        if (node < 0).any():
+            level[np.isin(key, key[node < 0])] = COMMON
+        some = (node >= 0) & (level > 1)
+        key, node, level = key[some], node[some], np.minimum(level[some], COMMON)
+        hot, facts = (of("a", 1), of("b", 1)), (of("a", 2).reshape(-1, 2), of("b", 2).reshape(-1, 2))
+        join = lambda *x: pa.array(np.concatenate([np.empty(0, dtype=np.int64), *x]).astype(np.int64))
+        blank = np.zeros(len(key) + len(hot[0]), dtype=np.int64)
+        return pa.table({"node": join(node, hot[1], facts[0][:, 0]), "key": join(key, hot[0], facts[0][:, 1]), "level": join(level, np.full(len(hot[0]), COMMON), np.zeros(len(facts[0]))), "x": join(blank, facts[1][:, 0]), "most": join(blank, facts[1][:, 1])})
+
+    return rows.mapInArrow(sign, kinds).groupBy("bucket").applyInArrow(meet, "node long, key long, level long, x long, most long")
+
+
+def bucket_ties(shared: DataFrame, scratch: Scratch) -> DataFrame:
+    """Ties (a, b) that connect all nodes which keep a signature; shared: as ``common`` gives it."""
+    name = F.when(F.col("level") == 0, F.col("key")).otherwise(F.col("key").bitwiseAND(3))
+    rows = shared.withColumn("name", name).repartition("node", "name").dropDuplicates(["node", "name", "level", "key"])
+    whole = W.partitionBy("node", "name")
+    # The row of the scheme itself comes first. Signatures that no other node has are kept before these.
+    room = F.max("most").over(whole) - F.max("x").over(whole) + F.count("*").over(whole)
+    rows = rows.withColumns({"_place": F.row_number().over(whole.orderBy("level", "key")), "_room": room})
+    kept = scratch.keep(rows.filter("level > 0 and _place <= _room").select("node", "key"), "kept")
+    heads = kept.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("_last")).filter("head < _last").drop("_last")
+    return kept.join(heads, "key").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _sketches(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -309,8 +364,9 @@ def similar(docs: DataFrame, shingle: int = 5, percent: int = 80, id_bytes: int
     scratch = Scratch(docs.sparkSession, "partenum")
     signed = scratch.keep(digests(docs, shingle), "signed")
     classes = scratch.keep(named_classes(signed), "classes")
-    buckets = max(1, (classes.agg(F.sum("n_shingles")).first()[0] or 0) // (2 * bucket_rows))
-    ties = scratch.keep(bucket_ties(_rows_of(classes, docs, id_bytes), buckets, shingle, percent), "bucket_ties")
+    buckets = max(1, 3 * (classes.agg(F.sum("n_shingles")).first()[0] or 0) // (4 * bucket_rows))
+    shared = scratch.keep(common(_rows_of(classes, docs, id_bytes), buckets, shingle, percent), "shared")
+    ties = scratch.keep(bucket_ties(shared, scratch), "bucket_ties")
     ties = thinned(ties, docs, classes, scratch, shingle, percent, id_bytes, 4 * block_rows, block_shingles, 4 * giant_blocks)
     members = lambda giant: _members(_rows_of(classes.join(giant, "node", "left_semi"), docs, id_bytes), shingle, percent)
     return joined(docs, signed, classes, ties, members, scratch, shingle, percent, id_bytes, block_rows, block_shingles, giant_blocks).drop("text_hash", "kept")
