@@ -136,3 +136,26 @@ def test_streamed_leases_equal_batch(spark, tmp_path):
     df = spark.createDataFrame([x for k, b in enumerate(batches[:4]) for x in b if x != ("u", at(2))], schema)
     batch = L.leases(df, "entity", ["at"], "at", 10).select("entity", "at", "attempt")
     assert rows(spark.table("leases")) == rows(batch)
+
+
+def test_carried_sums_and_digest_trees_over_ranges(spark):
+    import hashlib
+
+    r = random.Random(9)
+    rows_ = [(r.choice(["a", "b", None]), r.choice([None, *range(300)]), r.choice([None, 1, 2, 7])) for _ in range(500)]
+    df = spark.createDataFrame(rows_, "k string, i long, n long")
+    got = A.carried_sum(df, ["k"], "i", "n", "upto", 4, 3)
+    assert got.columns == ["k", "i", "n", "upto"]
+    low = lambda i: -1 if i is None else i
+    want = [(k, i, n, sum(m or 0 for q, j, m in rows_ if q == k and low(j) <= low(i))) for k, i, n in rows_]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    sha = lambda xs: hashlib.sha256("\n".join(xs).encode()).hexdigest()
+    tree = {x["k"]: x["root"] for x in A.digest_tree(df, ["k"], "i", F.concat_ws("-", "i", "n"), "root", 4, 2).collect()}
+    for key in ("a", "b", None):
+        level = [(i, "-".join(str(x) for x in (i, n) if x is not None)) for k, i, n in rows_ if k == key]
+        for _ in range(2):
+            groups = {}
+            for i, e in sorted(level, key=lambda x: (low(x[0]), x[1])):
+                groups.setdefault(None if i is None else i // 4, []).append(e)
+            level = [(i, sha(es)) for i, es in groups.items()]
+        assert tree[key] == sha([e for _, e in sorted(level, key=lambda x: low(x[0]))])

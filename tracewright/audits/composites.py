@@ -13,6 +13,7 @@ from tracewright.audits.metrics import ids, tally
 from tracewright.audits.registry import FACTS, FOUND, QUERIES, RUNS, SQL, WORK, audit, facts, found, runs, work
 from tracewright.functions import scalars as S
 from tracewright.operators import ranking as R
+from tracewright.operators.aggregates import digest_tree
 from tracewright.sources.tables import table
 
 
@@ -144,23 +145,30 @@ def frozen_checks(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("passed", F.expr(" and ".join(names)))
 
 
+def _seal_sql(source: str, key: str, id: str, entry: str) -> str:
+    """The root of ``digest_tree`` over a source's entries."""
+    digest = lambda e, i: f"sha256(string_agg({e}, chr(10) ORDER BY {i})) AS e"
+    leaves = f"SELECT {key}, {id} // 4096 AS i, {digest(entry, id)} FROM {source} GROUP BY 1, 2"
+    return f"SELECT {key}, {digest('e', 'i')} FROM (SELECT {key}, i // 4096 AS i, {digest('e', 'i')} FROM ({leaves}) GROUP BY 1, 2) GROUP BY 1"
+
+
+_SECOND = "work_id || ':' || CASE status WHEN 'done' THEN 'completed' WHEN 'running' THEN 'budget_limited' ELSE CASE WHEN risk >= 4 THEN 'invalid' ELSE 'interrupted' END END || ':' || input"
+
+
 @audit(
     "C25 C26 A32",
-    f"""WITH {RUNS}, {WORK}, s AS (SELECT case_id, sha256(string_agg(run_id || ':' || outcome || ':' || input_tokens, chr(10) ORDER BY run_id)) AS seal, count(*) AS n FROM runs GROUP BY 1), t AS (SELECT family, sha256(string_agg(work_id || ':' || CASE status WHEN 'done' THEN 'completed' WHEN 'running' THEN 'budget_limited' ELSE CASE WHEN risk >= 4 THEN 'invalid' ELSE 'interrupted' END END || ':' || input, chr(10) ORDER BY work_id)) AS seal FROM (SELECT work.*, input_tokens AS input FROM work JOIN runs ON run_id = work_id) GROUP BY 1)
-SELECT case_id, n, s.seal, s.seal = t.seal AS repeats FROM s JOIN t ON family = case_id""",
+    f"""WITH {RUNS}, {WORK}, w AS (SELECT work.*, input_tokens AS input FROM work JOIN runs ON run_id = work_id), s AS ({_seal_sql("runs", "case_id", "run_id", "run_id || ':' || outcome || ':' || input_tokens")}), t AS ({_seal_sql("w", "family", "work_id", _SECOND)}), c AS (SELECT case_id, count(*) AS n FROM runs GROUP BY 1)
+SELECT c.case_id, n, s.e AS seal, s.e = t.e AS repeats FROM c JOIN s USING (case_id) JOIN t ON family = case_id""",
 )
 def double_run(spark: SparkSession, d: str) -> DataFrame:
-    """A case analysed twice from different projections: the seals over its sorted entries must be equal."""
-
-    def seal(df: DataFrame, key: str, entry: Column) -> Column:
-        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), entry.alias("e")))), lambda x: x["e"]), "\n"), 256)
-
+    """A case analysed twice from different projections: the roots of the digests of its sorted entries must be equal."""
     r = runs(spark, d)
-    first = r.groupBy("case_id").agg(F.count("*").alias("n"), seal(r, "run_id", F.concat_ws(":", "run_id", "outcome", "input_tokens")).alias("seal"))
+    n = r.groupBy("case_id").agg(F.count("*").alias("n"))
+    first = digest_tree(r, ["case_id"], "run_id", F.concat_ws(":", "run_id", "outcome", "input_tokens"), "seal")
     w = work(spark, d).join(r.select(F.col("run_id").alias("work_id"), "input_tokens"), "work_id")
     outcome = F.when(F.col("status") == "done", "completed").when(F.col("status") == "running", "budget_limited").when(F.col("risk") >= 4, "invalid").otherwise("interrupted")
-    second = w.groupBy(F.col("family").alias("case_id")).agg(seal(w, "work_id", F.concat_ws(":", "work_id", outcome, "input_tokens")).alias("other"))
-    return first.join(second, "case_id").select("case_id", "n", "seal", (F.col("seal") == F.col("other")).alias("repeats"))
+    second = digest_tree(w, ["family"], "work_id", F.concat_ws(":", "work_id", outcome, "input_tokens"), "other").withColumnRenamed("family", "case_id")
+    return n.join(first, "case_id").join(second, "case_id").select("case_id", "n", "seal", (F.col("seal") == F.col("other")).alias("repeats"))
 
 
 def minimised(payload: bytes, oracle: Callable[[bytes], bool], most: int = 200, protected: int = 0) -> tuple[bytes, int]:

@@ -13,6 +13,7 @@ from tracewright.audits.predicates import truncate_utf8
 from tracewright.audits.registry import FOUND, WORK, audit, found, work
 from tracewright.functions import scalars as S
 from tracewright.operators import ranking as R
+from tracewright.operators.aggregates import carried_sum, digest_tree
 from tracewright.operators.fitting import DROP_CLASS, fit_responses
 from tracewright.sources.tables import table
 
@@ -97,17 +98,20 @@ def metrics_report(spark: SparkSession, d: str) -> DataFrame:
 
 @audit(
     "K16 S3 S4",
-    """WITH f AS (SELECT source, doc_id, n_chars, sha256(coalesce(text, '')) AS digest FROM documents), r AS (SELECT *, sum(n_chars) OVER (PARTITION BY source, lang ORDER BY doc_id) AS running, lang FROM (SELECT f.*, lang FROM f JOIN documents USING (doc_id)))
-SELECT source, lang, count(*) AS members, sum(n_chars)::BIGINT AS total, count(*) FILTER (running <= 100000 AND n_chars <= 20000) AS accepted, count(*) FILTER (n_chars > 20000) AS too_large, count(*) <= 500 AND sum(n_chars) <= 10000000 AS valid, sha256(string_agg(doc_id || ':' || digest, chr(10) ORDER BY doc_id)) AS root FROM r GROUP BY 1, 2""",
+    """WITH r AS (SELECT source, lang, doc_id, n_chars, sha256(coalesce(text, '')) AS digest, sum(n_chars) OVER (PARTITION BY source, lang ORDER BY doc_id) AS running FROM documents),
+a AS (SELECT source, lang, doc_id // 4096 AS i, sha256(string_agg(doc_id || ':' || digest, chr(10) ORDER BY doc_id)) AS e FROM r GROUP BY 1, 2, 3), b AS (SELECT source, lang, i // 4096 AS i, sha256(string_agg(e, chr(10) ORDER BY i)) AS e FROM a GROUP BY 1, 2, 3), t AS (SELECT source, lang, sha256(string_agg(e, chr(10) ORDER BY i)) AS root FROM b GROUP BY 1, 2)
+SELECT source, lang, count(*) AS members, sum(n_chars)::BIGINT AS total, count(*) FILTER (running <= 100000 AND n_chars <= 20000) AS accepted, count(*) FILTER (n_chars > 20000) AS too_large, count(*) <= 500 AND sum(n_chars) <= 10000000 AS valid, root FROM (SELECT r.*, root FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source AND r.lang IS NOT DISTINCT FROM t.lang) GROUP BY source, lang, root""",
 )
 def snapshot_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """Members in order with their digests, caps for a file, for the bytes up to it and for the whole, and a root digest
-    over the sorted entries. A manifest's entries are its group; each is 75 bytes, whatever the files' size."""
+    """Members in order with their digests, caps for a file, for the bytes up to it and for the whole, and the root of a
+    tree of digests over the sorted entries; sums and digests go by ranges of ids, so that no task holds a manifest."""
     f = table(spark, d, "documents").select("source", "lang", "doc_id", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    r = R.within_budget(f, ["source", "lang"], [F.col("doc_id")], "n_chars", 100000)
-    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "digest"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["digest"])), "\n")
-    out = r.groupBy("source", "lang").agg(F.count("*").alias("members"), F.sum("n_chars").cast("long").alias("total"), tally(F.col("fits") & (F.col("n_chars") <= 20000), "accepted"), tally(F.col("n_chars") > 20000, "too_large"), F.sha2(entries, 256).alias("root"))
-    return out.withColumn("valid", (F.col("members") <= 500) & (F.col("total") <= 10000000))
+    keys = ["source", "lang"]
+    roots = digest_tree(f, keys, "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), "digest"), "root").withColumnsRenamed({k: f"_{k}" for k in keys})
+    r = carried_sum(f.drop("digest"), keys, "doc_id", "n_chars", "upto")
+    out = r.groupBy(*keys).agg(F.count("*").alias("members"), F.sum("n_chars").cast("long").alias("total"), tally((F.col("upto") <= 100000) & (F.col("n_chars") <= 20000), "accepted"), tally(F.col("n_chars") > 20000, "too_large"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang"))
+    return out.join(roots, same).drop("_source", "_lang").withColumn("valid", (F.col("members") <= 500) & (F.col("total") <= 10000000))
 
 
 @audit(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,3 +89,37 @@ def gates(actual: DataFrame, required: Sequence[tuple[str, str, float]]) -> Data
         for name, sign, limit in required
     ]
     return actual.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+
+
+def digest_tree(rows: DataFrame, keys: Sequence[str], id: str, entry: Column, name: str, fan: int = 4096, levels: int = 2) -> DataFrame:
+    """keys and name: the root of a tree of digests over each key's entries in the order of id (whole numbers, not negative).
+
+    A leaf is an entry; a node is the SHA-256 of what is below it, joined by line feeds, for each range of fan ids, then of
+    fan ranges, and so on; the root that of the nodes of the last level. No task holds more than fan entries, or the last
+    level, of a key. Entries of one id are in their own order; those without id are a range of their own.
+    """
+    now = rows.select(*keys, F.col(id).alias("_i"), entry.alias("_e"))
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_e"))), lambda x: x["_e"]), "\n"), 256)
+    for _ in range(levels):
+        now = now.groupBy(*keys, F.floor(F.col("_i") / fan).alias("_i")).agg(digest.alias("_e"))
+    return now.groupBy(*keys).agg(digest.alias(name))
+
+
+def carried_sum(rows: DataFrame, keys: Sequence[str], id: str, size: str, name: str, fan: int = 4096, levels: int = 2) -> DataFrame:
+    """rows with name: the sum of size over the rows of the key up to and with the row, in the order of id.
+
+    Windows span fan ids; the sums of ranges are summed up in the same way and carried in, so a key of any size is spread.
+    Rows of one id share a sum, that of all of them; those without id come first. Null keys are a key; null sizes count 0.
+    """
+    here = f"_range{levels}"
+    ranged = rows.withColumn(here, F.floor(F.col(id) / fan))
+    sums = ranged.groupBy(*keys, here).agg(F.coalesce(F.sum(size), F.lit(0)).alias("_s"))
+    if levels > 1:
+        sums = carried_sum(sums, keys, here, "_s", "_upto", fan, levels - 1)
+    else:
+        sums = sums.withColumn("_upto", F.sum("_s").over(W.partitionBy(*keys).orderBy(here)))
+    names = [*keys, here]
+    carried = sums.select(*[F.col(k).alias(f"_of_{k}") for k in names], (F.col("_upto") - F.col("_s")).alias("_before"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in names))
+    inside = F.coalesce(F.sum(size).over(W.partitionBy(*keys, here).orderBy(id)), F.lit(0))
+    return ranged.withColumn("_inside", inside).join(carried, same).select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
