@@ -178,7 +178,7 @@ def test_forest_connects_what_brute_force_does():
     for _ in range(30):
         sets = [np.array(sorted(r.sample(range(30), r.randrange(1, 28))), dtype=np.uint64) for _ in range(40)]
         sides = [r.randrange(2) for _ in sets] if r.random() < 0.5 else None
-        got = minhash.forest(sets, list(range(40)), sides, 60)
+        got = minhash.forest(sets, list(range(40)), sides, minhash.jaccard_need(60))
         similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 60 * len(np.union1d(a, b))
         want = [(i, j) for i in range(40) for j in range(i) if similar(sets[i], sets[j]) and (sides is None or sides[i] != sides[j])]
 
