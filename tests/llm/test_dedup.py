@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,14 @@ def test_forest_connects_what_brute_force_does():
 
         assert all(similar(sets[i], sets[j]) for i, j in got)
         assert grouped(got) == grouped(want)
+
+
+def test_packs_lie_in_small_row_groups_and_rows_of_packs_grow_as_the_text(spark):
+    text = F.expr("array_join(transform(sequence(1, 9000), i -> concat('w', id * 7919 % 10007, 'x', i)), ' ')")
+    docs = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    kept = storage.Scratch(spark, "packs").keep_bucketed(substring.pack_documents(docs, 1 << 20), "packs", "pack", 1)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in kept.inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(m.num_rows for m in files) >= 30 and max(g.total_byte_size for g in groups) <= 16 << 20
+    rows = lambda total: total / (2 << 20) * 2 ** substring._bits(total / substring.bucket_size(total))
+    assert rows(10 << 30) <= 3e6 and substring.bucket_size(1 << 30) == 8 << 20 and substring.bucket_size(200 << 30) == 64 << 20

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch, or one row; each task holds a few batches outside the JVM's heap.
 BATCH_BYTES = 4 << 20
+#: For rows of megabytes: Parquet looks at sizes after 100 rows else, so that pages and the codec's buffers outside the heap
+#: hold 200 MB a task, and its readers load whole row groups of them.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,9 +99,9 @@ class Scratch:
         return back
 
     def keep_bucketed(self, df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
-        """Like keep(), hashed by key on disk, so that later joins by key don't move these rows again."""
+        """Like keep(), hashed by key on disk, so that later joins by key don't move these rows again. Rows may be large."""
         name = f"{self.name}_{table}"
-        df.write.mode("overwrite").bucketBy(buckets, key).option("path", self.path(table)).saveAsTable(name)
+        df.write.mode("overwrite").options(**LARGE_ROWS).bucketBy(buckets, key).option("path", self.path(table)).saveAsTable(name)
         back = self.spark.table(name)
         self.spark.sql(f"DROP TABLE {name}")  # of its entry in the catalog alone: back has the files and buckets
         return back

@@ -210,20 +210,25 @@ def _reply(packs: list[int], sizes: list[int], bucket: int, hit: np.ndarray) ->
     })
 
 
+def bucket_size(total: int) -> int:
+    """Bytes of text a bucket: 8 MB; from 2 GB of text on as many as make 256 buckets, up to 32 MB; from 64 GB on 2,048, up to 64 MB."""
+    return min(max(8 << 20, min(total // 256, 32 << 20), total // 2048), 64 << 20)
+
+
 def repeated_passages(docs: DataFrame, window: int = 20, pack_bytes: int = 2 << 20, bucket_bytes: int | None = None, with_text: bool = False) -> DataFrame:
     """Cuts repeated passages: doc_id, n_words, n_removed, kept_sha256, and the kept text if with_text.
 
     kept_sha256 is of the kept words joined by one space; text is the original where nothing was removed; was is the
     original's MD5.
-    bucket_bytes: text for each hash bucket; a task holds the hashes of one bucket. Unless given, 8 MB, and more from 16 GB
-    of text on, up to 64 MB, so that there are 2,048 buckets, and rows a pack, at most up to 128 GB.
+    bucket_bytes: text for each hash bucket; a task holds the hashes of one bucket. A pack has a row a bucket, so rows would
+    grow as the square of the text; unless given, it is ``bucket_size`` of the text.
     """
     if window < 2:
         raise ValueError("window must be at least 2 words")
     spark, anchor = docs.sparkSession, window // 2
     scratch = Scratch(spark, "substring")
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bucket_bytes = bucket_bytes or min(max(8 << 20, total // 2048), 64 << 20)
+    bucket_bytes = bucket_bytes or bucket_size(total)
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = max(2, math.ceil(total / bucket_bytes))
     bits = _bits(spread)
