@@ -1,13 +1,16 @@
 """Queries over whole tables: against brute force, or DuckDB where they have SQL."""
 
 import os
+import random
 from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_audit_queries import plain
 from tracewright import whole
+from tracewright.operators import joins as J
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -130,3 +133,19 @@ def test_slug_of_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").toPandas().to_parquet(tmp_path / "conversations.parquet")
     got = {r["turn"]: r["slug"] for r in whole.queries()["text_normalisation_whole"](spark, str(tmp_path)).collect()}
     assert got == {0: "a_b", 1: "x" * 199 + "_y" * 50}
+
+
+def test_pairs_of_keys_with_several_rows_come_once_from_many_tasks(spark, tmp_path):
+    r = random.Random(8)
+    suppliers = [(k % 40, r.choice([None, 0, 1, 2])) for k in range(90)] + [(None, 1)]
+    customers = [(k % 60, r.choice([None, 0, 1, 3]), "BUILDING") for k in range(150)] + [(None, 0, "BUILDING"), (1, 2, "OTHER")]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = [tuple(x) for x in whole.queries()["theta_or_whole"](spark, str(tmp_path)).collect()]
+    want = {(s, c) for s, m in suppliers for c, n, seg in customers if seg == "BUILDING" and ((m is not None and m == n) or (s is not None and s == c))}
+    key = lambda p: tuple((x is not None, x) for x in p)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    one = spark.range(300).select((F.col("id") % 1).alias("k"), F.col("id").alias("a"))
+    pairs = J.spread_join(one, one.select(F.col("k").alias("n"), F.col("a").alias("b")), ("k", "n"))
+    most = pairs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert pairs.count() == 90000 and most < 30000  # one task had all

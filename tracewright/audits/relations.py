@@ -60,7 +60,7 @@ def grammar_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every scanner with every grammar file of its project; all pairs are the result that is asked for."""
     s = table(spark, d, "supplier").filter("s_acctbal > 0").select("s_nationkey", F.col("s_suppkey").alias("scanner"))
     g = table(spark, d, "customer").filter("c_acctbal < 0").select("c_nationkey", F.col("c_custkey").alias("grammar"))
-    return s.join(g, F.col("s_nationkey") == F.col("c_nationkey")).select("scanner", "grammar")
+    return J.spread_join(g, s, ("c_nationkey", "s_nationkey")).select("scanner", "grammar")
 
 
 @audit(

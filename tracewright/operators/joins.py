@@ -107,13 +107,32 @@ def best_match(candidates: DataFrame, key: Sequence[str], order: Sequence[Column
     return candidates.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: tuple[str, str], parts: int = 64) -> DataFrame:
+    """Pairs that agree in (left column, right column), for keys of many rows on both sides.
+
+    The left rows of a key are dealt over parts by their hash and the right ones go to each, so that a key's pairs are
+    formed by many tasks; the right side should be the smaller one. Pairs are many where rows are few: neither a broadcast
+    nor merged partitions, which go by the rows' size, would leave enough tasks.
+    """
+    a = left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(parts)))
+    b = right.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    a, b = a.repartition(parts, on[0], "_part"), b.repartition(parts, on[1], "_at").hint("merge")
+    return a.join(b, (a[on[0]] == b[on[1]]) & (a["_part"] == b["_at"])).drop("_part", "_at")
+
+
 def match_either(left: DataFrame, right: DataFrame, conditions: Sequence[tuple[str, str]]) -> DataFrame:
-    """Distinct pairs that agree in any of the (left column, right column) conditions: a union of equality joins."""
-    found = None
+    """Distinct pairs that agree in any of the (left column, right column) conditions: a union of equality joins.
+
+    Rows are made distinct before they meet and a pair is left to the first condition that holds, so pairs, which may be
+    many more than rows, aren't compared with one another.
+    """
+    left, right = left.distinct(), right.distinct()
+    found, earlier = None, F.lit(False)
     for a, b in conditions:
-        joined = left.join(right, left[a] == right[b])
+        joined = spread_join(right, left, (b, a)).select(*left.columns, *right.columns).filter(~earlier)
+        earlier |= F.coalesce(F.col(a) == F.col(b), F.lit(False))
         found = joined if found is None else found.unionByName(joined)
-    return found.distinct()
+    return found
 
 
 def expected_and_observed(expected: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:

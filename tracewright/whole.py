@@ -111,9 +111,19 @@ def verdict_conflicts_whole(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT DISTINCT s_suppkey, c_custkey FROM supplier, customer WHERE (s_nationkey = c_nationkey AND c_mktsegment = 'BUILDING') OR (s_suppkey = c_custkey AND c_mktsegment = 'BUILDING')""")
 def theta_or_whole(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey", "c_nationkey")
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    return J.match_either(s, c, [("s_nationkey", "c_nationkey"), ("s_suppkey", "c_custkey")]).select("s_suppkey", "c_custkey").distinct()
+    """A pair whose keys have several rows is left to one of the rows' pairs, so pairs aren't compared with one another."""
+
+    def rows(df: DataFrame, key: str, nation: str, all_: str) -> DataFrame:
+        each = df.groupBy(key).agg(F.array_sort(F.collect_set(nation)).alias(all_))
+        return each.select(key, all_, F.explode_outer(all_).alias(nation))
+
+    c = rows(table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'"), "c_custkey", "c_nationkey", "c_all")
+    s = rows(table(spark, d, "supplier"), "s_suppkey", "s_nationkey", "s_all")
+    pairs = J.match_either(s, c, [("s_nationkey", "c_nationkey"), ("s_suppkey", "c_custkey")])
+    common = F.array_min(F.array_intersect("s_all", "c_all"))
+    first = lambda side: F.col(f"{side}_nationkey").eqNullSafe(F.coalesce(common, F.array_min(f"{side}_all")))
+    alone = (F.size("s_all") <= 1) & (F.size("c_all") <= 1)
+    return pairs.filter(F.when(alone, True).otherwise(first("s") & first("c"))).select("s_suppkey", "c_custkey")
 
 
 @query("""
