@@ -183,3 +183,8 @@ def test_passages_against_contains(spark):
     assert {(92, 102)} <= want and (92, 103) not in want
     none = spark.createDataFrame([], "item_id long, passage string")
     assert predicates.passages(none, spark.createDataFrame(texts, "doc_id long, text string")).collect() == []
+
+
+def test_selected_lines_are_united_before_they_are_shuffled(spark):
+    plan = scheduling.selected_lines(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "collect_set" not in plan
