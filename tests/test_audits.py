@@ -188,3 +188,17 @@ def test_passages_against_contains(spark):
 def test_selected_lines_are_united_before_they_are_shuffled(spark):
     plan = scheduling.selected_lines(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "collect_set" not in plan
+
+
+def test_diverse_passes_do_not_rescan_a_group_for_each_obligation():
+    class Counted(list):
+        scans = 0
+
+        def __iter__(self):
+            Counted.scans += 1
+            return super().__iter__()
+
+    rows = Counted({"work_id": i, "family": i % 7, "hunter": f"h{i % 4}", "required": i % 3 == 0, "risk": i % 6, "critical": i % 11 == 0, "chain": "", "group": str(i % 90), "obligations": [f"k{i % 5}:{i % 50}"], "weights": {f"k{i % 5}:{i % 50}": 60 + i % 61}} for i in range(3000))
+    passes = scheduling.Diverse(rows, 16, True)
+    passes.run()
+    assert len(passes.picked) == passes.capacity and Counted.scans < 30

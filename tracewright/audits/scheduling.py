@@ -139,14 +139,22 @@ class Diverse:
     def run(self) -> None:
         share = lambda part: max(1, math.ceil(self.sessions * part))
         alone = len({r["family"] for r in self.rows if r["required"]}) <= 1
-        pairs = sorted({(-r["weights"][o], i, o, r["hunter"]) for i, r in reversed(list(enumerate(self.rows))) for o in r["obligations"]})
+        # An owner that is refused once is refused for good, so each pair of an obligation and a hunter is tried once, at its
+        # highest weight, and the first row that has it.
+        best: dict[tuple[str, str], tuple] = {}
+        owners: dict[tuple[str, str], list[dict]] = {}
+        for i, r in enumerate(self.rows):
+            for o in r["obligations"]:
+                key, at = (o, r["hunter"]), (-r["weights"][o], i)
+                best[key] = min(best.get(key, at), at)
+                owners.setdefault(key, []).append(r)
+        pairs = sorted((*at, *key) for key, at in best.items())
         kinds: set[str] = set()
         for weight, _, obligation, hunter in pairs:
             if len(kinds) >= min(4, self.capacity - 1):
                 break
             if -weight >= 100 and obligation.split(":")[0] not in kinds:
-                owners = [r for r in self.rows if r["hunter"] == hunter and obligation in r["obligations"]]
-                if self.up_to(owners, 1, "decisive_obligation"):
+                if self.up_to(owners[obligation, hunter], 1, "decisive_obligation"):
                     kinds.add(obligation.split(":")[0])
         chains = {}
         for r in self.rows:
@@ -170,7 +178,7 @@ class Diverse:
                 n += self.admit(row, "chain_critical")
         for _, _, obligation, hunter in pairs:
             if (obligation, hunter) not in self.covered:
-                self.up_to([r for r in self.rows if r["hunter"] == hunter and obligation in r["obligations"]], 1, "obligation_required")
+                self.up_to(owners[obligation, hunter], 1, "obligation_required")
         new = min(max(0, self.capacity - len(self.picked) - special), share(0.25))
         for row in self.rows:
             if new and row["required"] and row["family"] not in self.families:
