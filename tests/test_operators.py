@@ -159,3 +159,21 @@ def test_carried_sums_and_digest_trees_over_ranges(spark):
                 groups.setdefault(None if i is None else i // 4, []).append(e)
             level = [(i, sha(es)) for i, es in groups.items()]
         assert tree[key] == sha([e for _, e in sorted(level, key=lambda x: low(x[0]))])
+
+
+def test_contracted_components(spark):
+    r = random.Random(4)
+    edges = [(1000 + i, 999) for i in range(60)] + [(i, i + 1) for i in range(40)] + [(r.randrange(2000, 2050), r.randrange(2000, 2050)) for _ in range(60)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {x["node"]: x["component"] for x in G.contracted_components(spark.createDataFrame([*edges, (5000, 5000)], "src long, dst long")).collect()}
+    assert got == {5000: 5000} | {x: find(x) for x in root}
+    assert G.contracted_components(spark.createDataFrame([], "src long, dst long")).count() == 0

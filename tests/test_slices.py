@@ -200,3 +200,13 @@ def test_chains_of_the_tables(spark):
     want = sorted((fn, *map(text, c)) for fn, rows in by.items() for c in backwards(rows))
     assert sorted(map(tuple, queries.function_risk_chains(spark, FOLDER).collect())) == want
     assert len(want) > 50
+
+
+def test_elements_of_one_slice_link_nothing(spark, monkeypatch):
+    """Components see a row for each further slice of an element, none for the rest."""
+    seen = []
+    found = merging.contracted_components
+    monkeypatch.setattr(merging, "contracted_components", lambda links: seen.append(links.count()) or found(links))
+    rows = [(f"s{i}", 1, [f"own{i}", f"pair{i // 2}"], [], ["f"], None) for i in range(4)] + [("t", 1, ["alone"], ["pair0"], ["f"], "alone")]
+    got = {x["group_id"] for x in merging.slice_groups(spark.createDataFrame(rows, SLICE), 8).collect()}
+    assert got == {"group:s0+s1", "group:s2+s3", "group:t"} and seen == [2]

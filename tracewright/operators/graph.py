@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -111,6 +111,54 @@ def components(edges: DataFrame) -> DataFrame:
     return found.union(alone.withColumn("component", F.col("node"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _mixed(node: Column, step: int) -> Column:
+    """Another long for each long, one to one: the order of nodes in a round."""
+    x = node.bitwiseXOR(F.lit((0x9E3779B97F4A7C15 * (step + 1)) % (1 << 63)))
+    x = x.bitwiseXOR(F.shiftleft(x, 13))
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+    return x.bitwiseXOR(F.shiftleft(x, 17))
+
+
+def contracted_components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) for edges (src, dst) of longs.
+
+    In a round each node goes to the least of itself and its neighbours, in an order that is drawn anew, and edges follow
+    their ends, each pair once. Fewer nodes are left each time, so all rounds together write a few times the
+    edges, and no node gathers those of its component. What a node went to is stored with the least node that it stands
+    for; at the end the rounds are read backwards.
+    """
+    now = edges.select(F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b"))
+    now = cut(now.dropna().distinct())
+    alone = now.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("least"))
+    now = now.filter("a <> b")
+    stands = alone.union(now.select("a", "a")).union(now.select("b", "b")).distinct()
+    mix = lambda df, step, *names: df.withColumns({c: _mixed(F.col(c), step) for c in names})
+    stands, now, rounds, step = mix(stands, 0, "node"), mix(now, 0, "a", "b"), [], 0
+    while True:
+        both = now.select(F.col("a").alias("node"), "b").union(now.select("b", "a"))
+        goes = both.groupBy("node").agg(F.least(F.min("b"), F.col("node")).alias("to"))
+        at = cut(stands.join(goes, "node", "left"))
+        rounds.append(at)
+        step += 1
+        moved = at.filter("to is not null")
+        if moved.isEmpty():
+            break
+        first, second = (moved.select(F.col("node").alias(c), F.col("to").alias(f"_{c}")) for c in "ab")
+        now = now.join(first, "a").join(second, "b").filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+        stands = moved.groupBy(F.col("to").alias("node")).agg(F.min("least").alias("least"))
+        stands, now = mix(stands, step, "node"), cut(mix(now, step, "a", "b"))
+    found, step = rounds.pop().select("node", "least"), step - 1
+    if not rounds:  # no node has a neighbour
+        found = found.withColumn("node", F.col("least"))
+    while rounds:
+        last = found.select(F.col("node").alias("_to"), F.col("least").alias("_least"))
+        at = rounds.pop().withColumn("_to", _mixed(F.col("to"), step))
+        # Before the first round a node is its own least one.
+        found = at.join(last, "_to", "left").select("node" if rounds else F.col("least").alias("node"), F.coalesce("_least", "least").alias("least"))
+        found, step = cut(found) if len(rounds) % 4 == 1 else found, step - 1
+    return found.withColumnRenamed("least", "component")
+
+
 def dominators(edges: DataFrame, root: int) -> DataFrame:
     """node, dominator: every node on all paths from the root, for nodes that it reaches.
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tracewright.operators.folds import ordered_fold
-from tracewright.operators.graph import components, cut, reachable
+from tracewright.operators.graph import contracted_components, cut, reachable
 from tracewright.operators.ranking import ranked
 
 
@@ -48,10 +49,15 @@ def slice_groups(slices: DataFrame, cap: int = 8) -> DataFrame:
     """
     clean = slices.select("slice_id", F.col("risk").cast("long").alias("risk"), *[F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<string>"))))).alias(c) for c in ("nodes", "edges", "files")], "sink")
     clean = cut(clean.groupBy("slice_id").agg(F.min(F.struct("risk", "nodes", "edges", "files", "sink")).alias("x")).select("slice_id", "x.*"))
-    tagged = lambda tag, c: F.transform(c, lambda x: F.concat(F.lit(tag), x))
-    elements = F.concat(tagged("n", "nodes"), tagged("e", "edges"), F.array_compact(F.array(F.concat(F.lit("k"), "sink"))), F.array(F.concat(F.lit("s"), "slice_id")))
-    parts = components(clean.select(F.concat(F.lit("s"), "slice_id").alias("src"), F.explode(elements).alias("dst")))
-    dealt = clean.join(parts.select(F.substring("node", 2, 1 << 30).alias("slice_id"), "component").filter("left(node, 1) = 's'"), "slice_id")
+    # Components only deal slices to tasks, so hashes do: elements that share one would only unite two components.
+    tagged = lambda tag, c: F.transform(c, lambda x: F.xxhash64(F.lit(tag), x))
+    elements = F.concat(tagged("n", "nodes"), tagged("e", "edges"), F.array_compact(F.array(F.when(F.col("sink").isNotNull(), F.xxhash64(F.lit("k"), "sink")))))
+    slice_ = F.xxhash64("slice_id")
+    ends = clean.select(slice_.alias("src"), F.explode(elements).alias("_e"))
+    # Each slice with the least one of an element that they share; an element of one slice links nothing.
+    links = ends.withColumn("dst", F.min("src").over(W.partitionBy("_e"))).filter("src <> dst").select("src", "dst")
+    parts = contracted_components(links)
+    dealt = clean.withColumn("_s", slice_).join(parts.withColumnRenamed("node", "_s"), "_s", "left").withColumn("component", F.coalesce("component", "_s"))
     rows = dealt.select("component", (-F.col("risk")).alias("order"), "slice_id", "risk", "nodes", "edges", "files", "sink")
     merged = ordered_fold(rows, ["component"], ["order", "slice_id"], lambda: Buckets(cap), "slice_id string, first string, risk long, files array<string>")
     groups = merged.groupBy("component", "first").agg(F.array_sort(F.collect_list("slice_id")).alias("slice_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))).alias("files"), F.max("risk").alias("risk"))
