@@ -202,3 +202,10 @@ def test_diverse_passes_do_not_rescan_a_group_for_each_obligation():
     passes = scheduling.Diverse(rows, 16, True)
     passes.run()
     assert len(passes.picked) == passes.capacity and Counted.scans < 30
+
+
+def test_functions_flow_in_streams_of_sorted_rows(spark):
+    """No frame a function, which costs a thousand times its few blocks."""
+    for name in ("control_flow_facts", "forward_taint"):
+        plan = audits.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan, name

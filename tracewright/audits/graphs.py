@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from tracewright.audits.metrics import ids, tally
 from tracewright.audits.registry import FACTS, FOUND, audit, calls, facts, found, nodes
 from tracewright.audits.relations import _RESOLVED, resolved_calls
 from tracewright.operators import ranking as R
+from tracewright.operators.folds import ordered_fold
 from tracewright.operators.graph import cut, shortest_paths
 from tracewright.sources.tables import table
 
@@ -127,25 +127,30 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("fn"), "i", s.alias("status"), (F.col("o_orderpriority") < "2").alias("tagged"), F.array_distinct(F.array_compact(after)).alias("next"))
 
 
-def _flow(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    """A function's blocks in order and their adjacency, from 0."""
-    frame = frame.sort_values("i")
-    edge = np.zeros((len(frame), len(frame)), dtype=bool)
-    for k, after in enumerate(frame["next"]):
-        edge[k, np.asarray(after, dtype=np.int64) - 1] = True
-    return frame, edge
-
-
-def _reached(edge: np.ndarray, start: int, without: int = -1) -> np.ndarray:
-    seen, todo = np.zeros(len(edge), dtype=bool), [start] if start != without else []
+def _reached(after: list[list[int]], start: int, without: int = -1) -> set[int]:
+    seen, todo = set(), [start] if start != without else []
     while todo:
         k = todo.pop()
-        if not seen[k]:
-            seen[k] = True
-            todo += [j for j in np.flatnonzero(edge[k]).tolist() if j != without and not seen[j]]
+        if k not in seen:
+            seen.add(k)
+            todo += [j for j in after[k] if j != without and j not in seen]
     return seen
 
 
+class Flow:
+    """One function's blocks in order; at their end what solve(rows, after) makes of them and their successors, from 0."""
+
+    def __init__(self, solve):
+        self.solve, self.rows = solve, []
+
+    def step(self, row: dict) -> list[tuple]:
+        self.rows.append(row)
+        return []
+
+    def end(self) -> list[tuple]:
+        return self.solve(self.rows, [[j - 1 for j in r["next"]] for r in self.rows])
+
+
 @audit(
     "G15 G16 G17 D20",
     f"""WITH RECURSIVE {_BLOCKS}, r AS (SELECT DISTINCT fn, 1::BIGINT AS i FROM b UNION SELECT r.fn, dst FROM r JOIN f ON f.fn = r.fn AND src = r.i),
@@ -158,19 +163,21 @@ def control_flow_facts(spark: SparkSession, d: str) -> DataFrame:
     """Reachable blocks, predecessors, dominators, and guards whose safe edge dominates the function's last block: the
     edge's successor dominates it and has no other predecessor."""
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, edge = _flow(frame)
-        n = len(frame)
-        reached = _reached(edge, 0)
+    def solve(rows: list[dict], after: list[list[int]]) -> list[tuple]:
+        n, reached = len(rows), _reached(after, 0)
         # Block k dominates what the entry no longer reaches without it.
-        dominates = np.array([reached if k == 0 else reached & ~_reached(edge, 0, k) for k in range(n)])
-        dominates[~reached] = False
-        into = edge.sum(axis=0)
-        sink = int(np.flatnonzero(reached).max())
-        safe = [bool(s == "F" and k + 1 < n and into[k + 1] == 1 and dominates[k + 1, sink]) for k, s in enumerate(frame["status"])]
-        return pd.DataFrame({"fn": frame["fn"], "i": frame["i"], "reachable": reached, "predecessors": into, "dominators": dominates.sum(axis=0), "safe_guard": safe})
+        dominates = [reached if k == 0 else reached - _reached(after, 0, k) if k in reached else set() for k in range(n)]
+        into, count = [0] * n, [0] * n
+        for k in range(n):
+            for j in after[k]:
+                into[j] += 1
+            for j in dominates[k]:
+                count[j] += 1
+        sink = max(reached)
+        safe = [r["status"] == "F" and k + 1 < n and into[k + 1] == 1 and sink in dominates[k + 1] for k, r in enumerate(rows)]
+        return [(r["i"], k in reached, into[k], count[k], safe[k]) for k, r in enumerate(rows)]
 
-    return blocks(spark, d).groupBy("fn").applyInPandas(solve, "fn long, i long, reachable boolean, predecessors long, dominators long, safe_guard boolean")
+    return ordered_fold(blocks(spark, d), ["fn"], ["i"], lambda: Flow(solve), "i long, reachable boolean, predecessors long, dominators long, safe_guard boolean")
 
 
 @audit(
@@ -181,15 +188,15 @@ SELECT fn, i, tag, min(origin) AS origin FROM t GROUP BY 1, 2, 3""",
 def forward_taint(spark: SparkSession, d: str) -> DataFrame:
     """The tags that hold in a block: those that it gives and the union of what flows in, each with its earliest origin."""
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, edge = _flow(frame)
+    def solve(rows: list[dict], after: list[list[int]]) -> list[tuple]:
         out = {}
-        for k in np.flatnonzero(frame["tagged"].to_numpy()).tolist():
-            for j in np.flatnonzero(_reached(edge, k)).tolist():
-                out.setdefault((j, frame["status"].iloc[k]), k)
-        return pd.DataFrame([(frame["fn"].iloc[0], j + 1, tag, k + 1) for (j, tag), k in out.items()], columns=["fn", "i", "tag", "origin"])
+        for k, r in enumerate(rows):
+            if r["tagged"]:
+                for j in _reached(after, k):
+                    out.setdefault((j, r["status"]), k)
+        return [(j + 1, tag, k + 1) for (j, tag), k in out.items()]
 
-    return blocks(spark, d).groupBy("fn").applyInPandas(solve, "fn long, i long, tag string, origin long")
+    return ordered_fold(blocks(spark, d), ["fn"], ["i"], lambda: Flow(solve), "i long, tag string, origin long")
 
 
 @audit(
