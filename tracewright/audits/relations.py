@@ -266,8 +266,13 @@ def signal_routes(spark: SparkSession, d: str) -> DataFrame:
 )
 def finding_origins(spark: SparkSession, d: str) -> DataFrame:
     """Findings of all workers by fingerprint, with the work that they came from first."""
-    f = found(spark, d).groupBy(F.sha2(F.concat_ws("|", "candidate_id", "target_id"), 256).alias("fingerprint")).agg(F.min("run_id").alias("origin"), F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"))
-    return f.join(work(spark, d), F.col("origin") == F.col("work_id")).select("fingerprint", "origin", "n", "runs", "component", "hunter")
+    pair = ["candidate_id", "target_id"]
+    named = F.col(pair[0]).isNotNull() & F.col(pair[1]).isNotNull()
+    # By numbers, as a digest as the key of two shuffles is most of what they write.
+    each = found(spark, d).groupBy(*[F.when(named, F.col(c)).alias(c) for c in pair], "run_id").agg(F.count("*").alias("n"))
+    f = each.groupBy(*pair).agg(F.min("run_id").alias("origin"), F.sum("n").alias("n"), F.count("run_id").alias("runs"))
+    fingerprint = F.sha2(F.concat(F.col(pair[0]).cast("string"), F.lit("|"), F.col(pair[1]).cast("string")), 256)
+    return f.join(work(spark, d), F.col("origin") == F.col("work_id")).select(fingerprint.alias("fingerprint"), "origin", "n", "runs", "component", "hunter")
 
 
 @audit(
