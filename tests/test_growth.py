@@ -32,3 +32,9 @@ def same_as_sql(spark, tmp_path, con, name):
 def test_origins_of_findings_without_a_candidate(spark, tmp_path):
     con = altered(tmp_path, "lineitem", "* replace (case when l_linenumber % 3 = 0 then null else l_suppkey end as l_suppkey)")
     same_as_sql(spark, tmp_path, con, "finding_origins")
+
+
+def test_score_components_count_without_copies_of_rows(spark, tmp_path):
+    con = altered(tmp_path, "lineitem", "* replace (case when l_orderkey % 3 = 0 then null else l_returnflag end as l_returnflag, case when l_orderkey % 11 = 0 then null else l_partkey end as l_partkey)")
+    same_as_sql(spark, tmp_path, con, "score_components")
+    assert "Expand" not in physical(audits.QUERIES["score_components"](spark, FOLDER))

@@ -456,18 +456,27 @@ def positional_correlation(spark: SparkSession, d: str) -> DataFrame:
 SELECT target_id, evidence::BIGINT AS evidence, formats::BIGINT AS formats, routes::BIGINT AS routes, matched::BIGINT AS matched, contradicted::BIGINT AS contradicted, early::BIGINT AS early, noise::BIGINT AS noise, greatest(0, least(100, evidence + formats + routes + matched + contradicted + early + noise))::BIGINT AS score FROM c""",
 )
 def score_components(spark: SparkSession, d: str) -> DataFrame:
-    """Seven named components with caps and floors of their own, and their sum within 0 to 100."""
+    """Seven named components with caps and floors of their own, and their sum within 0 to 100.
+
+    Hunters and sessions are counted by two groupings: two distinct counts in one triple the rows within its tasks.
+    """
     capped = lambda limit, x: F.least(F.lit(limit), x).cast("long")
+    f = found(spark, d)
+    matched, false = F.col("target_match").cast("int"), (F.col("validity") == "false").cast("int")
+    by = f.groupBy("target_id", "hunter").agg(tally(F.col("state") == "reportable", "reportable"), tally(F.col("state") == "raw", "raw"), F.max(matched).alias("match"), F.max(false).alias("false"))
+    by = by.groupBy("target_id").agg(F.count("hunter").alias("hunters"), *[F.sum(c).alias(c) for c in ("reportable", "raw")], *[F.max(c).alias(c) for c in ("match", "false")])
+    on = f.groupBy("target_id", "session_index").agg(F.count("*").alias("x"))
+    on = on.groupBy(F.col("target_id").alias("_t")).agg(F.count("session_index").alias("sessions"), F.min("session_index").alias("first"))
     parts = {
-        "evidence": capped(40, 10 * tally(F.col("state") == "reportable", "x")),
-        "formats": capped(20, 5 * F.countDistinct("hunter")),
-        "routes": capped(15, 3 * F.countDistinct("session_index")),
-        "matched": (10 * F.max(F.col("target_match").cast("int"))).cast("long"),
-        "contradicted": (-20 * F.max((F.col("validity") == "false").cast("int"))).cast("long"),
-        "early": F.when(F.min("session_index") == 1, 5).otherwise(0).cast("long"),
-        "noise": -capped(10, tally(F.col("state") == "raw", "x")),
+        "evidence": capped(40, 10 * F.col("reportable")),
+        "formats": capped(20, 5 * F.col("hunters")),
+        "routes": capped(15, 3 * F.col("sessions")),
+        "matched": (10 * F.col("match")).cast("long"),
+        "contradicted": (-20 * F.col("false")).cast("long"),
+        "early": F.when(F.col("first") == 1, 5).otherwise(0).cast("long"),
+        "noise": -capped(10, F.col("raw")),
     }
-    c = found(spark, d).groupBy("target_id").agg(*[x.alias(n) for n, x in parts.items()])
+    c = by.join(on, F.col("target_id").eqNullSafe(F.col("_t"))).select("target_id", *[x.alias(n) for n, x in parts.items()])
     total = sum((F.col(n) for n in parts), F.lit(0))
     return c.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("long"))
 
