@@ -38,3 +38,7 @@ def test_score_components_count_without_copies_of_rows(spark, tmp_path):
     con = altered(tmp_path, "lineitem", "* replace (case when l_orderkey % 3 = 0 then null else l_returnflag end as l_returnflag, case when l_orderkey % 11 = 0 then null else l_partkey end as l_partkey)")
     same_as_sql(spark, tmp_path, con, "score_components")
     assert "Expand" not in physical(audits.QUERIES["score_components"](spark, FOLDER))
+
+
+def test_obligations_do_not_sort_all_items(spark):
+    assert "partial_min(work_id" in physical(audits.QUERIES["bound_obligations"](spark, FOLDER))

@@ -239,13 +239,17 @@ def bound_obligations(spark: SparkSession, d: str) -> DataFrame:
     """Each obligation with the best item that shares its targets: overlap, risk, id; without one the seed's is cloned.
 
     An obligation looks at an item only through its overlap class, so items are first reduced to the best of each class:
-    seven rows a key, whatever the number of items.
+    a row a key with seven items, whatever the number of items. The least id of a risk comes before the least struct, which
+    Spark finds by sorting what it aggregates.
     """
     o = table(spark, d, "customer").select(F.col("c_custkey").alias("obligation"), F.col("c_mktsegment").alias("component"), F.col("c_nationkey").cast("long").alias("family"))
-    w = work(spark, d).groupBy("component", "family", (F.col("score") % 7).alias("class")).agg(F.min(F.struct((-F.col("risk")).alias("r"), "work_id")).alias("best"))
     key = ["component", "family"]
-    best = o.join(w, key, "left").withColumn("k", F.struct((F.col("class") != F.col("obligation") % 7).alias("o"), F.col("best.r").alias("r"), F.col("best.work_id").alias("id")))
-    out = best.groupBy("obligation").agg(F.min(F.when(F.col("best").isNotNull(), F.col("k"))).alias("k"))
+    w = work(spark, d).groupBy(*key, (F.col("score") % 7).alias("class"), "risk").agg(F.min("work_id").alias("id"))
+    w = w.groupBy(*key, "class").agg(F.min(F.struct((-F.col("risk")).alias("r"), "id")).alias("best"))
+    w = w.groupBy(*key).agg(F.collect_list(F.struct("class", "best.r", "best.id")).alias("items"))
+    mine = lambda x: F.struct((x["class"] != F.col("obligation") % 7).alias("o"), x["r"].alias("r"), x["id"].alias("id"))
+    best = o.join(w, key, "left").select("obligation", F.array_min(F.transform("items", mine)).alias("k"))
+    out = best.groupBy("obligation").agg(F.min("k").alias("k"))
     return out.select("obligation", F.col("k.id").alias("work_id"), F.col("k").isNull().alias("cloned"))
 
 
