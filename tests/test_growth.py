@@ -6,6 +6,7 @@ import duckdb
 from test_audit_queries import FOLDER, plain
 
 from tracewright import audits
+from tracewright.operators import graph as G
 
 
 def physical(df):
@@ -42,3 +43,16 @@ def test_score_components_count_without_copies_of_rows(spark, tmp_path):
 
 def test_obligations_do_not_sort_all_items(spark):
     assert "partial_min(work_id" in physical(audits.QUERIES["bound_obligations"](spark, FOLDER))
+
+
+def test_components_of_a_star_take_few_rounds(spark, monkeypatch):
+    stored = []
+    cut = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: stored.append(1) or cut(df))
+    edges = spark.range(3000).selectExpr("8 * id + 2 as src", "cast(9 + id % 5 * 8 as long) as dst")
+    got = {x["node"]: x["component"] for x in G.components(edges).collect()}
+    assert got == {8 * k + 2: 2 + 8 * (k % 5) for k in range(3000)} | {9 + 8 * k: 2 + 8 * k for k in range(5)}
+    assert len(stored) <= 6
+    stored.clear()
+    monkeypatch.setattr(G, "FEW_EDGES", 10)
+    assert {x["node"]: x["component"] for x in G.components(edges).collect()} == got

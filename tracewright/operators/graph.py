@@ -92,31 +92,47 @@ def nearest_seeds(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node): alternating large-star and small-star steps until nothing changes."""
-    now = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
-    alone = now.filter("a = b").select(F.col("a").alias("node"))
-    now, before = cut(now.filter("a <> b").distinct()), None
-    while True:
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = cut(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
-        now = cut(large.join(least, "a").select(ends.alias("e")).select("e.a", "e.b").filter("a <> b").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b"))
-    return found.union(alone.withColumn("component", F.col("node"))).groupBy("node").agg(F.min("component").alias("component"))
+    """node, component (its smallest node) for edges (src, dst) of longs; see contracted_components."""
+    return contracted_components(edges)
+
+
+def _turned(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+
+
+def _mixing(step: int) -> tuple[Column, int]:
+    """By what and how far a round's order flips and turns the bits of nodes."""
+    return F.lit((0x9E3779B97F4A7C15 * (step + 1)) % (1 << 63)), 1 + (37 * step + 60) % 63
 
 
 def _mixed(node: Column, step: int) -> Column:
     """Another long for each long, one to one: the order of nodes in a round."""
-    x = node.bitwiseXOR(F.lit((0x9E3779B97F4A7C15 * (step + 1)) % (1 << 63)))
-    x = x.bitwiseXOR(F.shiftleft(x, 13))
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
-    return x.bitwiseXOR(F.shiftleft(x, 17))
+    flip, by = _mixing(step)
+    return _turned(node.bitwiseXOR(flip), by)
+
+
+def _unmixed(x: Column, step: int) -> Column:
+    flip, by = _mixing(step)
+    return _turned(x, 64 - by).bitwiseXOR(flip)
+
+
+#: Fixed value: so few edges are solved by the driver, as the rounds that thin out a small star are many.
+FEW_EDGES = 50_000
+
+
+def _least_ends(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each node with one node of its component, the same for all."""
+    to: dict[int, int] = {}
+
+    def end(x: int) -> int:
+        while to.setdefault(x, x) != x:
+            to[x] = x = to[to[x]]
+        return x
+
+    for a, b in edges:
+        a, b = end(a), end(b)
+        to[max(a, b)] = min(a, b)
+    return [(x, end(x)) for x in list(to)]
 
 
 def contracted_components(edges: DataFrame) -> DataFrame:
@@ -124,20 +140,24 @@ def contracted_components(edges: DataFrame) -> DataFrame:
 
     In a round each node goes to the least of itself and its neighbours, in an order that is drawn anew, and edges follow
     their ends, each pair once. Fewer nodes are left each time, so all rounds together write a few times the
-    edges, and no node gathers those of its component. What a node went to is stored with the least node that it stands
-    for; at the end the rounds are read backwards.
+    edges, and no node gathers those of its component. The last FEW_EDGES are solved at once. What a node went to is stored
+    with the least node that it stands for; at the end the rounds are read backwards.
     """
     now = edges.select(F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b"))
     now = cut(now.dropna().distinct())
-    alone = now.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("least"))
-    now = now.filter("a <> b")
-    stands = alone.union(now.select("a", "a")).union(now.select("b", "b")).distinct()
-    mix = lambda df, step, *names: df.withColumns({c: _mixed(F.col(c), step) for c in names})
-    stands, now, rounds, step = mix(stands, 0, "node"), mix(now, 0, "a", "b"), [], 0
+    alone = now.filter("a = b").select(F.col("a").alias("node"))
+    now, stands, rounds, step = now.filter("a <> b"), None, [], 0
     while True:
         both = now.select(F.col("a").alias("node"), "b").union(now.select("b", "a"))
-        goes = both.groupBy("node").agg(F.least(F.min("b"), F.col("node")).alias("to"))
-        at = cut(stands.join(goes, "node", "left"))
+        goes = both.groupBy("node").agg(F.min(_mixed(F.col("b"), step)).alias("to"))
+        goes = goes.select("node", _unmixed(F.least("to", _mixed(F.col("node"), step)), step).alias("to"))
+        few = now.limit(FEW_EDGES + 1).collect()
+        if len(few) <= FEW_EDGES:
+            goes = now.sparkSession.createDataFrame(_least_ends([(x["a"], x["b"]) for x in few]), "node long, to long")
+        if stands is None:  # a node stands for itself
+            at = cut(goes.join(alone, "node", "full").select("node", F.col("node").alias("least"), "to"))
+        else:
+            at = cut(stands.join(goes, "node", "left"))
         rounds.append(at)
         step += 1
         moved = at.filter("to is not null")
@@ -145,17 +165,13 @@ def contracted_components(edges: DataFrame) -> DataFrame:
             break
         first, second = (moved.select(F.col("node").alias(c), F.col("to").alias(f"_{c}")) for c in "ab")
         now = now.join(first, "a").join(second, "b").filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
-        stands = moved.groupBy(F.col("to").alias("node")).agg(F.min("least").alias("least"))
-        stands, now = mix(stands, step, "node"), cut(mix(now, step, "a", "b"))
-    found, step = rounds.pop().select("node", "least"), step - 1
-    if not rounds:  # no node has a neighbour
-        found = found.withColumn("node", F.col("least"))
+        stands, now = moved.groupBy(F.col("to").alias("node")).agg(F.min("least").alias("least")), cut(now)
+    found = rounds.pop().select("node", "least")
     while rounds:
         last = found.select(F.col("node").alias("_to"), F.col("least").alias("_least"))
-        at = rounds.pop().withColumn("_to", _mixed(F.col("to"), step))
-        # Before the first round a node is its own least one.
-        found = at.join(last, "_to", "left").select("node" if rounds else F.col("least").alias("node"), F.coalesce("_least", "least").alias("least"))
-        found, step = cut(found) if len(rounds) % 4 == 1 else found, step - 1
+        at = rounds.pop().withColumn("_to", F.col("to"))
+        found = at.join(last, "_to", "left").select("node", F.coalesce("_least", "least").alias("least"))
+        found = cut(found) if len(rounds) % 4 == 1 else found
     return found.withColumnRenamed("least", "component")
 
 
