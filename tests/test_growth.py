@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import pyarrow as pa
 from test_audit_queries import FOLDER, plain
 
 from tracewright import audits
+from tracewright.operators import folds
 from tracewright.operators import graph as G
 
 
@@ -56,3 +58,8 @@ def test_components_of_a_star_take_few_rounds(spark, monkeypatch):
     stored.clear()
     monkeypatch.setattr(G, "FEW_EDGES", 10)
     assert {x["node"]: x["component"] for x in G.components(edges).collect()} == got
+
+
+def test_folds_read_columns_as_lists(spark):
+    columns = [pa.array(x, k) for x, k in [([["a", None], None, [], ["é"]], pa.list_(pa.string())), ([1, None, 2**62 + 1], pa.int64()), ([True, False], pa.bool_()), ([None, "x"], pa.string()), ([[1], [2, 3]], pa.list_(pa.int64()))]]
+    assert all(folds._values(c.slice(k)) == c.slice(k).to_pylist() for c in columns for k in (0, 1))

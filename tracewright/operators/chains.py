@@ -22,7 +22,8 @@ Defined cases: null arrays are empty, a null target is never assigned, a repeate
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from itertools import chain
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -32,8 +33,7 @@ STATEMENT = ["fn", "line", "seq", "kind", "target", "names", "operations", "sour
 RESULT = "allocation string, line long, sources array<string>, source_lines array<long>, names array<string>, transforms array<string>, guard string, guard_lines array<long>, copies array<string>, score long, confidence string"
 
 
-@dataclass(frozen=True)
-class Reach:
+class Reach(NamedTuple):
     """What reaches a name. Transforms are (line, target, operations, narrow), each once, in the order of their uniting."""
 
     sources: frozenset
@@ -43,8 +43,8 @@ class Reach:
 
     @staticmethod
     def of(parts: list[Reach]) -> Reach:
-        union = lambda f: frozenset().union(*(getattr(p, f) for p in parts))
-        return Reach(union("sources"), union("lines"), union("names"), tuple(dict.fromkeys(t for p in parts for t in p.transforms)))
+        sources, lines, names, transforms = zip(*parts, strict=True) if parts else ((), (), (), ())
+        return Reach(frozenset().union(*sources), frozenset().union(*lines), frozenset().union(*names), tuple(dict.fromkeys(chain.from_iterable(transforms))))
 
 
 class Function:
@@ -104,4 +104,4 @@ class Function:
 
 def risk_chains(statements: DataFrame) -> DataFrame:
     """fn and a row of RESULT for each chain."""
-    return ordered_fold(statements.select(*STATEMENT), ["fn"], ["line", "seq"], Function, RESULT)
+    return ordered_fold(statements.select(*STATEMENT), ["fn"], ["line", "seq"], Function, RESULT, unread=["seq"])
