@@ -7,6 +7,7 @@ import pyarrow as pa
 from test_audit_queries import FOLDER, plain
 
 from tracewright import audits
+from tracewright.audits import predicates
 from tracewright.operators import folds
 from tracewright.operators import graph as G
 
@@ -63,3 +64,13 @@ def test_components_of_a_star_take_few_rounds(spark, monkeypatch):
 def test_folds_read_columns_as_lists(spark):
     columns = [pa.array(x, k) for x, k in [([["a", None], None, [], ["é"]], pa.list_(pa.string())), ([1, None, 2**62 + 1], pa.int64()), ([True, False], pa.bool_()), ([None, "x"], pa.string()), ([[1], [2, 3]], pa.list_(pa.int64()))]]
     assert all(folds._values(c.slice(k)) == c.slice(k).to_pylist() for c in columns for k in (0, 1))
+
+
+def test_texts_are_read_once_for_runs_of_all_lengths(spark, monkeypatch):
+    read = []
+    runs = predicates._word_runs
+    monkeypatch.setattr(predicates, "_word_runs", lambda df, *a: read.append(df.columns) or runs(df, *a))
+    texts = spark.createDataFrame([(1, "A b\tc d e f g h i j"), (2, "c d"), (3, ""), (4, "x " * 30)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "b"), (2, "C  d"), (3, "b c d e f g h i j"), (4, "d c"), (5, "x x x x x x x x x"), (6, "b c d e f g h i k")], "item_id long, passage string")
+    got = sorted(map(tuple, predicates.passages(items, texts).collect()))
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 1), (5, 4)] and len(read) == 2

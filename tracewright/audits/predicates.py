@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracewright.audits.metrics import tally
 from tracewright.audits.registry import FOUND, RUNS, WORK, audit, found, runs, work
 from tracewright.functions import scalars as S
+from tracewright.operators.graph import cut
 from tracewright.sources.tables import table
 
 # Languages and their extensions, skipped folders, folders of tests, stop words, format conversions, CWE names.
@@ -364,31 +370,63 @@ def semantic_projection(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("recurs", F.col("campaigns") > 1)
 
 
+def _word_runs(df: DataFrame, words: str, most: str, lengths: list[int]) -> DataFrame:
+    """df without words (arrays) but with _k and _run: the digest of each distinct run of _k words, for the lengths up to
+    most (a column). Words are digested once a batch, runs from their words' digests."""
+    kept = [c for c in df.columns if c != words]
+    schema = StructType([*df.select(*kept).schema, StructField("_k", LongType()), StructField("_run", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(words)
+            coded = column.flatten().dictionary_encode()
+            each = np.array([int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+            digests = each[coded.indices.to_numpy()] if len(each) else each
+            ends = np.cumsum(column.value_lengths().to_numpy())
+            for k in lengths:
+                n = max(0, len(digests) - k + 1)
+                joined = np.zeros(n, dtype=np.uint64)
+                for i in range(k):
+                    joined = (joined ^ digests[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+                    joined ^= joined >> np.uint64(29)
+                rows, found = [], []
+                for row, (a, b, m) in enumerate(zip([0, *ends.tolist()], ends.tolist(), batch.column(most).to_pylist(), strict=False)):
+                    if k <= m and b - a >= k:
+                        found.append(np.unique(joined[a : b - k + 1]))
+                        rows.append(np.full(len(found[-1]), row))
+                if rows:
+                    there = pa.array(np.concatenate(rows))
+                    columns = [batch.column(c).take(there) for c in kept]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(there), k)), pa.array(np.concatenate(found).view(np.int64))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def passages(protected: DataFrame, texts: DataFrame, n: int = 8) -> DataFrame:
     """item_id and doc_id of each protected passage (item_id, passage) that a text (doc_id, text) holds as whole words.
 
     Passages of at least n words are found by their rarest run of n words, shorter ones by all of theirs: runs are joined by
     equality with those of the texts that any passage's chosen run is among, and what meets is compared word by word. A run
     that many texts share therefore costs what its passages do. Case and white space between words don't matter. A passage
-    without words is in no text; null texts and passages are skipped; repeated rows give one row.
+    without words is in no text; null texts and passages are skipped; repeated rows give one row. Texts are read once for
+    runs, of all lengths that passages have, and what meets a passage's run is stored.
     """
     words = lambda c: F.filter(F.split(F.lower(c), "[ \\t\\n\\x0b\\f\\r]+"), lambda w: w != "")
     items = protected.select("item_id", words("passage").alias("_w")).filter("size(_w) > 0").distinct()
     items = items.withColumn("_n", F.least(F.size("_w"), F.lit(n)))
     docs = texts.select("doc_id", words("text").alias("_d")).filter("size(_d) > 0")
-    runs = lambda w, k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
-    lengths = [r[0] for r in items.select("_n").distinct().collect()]  # n numbers at most
-    found = []
-    for k in sorted(lengths):
-        mine = items.filter(F.col("_n") == k).select("item_id", "_w", F.explode(F.array_distinct(runs(F.col("_w"), k))).alias("_run"))
-        there = docs.filter(F.size("_d") >= k).select("doc_id", F.explode(F.array_distinct(runs(F.col("_d"), k))).alias("_run"))
-        counts = there.join(mine.select("_run").distinct(), "_run", "left_semi").groupBy("_run").agg(F.count("*").alias("_c"))
-        rarest = F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), F.col("_run").alias("run")))
-        chosen = mine.join(counts, "_run", "left").groupBy("item_id", "_w").agg(rarest.alias("_x")).filter("_x.c > 0").select("item_id", "_w", F.col("_x.run").alias("_run"))
-        found.append(there.join(chosen, "_run").select("item_id", "doc_id", "_w").distinct())
-    if not found:
+    lengths = sorted(r[0] for r in items.select("_n").distinct().collect())  # n numbers at most
+    if not lengths:
         return items.join(docs, F.lit(False)).select("item_id", "doc_id")
-    pairs = reduce(DataFrame.union, found).select("item_id", "doc_id", F.array_join("_w", " ").alias("_p"))
+    mine = _word_runs(items.withColumn("_words", F.col("_w")), "_words", "_n", lengths).filter("_k = _n").drop("_n")
+    there = _word_runs(docs.withColumn("_n", F.lit(n)), "_d", "_n", lengths).drop("_n")
+    there = cut(there.join(mine.select("_k", "_run").distinct(), ["_k", "_run"], "left_semi").select("doc_id", "_k", "_run"))
+    counts = there.groupBy("_k", "_run").agg(F.count("*").alias("_c"))
+    rarest = F.min(F.struct(F.col("_c").alias("c"), F.col("_run").alias("run"), F.col("_k").alias("k")))
+    # A run that no text holds leaves its passage out.
+    chosen = mine.join(counts, ["_k", "_run"], "left").groupBy("item_id", "_w").agg(rarest.alias("_x"), F.count_if(F.col("_c").isNull()).alias("_no"))
+    chosen = chosen.filter("_no = 0").select("item_id", "_w", F.col("_x.run").alias("_run"), F.col("_x.k").alias("_k"))
+    pairs = there.join(chosen, ["_k", "_run"]).select("item_id", "doc_id", F.array_join("_w", " ").alias("_p")).distinct()
     held = F.concat(F.lit(" "), F.array_join("_d", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("_p"), F.lit(" ")))
     return pairs.join(docs, "doc_id").filter(held).select("item_id", "doc_id").distinct()
 
