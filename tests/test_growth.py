@@ -10,6 +10,7 @@ from tracewright import audits
 from tracewright.audits import predicates
 from tracewright.operators import folds
 from tracewright.operators import graph as G
+from tracewright.operators import merging
 
 
 def physical(df):
@@ -74,3 +75,16 @@ def test_texts_are_read_once_for_runs_of_all_lengths(spark, monkeypatch):
     items = spark.createDataFrame([(1, "b"), (2, "C  d"), (3, "b c d e f g h i j"), (4, "d c"), (5, "x x x x x x x x x"), (6, "b c d e f g h i k")], "item_id long, passage string")
     got = sorted(map(tuple, predicates.passages(items, texts).collect()))
     assert got == [(1, 1), (2, 1), (2, 2), (3, 1), (5, 4)] and len(read) == 2
+
+
+def test_priorities_store_one_table_however_long_a_chain(spark, monkeypatch):
+    stored = []
+    for module in (G, merging):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: stored.append(1) or cut(df))
+    kinds = "fn long, block long, address long, index long, result string, operands array<string>, own int"
+    rows = [(1, 0, k, 0, f"c{k}", [f"c{k + 1}", None], 0 if k == 0 else None) for k in range(40)]
+    rows += [(1, 1, 5, 1, "c50", None, None), (1, 1, 6, 0, "c60", ["c50"], None), (1, 1, 6, 0, None, None, 1), (None, 0, 1, 1, "a", ["a"], 2)]
+    got = merging.evidence_slices(spark.createDataFrame(rows, kinds), 100, 9).collect()
+    kept = {(x["fn"], x["block"]): (x["priority"], x["address"], x["kept"]) for x in got}
+    # A row at the address of one with a priority has the least relaxed one.
+    assert kept[1, 1] == (1, 6, [1, 0, 0]) and kept[1, 0] == (0, 0, [0] * 40) and len(stored) == 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracewright.operators.folds import ordered_fold
-from tracewright.operators.graph import contracted_components, cut, reachable
+from tracewright.operators.graph import contracted_components, cut
 from tracewright.operators.ranking import ranked
 
 
@@ -64,20 +64,75 @@ def slice_groups(slices: DataFrame, cap: int = 8) -> DataFrame:
     return groups.select(F.concat(F.lit("group:"), F.array_join("slice_ids", "+")).alias("group_id"), "slice_ids", "files", "risk")
 
 
-def instruction_priorities(instructions: DataFrame) -> DataFrame:
-    """instructions with priority: their own, or that of what needs them, relaxed to a fix-point; null: not needed.
+class Definitions:
+    """One function's last definitions so far, of each name one, and the names that instructions with an own priority use.
+
+    A node is an instruction's address and index, its operands, the blocks of its rows without an own priority, and whether
+    a row has one. A task holds nodes that are the last to define a name, however many instructions there are.
+    """
+
+    def __init__(self):
+        self.last: dict[str, list] = {}
+        self.used: set[str] = set()
+        self.node: list | None = None
 
-    instructions: fn, address, index, result, operands (array), own (priority or null). An instruction that defines an
-    operand of one with priority p has min(6, max(4, p + 1)) at most; of several definitions of a name in a function the
+    def step(self, row: dict) -> list[tuple]:
+        at = (row["address"], row["index"])
+        if self.node is None or self.node[0] != at:
+            done, self.node = self._own(), [at, set(), [], False]
+        else:
+            done = []
+        operands = [x for x in row["operands"] or [] if x is not None]
+        if row["own"] is None:
+            self.node[2].append(row["block"])
+        else:
+            self.node[3] = True
+        self.node[1].update(operands)
+        if row["result"] is not None:
+            self.last[row["result"]] = self.node
+        return done
+
+    def _own(self) -> list[tuple]:
+        """Of the node that has ended, if it has an own priority, rows that have none."""
+        if self.node is None or not self.node[3]:
+            return []
+        self.used |= self.node[1]
+        return [(block, *self.node[0], 3) for block in self.node[2]]
+
+    def end(self) -> list[tuple]:
+        out, names, steps, seen = self._own(), self.used, 0, set()
+        while names:
+            steps += 1
+            nodes = {id(n): n for x in names if (n := self.last.get(x)) is not None and not n[3] and id(n) not in seen}
+            seen |= nodes.keys()
+            out += [(block, *n[0], min(6, 3 + steps)) for n in nodes.values() for block in n[2]]
+            names = set().union(*(n[1] for n in nodes.values()))
+        return out
+
+
+def needed_instructions(instructions: DataFrame) -> DataFrame:
+    """fn, block, address, index, priority of the instructions that have one: their own, or that of what needs them.
+
+    instructions: fn, block, address, index, result, operands (array), own (priority or null). An instruction that defines
+    an operand of one with priority p has min(6, max(4, p + 1)) at most; of several definitions of a name in a function the
     last by address and index counts. As own priorities are below 4, that is 3 plus the fewest steps from one that has
-    its own: one frontier of new instructions a round.
+    its own: a function's last definitions are found in a stream of its sorted rows, and solved when they end.
     """
-    rows = cut(instructions.withColumn("_id", F.struct("fn", "address", "index")))
-    last = rows.filter("result is not null").groupBy("fn", F.col("result").alias("_name")).agg(F.max("_id").alias("dst"))
-    uses = rows.select("fn", F.col("_id").alias("src"), F.explode(F.array_distinct("operands")).alias("_name"))
-    depths = reachable(uses.join(last, ["fn", "_name"]).select("src", "dst"), rows.filter("own is not null").select(F.col("_id").alias("node")))
-    relaxed = depths.select(F.col("node").alias("_id"), F.least(F.lit(6), 3 + F.col("depth")).alias("_p"))
-    return rows.join(relaxed, "_id", "left").withColumn("priority", F.coalesce(F.col("own").cast("long"), F.col("_p"))).drop("_id", "_p")
+    place = ["fn", "block", "address", "index"]
+    own = instructions.filter("own is not null").select(*place, F.col("own").cast("long").alias("priority"))
+    types = dict(instructions.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in place[1:]) + ", priority long"
+    # What neither defines nor has a priority is no reason for one.
+    operands = F.when(F.col("result").isNotNull() | F.col("own").isNotNull(), F.col("operands"))
+    rows = instructions.filter("fn is not null").select(*place, "result", operands.alias("operands"), "own")
+    return own.unionByName(ordered_fold(rows, ["fn"], ["address", "index"], Definitions, schema))
+
+
+def instruction_priorities(instructions: DataFrame) -> DataFrame:
+    """instructions with priority, that of needed_instructions; null: not needed."""
+    key = ["fn", "address", "index"]
+    relaxed = needed_instructions(instructions.filter("result is not null or own is not null")).groupBy(*key).agg(F.max("priority").alias("_p"))
+    return instructions.join(relaxed, key, "left").withColumn("priority", F.coalesce(F.col("own").cast("long"), F.col("_p"))).drop("_p")
 
 
 def evidence_slices(instructions: DataFrame, most_instructions: int, most_blocks: int) -> DataFrame:
@@ -87,17 +142,19 @@ def evidence_slices(instructions: DataFrame, most_instructions: int, most_blocks
     ``most_blocks`` by best priority, its address and the block. limited: whether either bound left something out. A function
     without any such instruction has the first of its first block, and is limited.
     """
-    rows = cut(instruction_priorities(instructions))
-    ordered = ranked(rows.filter("priority is not null"), ["fn"], [F.col("priority"), F.col("address"), F.col("index")], "_place")
+    rows, some = instructions, cut(needed_instructions(instructions))
+    ordered = ranked(some, ["fn"], [F.col("priority"), F.col("address"), F.col("index")], "_place")
     chosen = ordered.filter(F.col("_place") <= most_instructions)
     best = F.min(F.struct("priority", "address"))
     kept = F.transform(F.array_sort(F.collect_list(F.struct("address", "index"))), lambda x: x["index"])
     blocks = chosen.groupBy("fn", "block").agg(best.alias("b"), kept.alias("kept"))
     blocks = ranked(blocks, ["fn"], [F.col("b"), F.col("block")], "_block")
     counts = rows.groupBy("fn", "block").agg(F.count("*").alias("full"))
-    whole = rows.groupBy("fn").agg(F.count("priority").alias("_n"), F.min(F.struct("block", "address", "index")).alias("_first"))
+    whole = some.groupBy("fn").agg(F.count("*").alias("_n"))
     spans = blocks.groupBy("fn").agg(F.max("_block").alias("_m"))
     limits = whole.join(spans, "fn", "left").withColumn("limited", (F.col("_n") > most_instructions) | F.coalesce(F.col("_m") > most_blocks, F.lit(True)))
     some = blocks.filter(F.col("_block") <= most_blocks).join(limits.select("fn", "limited"), "fn").select("fn", "block", "b.priority", "b.address", "kept", "limited")
-    none = limits.filter("_n = 0").select("fn", "_first.block", F.lit(None).cast("long").alias("priority"), "_first.address", F.array("_first.index").alias("kept"), "limited")
+    bare = rows.join(whole.select(F.col("fn").alias("_f")), F.col("fn").eqNullSafe(F.col("_f")), "left_anti")
+    bare = bare.groupBy("fn").agg(F.min(F.struct("block", "address", "index")).alias("_first"))
+    none = bare.select("fn", "_first.block", F.lit(None).cast("long").alias("priority"), "_first.address", F.array("_first.index").alias("kept"), F.lit(True).alias("limited"))
     return some.union(none).join(counts, ["fn", "block"]).select("fn", "block", "priority", "address", "kept", "full", (F.col("full") - F.size("kept")).alias("omitted"), "limited")
