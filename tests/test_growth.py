@@ -88,3 +88,9 @@ def test_priorities_store_one_table_however_long_a_chain(spark, monkeypatch):
     kept = {(x["fn"], x["block"]): (x["priority"], x["address"], x["kept"]) for x in got}
     # A row at the address of one with a priority has the least relaxed one.
     assert kept[1, 1] == (1, 6, [1, 0, 0]) and kept[1, 0] == (0, 0, [0] * 40) and len(stored) == 1
+
+
+def test_a_variable_is_known_by_one_row(spark, tmp_path):
+    con = altered(tmp_path, "lineitem", "* replace (case when l_linenumber % 5 = 0 then null else l_suppkey end as l_suppkey)")
+    same_as_sql(spark, tmp_path, con, "static_findings")
+    assert physical(audits.QUERIES["static_findings"](spark, FOLDER)).count("Join") == 1

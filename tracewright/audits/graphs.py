@@ -253,9 +253,10 @@ SELECT w.fact_id, w.name, w.line, w.bound, concat_ws(',', CASE WHEN a.capacity *
 def static_findings(spark: SparkSession, d: str) -> DataFrame:
     """Rules over the facts of one variable: sizes that overflow, unguarded offsets, copies beyond the capacity, lifetimes."""
     f, key = facts(spark, d), ["node_id", "name"]
-    a = f.filter("kind = 'allocation'").groupBy(*key).agg(F.min("bound").alias("capacity"), F.min("line").alias("since"))
-    has = lambda k: f.filter(F.col("kind") == k).select(*key, F.lit(True).alias(k)).distinct()
-    w = f.filter("kind = 'write'").join(a, key, "left").join(has("loop"), key, "left").join(has("guard"), key, "left")
+    # What is known of a variable as one row, so that a task sorts and aggregates once for all kinds of facts.
+    of = lambda k, c: F.min(F.when(F.col("kind") == k, F.col(c) if isinstance(c, str) else c))
+    known = f.filter("kind <> 'write'").groupBy(*key).agg(of("allocation", "bound").alias("capacity"), of("allocation", "line").alias("since"), *[of(k, F.lit(True)).alias(k) for k in ("loop", "guard")])
+    w = f.filter("kind = 'write'").select("fact_id", *key, "line", "bound").join(known, key, "left")
     bare = F.col("guard").isNull()
     rules = [("overflow_to_size", (F.col("capacity") * 2 < F.col("bound")) & bare), ("offset_plus_length", F.col("loop").isNotNull() & bare), ("copy_mismatch", F.col("bound") > F.col("capacity")), ("use_outside_lifetime", F.col("line") < F.col("since"))]
     return w.select("fact_id", "name", "line", "bound", F.concat_ws(",", *[F.when(c, n) for n, c in rules]).alias("findings"))
