@@ -203,3 +203,26 @@ def test_packs_lie_in_small_row_groups_and_rows_of_packs_grow_as_the_text(spark)
     assert sum(m.num_rows for m in files) >= 30 and max(g.total_byte_size for g in groups) <= 24 << 20
     rows = lambda total: total / (2 << 20) * 2 ** substring._bits(total / substring.bucket_size(total))
     assert rows(10 << 30) <= 3e6 and substring.bucket_size(1 << 30) == 8 << 20 and substring.bucket_size(200 << 30) == 64 << 20
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_components_of_few_edges_are_one_step(spark, monkeypatch, few):
+    rng = random.Random(9)
+    edges = [(rng.randrange(10**12), rng.randrange(10**12)) for _ in range(60)] + [(x, x + 1) for x in range(40)] + [(7, 7), (500, 499), (499, 500)]
+    edges += [(a, edges[k - 1][1]) for k, (a, _) in enumerate(edges[1:30], 1)]
+    want, group = {x: x for e in edges if e[0] != e[1] for x in e}, f"few {few}"
+    while any(want[a] != want[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    monkeypatch.setattr(minhash, "FEW_EDGES", few)
+    spark.sparkContext.setJobGroup(group, "")
+    got = minhash.components(spark.createDataFrame(edges, "a long, b long"), storage.Scratch(spark, "few"), "edges").collect()
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted(map(tuple, got)) == sorted(want.items())
+    assert (len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 8) == (few > 0)
+
+
+def test_components_without_edges(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    assert minhash.components(none, storage.Scratch(spark, "few"), "edges").collect() == []

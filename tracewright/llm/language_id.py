@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewright.llm.hashing import held, mix, trimmed
+from tracewright.llm.hashing import give_back, held, mix, trimmed
 from tracewright.llm.storage import free_names, limit_batches
 
 FEATURES = 1 << 16
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, learnable: Column, per_label: int = 500, sample_rows: i
 
     sample = few.select("lang", "r", "text").mapInArrow(vectors, "lang string, r long, at binary, counts binary").toArrow().to_pylist()
     sample = sorted((x for x in sample if x["at"]), key=lambda x: (x["r"], x["lang"]))
-    grams = [(np.frombuffer(x["at"], dtype=np.uint16).astype(np.int64), np.frombuffer(x["counts"], dtype=np.float32).astype(np.float64)) for x in sample]
+    grams = [(np.frombuffer(x.pop("at"), dtype=np.uint16).astype(np.int64), np.frombuffer(x.pop("counts"), dtype=np.float32).astype(np.float64)) for x in sample]
     y = np.array([place[x["lang"]] for x in sample], dtype=np.int64)
     apart = np.array([x["r"] % 5 == 0 for x in sample], dtype=bool)
     scale = 10.0
@@ -236,6 +236,8 @@ def fit(docs: DataFrame, learnable: Column, per_label: int = 500, sample_rows: i
     model.limit = foreign_limit([grams[i] for i in np.flatnonzero(apart)], seen, least)
     out = np.array([model.logits(*grams[i]) for i in np.flatnonzero(apart)]).reshape(-1, len(labels))
     model.temperature = fit_temperature(out, y[apart])
+    del sample, grams, fed
+    give_back()  # on the driver, which holds no more than the model from now on
     return model
 
 

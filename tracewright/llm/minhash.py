@@ -16,7 +16,7 @@ pairs exists anywhere. Within a task two classes are compared only if they are n
 the shingles that no other class of the task has, still allow the similarity. A cluster of more than ``block_rows``
 classes is dealt to blocks, and a task gets two blocks; one of more than ``giant_blocks`` blocks is first thinned by
 verifying its ties, then taken bucket by bucket, where blocks of one component don't meet each other. Components are
-found by alternating large-star and small-star steps. Each step is written to the shared folder. With 64 bands of 8 rows
+found by alternating large-star and small-star steps, and at once where the edges are few. Each step is written to the shared folder. With 64 bands of 8 rows
 a pair at a Jaccard similarity of 0.8 is missed with probability 8e-6.
 
 Defined cases. Null text: empty set. Null doc_id: linked with nothing, component_id null, kept. Rows that share a doc_id
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import hashing
 from tracewright.llm.storage import Scratch
+from tracewright.operators.graph import FEW_EDGES, least_ends
 
 _UNIVERSE = 1 << 21
 #: What tells a set from others.
@@ -268,19 +269,25 @@ def _bucket_units(members: DataFrame, labels: DataFrame, block_rows: int, block_
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Connected components of edges (a, b): node, root, for every node that has an edge; root is the smallest.
 
-    It ends as soon as the edges are stars: no node has two edges downwards, and none that has one is below another.
+    At most FEW_EDGES are solved at once: a round would shuffle them six times, and the driver would hold its plans, tasks
+    and threads. Else a round of stars follows. They end, too, as soon as the edges are stars: no node has two edges
+    downwards, and none that has one is below another.
     """
-    step = 0
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    edges, step = scratch.keep(edges.distinct(), f"{name}_0"), 0
     while True:
+        if edges.count() <= FEW_EDGES:
+            few = edges.toArrow()
+            ends = least_ends(zip(few["a"].to_pylist(), few["b"].to_pylist(), strict=True))
+            found = pa.table({"node": pa.array([x for x, _ in ends], pa.int64()), "root": pa.array([x for _, x in ends], pa.int64())})
+            return scratch.keep(scratch.spark.createDataFrame(found), f"{name}_roots")
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        small = scratch.keep(small.select("e.a", "e.b").filter("a <> b").distinct(), f"{name}_{step}")
-        if step:
-            scratch.drop(f"{name}_{step - 1}")
+        small = scratch.keep(small.select("e.a", "e.b").filter("a <> b").distinct(), f"{name}_{step + 1}")
+        scratch.drop(f"{name}_{step}")
         ends = small.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e"))
         per = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("low"))
         if not per.agg(F.sum(((F.col("up") > 1) | (F.col("up") == 1) & (F.col("low") == 0)).cast("int"))).first()[0]:
