@@ -1,5 +1,6 @@
 """Queries that stay small as tables grow: what their plans and steps hold, and that results stay those of their SQL."""
 
+import json
 import os
 
 import duckdb
@@ -8,7 +9,7 @@ from test_audit_queries import FOLDER, plain
 
 from tracewright import audits
 from tracewright.audits import predicates
-from tracewright.operators import folds
+from tracewright.operators import fitting, folds
 from tracewright.operators import graph as G
 from tracewright.operators import merging
 
@@ -94,3 +95,21 @@ def test_a_variable_is_known_by_one_row(spark, tmp_path):
     con = altered(tmp_path, "lineitem", "* replace (case when l_linenumber % 5 = 0 then null else l_suppkey end as l_suppkey)")
     same_as_sql(spark, tmp_path, con, "static_findings")
     assert physical(audits.QUERIES["static_findings"](spark, FOLDER)).count("Join") == 1
+
+
+def test_responses_are_dealt_once(spark):
+    kinds = {
+        "responses": "response long, omissions array<string>", "functions": "response long, fn string, excerpt string", "instructions": "response long, fn string, block string, address long, index long, text string",
+        "edges": "response long, caller string, address long, callee string, guards array<string>", "facts": "response long, fact_id string, kind string, fn string, address long, index long, protected boolean",
+    }
+    rows = {
+        "responses": [(1, None)], "functions": [(1, "f", "x" * 900), (1, "f", None)], "instructions": [(1, "f", "b", 5, 0, "t"), (1, "f", "c", 6, 0, "t")], "edges": [(1, "f", 5, "g", ["b", None])],
+        "facts": [(1, "a", "unknown", "f", None, 0, True), (1, "b" * 300, "guard", "f", 5, 0, False)],
+    }
+    got = fitting.fit_responses(**{k: spark.createDataFrame(v, kinds[k]) for k, v in rows.items()}, maximum=500)
+    assert physical(got).count("Exchange") == 1
+    kept = json.loads(got.first()["body"])
+    # A protected fact without an address stays as well, and a function's second row adds no edges.
+    assert got.first()["dropped"] == 1 and [f["fact_id"] for f in kept["facts"]] == ["a"]
+    assert kept["edges"] == [] and [[b["block"] for b in f["blocks"]] for f in kept["functions"]] == [["c"], ["c"]]
+    assert len(json.loads(fitting.fit_responses(**{k: spark.createDataFrame(v, kinds[k]) for k, v in rows.items()}, maximum=9000).first()["body"])["edges"]) == 1
