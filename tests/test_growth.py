@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import duckdb
 import pyarrow as pa
@@ -113,3 +114,26 @@ def test_responses_are_dealt_once(spark):
     assert got.first()["dropped"] == 1 and [f["fact_id"] for f in kept["facts"]] == ["a"]
     assert kept["edges"] == [] and [[b["block"] for b in f["blocks"]] for f in kept["functions"]] == [["c"], ["c"]]
     assert len(json.loads(fitting.fit_responses(**{k: spark.createDataFrame(v, kinds[k]) for k, v in rows.items()}, maximum=9000).first()["body"])["edges"]) == 1
+
+
+def test_dominators_of_layers_look_at_each_edge_once(spark, monkeypatch):
+    stored, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: stored.append(1) or cut(df))
+    r = random.Random(3)
+    layers = {(1, 10 + k) for k in range(4)} | {(10 + r.randrange(4), 100 + r.randrange(9)) for _ in range(12)} | {(100 + r.randrange(9), 1000 + r.randrange(20)) for _ in range(40)}
+    graphs = [layers] + [{(r.randrange(1, n), r.randrange(1, n)) for _ in range(m)} | {(1, 2)} for n, m in ((12, 18), (20, 40), (30, 45))]
+    # A node found early and late: on the shortest way 2 is on all ways to 4, but not on the long one.
+    graphs.append({(1, 2), (2, 4), (1, 3), (3, 5), (5, 4), (4, 6), (6, 5), (4, 4), (6, 1)})
+    for k, edges in enumerate(graphs):
+        stored.clear()
+        got = {tuple(x) for x in G.dominators(spark.createDataFrame(sorted(edges) * 2, "src long, dst long"), 1).collect()}
+
+        def reached(gone, edges=edges):
+            seen = {1} - {gone}
+            while new := {b for a, b in edges if a in seen and b != gone} - seen:
+                seen |= new
+            return seen
+
+        nodes = reached(None)
+        assert got == {(n, gone) for gone in nodes for n in nodes - reached(gone)}
+        assert k or len(stored) <= 5  # the edges, and what each layer gets, with an empty one

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -176,21 +177,61 @@ def contracted_components(edges: DataFrame) -> DataFrame:
     return found.withColumnRenamed("least", "component")
 
 
+def neighbours(edges: DataFrame, most: int = 4096) -> DataFrame:
+    """src, dsts: the nodes behind each node, each once, in arrays of at most ``most``; stored and dealt in rounds at a fraction
+    of the bytes of single edges. Edges without an end are left out."""
+    each = edges.select("src", "dst").dropna().repartition("src").distinct()
+    place = F.row_number().over(W.partitionBy("src").orderBy("dst"))
+    return cut(each.withColumn("_n", F.floor((place - 1) / most)).groupBy("src", "_n").agg(F.collect_list("dst").alias("dsts")).drop("_n"))
+
+
+#: Fixed value: a frontier of so many values is sent to all tasks, so that the edges aren't dealt for it.
+FEW_VALUES = 400_000
+
+
+def _behind(frontier: DataFrame, after: DataFrame, values: int) -> DataFrame:
+    """The frontier's rows with src and dsts of their nodes (see neighbours); values: about how many numbers it holds."""
+    frontier = F.broadcast(frontier) if values <= FEW_VALUES else frontier
+    return after.join(frontier, frontier["node"] == after["src"])
+
+
 def dominators(edges: DataFrame, root: int) -> DataFrame:
     """node, dominator: every node on all paths from the root, for nodes that it reaches.
 
-    The iterative rule dom(n) = {n} + intersection of dom(predecessors), on sorted arrays; a node's array is null while
-    it stands for "all nodes".
+    Breadth first, a node gets its dominators on the shortest ways to it, from the root down: the common start of those of
+    the nodes before it, which is that of the least and the greatest of them. If no edge leads elsewhere than one step
+    further, that is all, and each edge has been looked at once. Else it is where ``_relaxed_dominators`` starts from.
     """
-    edges = edges.select("src", "dst").distinct()
-    seeds = edges.sparkSession.createDataFrame([(root,)], "node long")
-    inside = reachable(edges, seeds).select("node")
-    edges = cut(edges.join(inside.withColumnRenamed("node", "src"), "src").filter(F.col("dst") != root))
-    now = cut(inside.withColumn("dom", F.when(F.col("node") == root, F.array("node"))))
+    after = neighbours(edges)
+    frontier = edges.sparkSession.createDataFrame([(root,)], "node long").withColumn("path", F.array("node"))
+    found, layered, rows, step = Found(frontier), True, 1, 1
+    shared = F.expr("slice(low, 1, coalesce(nullif(array_position(zip_with(low, high, (x, y) -> x <=> y), false), 0) - 1, size(low)))")
+    while True:
+        sent = _behind(frontier, after, rows * step).select("src", F.explode("dsts").alias("node"), "path")
+        sent = sent.filter((F.col("node") != F.col("src")) & (F.col("node") != root)).select("node", "path").repartition("node")
+        came = sent.groupBy("node").agg(F.min("path").alias("low"), F.max("path").alias("high"))
+        came = came.join(found.all().select("node", F.lit(True).alias("known")), "node", "left")
+        came = cut(came.select("node", F.concat(shared, F.array("node")).alias("path"), "known"))
+        layered = layered and came.filter("known").isEmpty()
+        frontier = came.filter("known is null").drop("known")
+        rows, step = frontier.count(), step + 1
+        if not rows:
+            break
+        found.add(frontier)
+    if layered:
+        return found.all().select("node", F.explode("path").alias("dominator"))
+    single = after.select("src", F.explode("dsts").alias("dst")).filter(F.col("dst") != root)
+    return _relaxed_dominators(single, found.all().select("node", F.array_sort("path").alias("dom")))
+
+
+def _relaxed_dominators(edges: DataFrame, now: DataFrame) -> DataFrame:
+    """The iterative rule dom(n) = {n} + intersection of dom(predecessors), on sorted arrays, from now (node, dom), which
+    holds all nodes that are reached and may have too many dominators, but none too few."""
+    now = cut(now)
     while True:
-        known = edges.join(now.filter("dom is not null").withColumnRenamed("node", "src"), "src")
+        known = edges.join(now.withColumnRenamed("node", "src"), "src")
         counts = known.groupBy("dst").agg(F.count("*").alias("n"))
-        # A dominator of n dominates each predecessor that is known so far.
+        # A dominator of n dominates each predecessor.
         shared = known.select("dst", F.explode("dom").alias("d")).groupBy("dst", "d").agg(F.count("*").alias("c")).join(counts, "dst").filter("c = n")
         new = shared.groupBy("dst").agg(F.array_sort(F.collect_list("d")).alias("up")).select(F.col("dst").alias("node"), F.array_sort(F.array_union("up", F.array("dst"))).alias("new"))
         joined = cut(now.join(new, "node", "left").select("node", "dom", F.coalesce("new", "dom").alias("new")))

@@ -46,8 +46,8 @@ def _node(kind: str, key: str) -> Column:
     return F.col(key).cast("long") * 8 + KINDS[kind]
 
 
-def _edges(spark: SparkSession, d: str, *names: str) -> DataFrame:
-    """src, dst of every row of the tables: each link once."""
+def _links(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """src, dst of every row of the tables, with repeats."""
     links = {
         "nation": ("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"),
         "customer": ("customer", "nation", "c_nationkey", "customer", "c_custkey"),
@@ -57,7 +57,12 @@ def _edges(spark: SparkSession, d: str, *names: str) -> DataFrame:
         "region": ("nation", "region", "n_regionkey", "nation", "n_nationkey"),
     }
     some = [table(spark, d, t).select(_node(a, x).alias("src"), _node(b, y).alias("dst")) for t, a, x, b, y in (links[n] for n in names)]
-    return reduce(DataFrame.union, some).dropna().distinct()
+    return reduce(DataFrame.union, some).dropna()
+
+
+def _edges(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """Each link once."""
+    return _links(spark, d, *names).distinct()
 
 
 #: Customers place orders of parts from suppliers of nations that have customers.
@@ -97,7 +102,7 @@ def dominators_whole(spark: SparkSession, d: str) -> DataFrame:
     """From a root above the regions down to the suppliers of the parts ordered."""
     root = 7  # key 0 of a kind that no table has
     top = table(spark, d, "region").select(F.lit(root).cast("long").alias("src"), _node("region", "r_regionkey").alias("dst"))
-    return G.dominators(top.union(_edges(spark, d, "region", "customer", "order", "part", "supplier")), root)
+    return G.dominators(top.union(_links(spark, d, "region", "customer", "order", "part", "supplier")), root)
 
 
 @query("""
