@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 from test_audit_queries import FOLDER, plain
 
 from tracewright import audits
@@ -137,3 +138,37 @@ def test_dominators_of_layers_look_at_each_edge_once(spark, monkeypatch):
         nodes = reached(None)
         assert got == {(n, gone) for gone in nodes for n in nodes - reached(gone)}
         assert k or len(stored) <= 5  # the edges, and what each layer gets, with an empty one
+
+
+def test_nearest_seeds_are_stored_once_for_all_nodes_behind_a_hub(spark, monkeypatch):
+    stored, cut = [], G.cut
+
+    def count(df):
+        out = cut(df)
+        stored.append(out.agg(F.sum(F.size("seeds"))).first()[0] or 0 if "seeds" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(G, "cut", count)
+    r = random.Random(5)
+    hubs = [(k, 1000 + k % 2) for k in range(80)] + [(1000 + k % 3, 2000 + k) for k in range(150)] + [(79, 1002), (2000, 3000), (2001, 3000), (2002, 3000), (3000, 3000)]
+    graphs = [(hubs, list(range(80)))] + [([(r.randrange(60), r.randrange(60)) for _ in range(90)], r.sample(range(70), 20)) for _ in range(2)]
+    for k, (edges, seeds) in enumerate(graphs):
+        both, want = {*edges} | {(b, a) for a, b in edges}, {}
+        for seed in sorted(seeds):
+            at, front = {seed: 0}, {seed}
+            for n in range(1, 5):
+                front = {b for a, b in both if a in front} - at.keys()
+                at |= dict.fromkeys(front, n)
+            for node, n in at.items():
+                if node not in want or n < want[node][0]:
+                    want[node] = (n, [])
+                if n == want[node][0]:
+                    want[node][1].append(seed)
+        tables = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(x,) for x in seeds], "node long")
+        for options, few in [({}, G.FEW_SEEDS), ({"most": 1}, G.FEW_SEEDS), ({"most": 2}, 0)] if k < 2 else [({"most": 2}, G.FEW_SEEDS)]:
+            stored.clear()
+            with monkeypatch.context() as m:
+                m.setattr(G, "FEW_SEEDS", few)
+                got = {x["node"]: (x["distance"], x["seeds"]) for x in G.nearest_seeds(*tables, 4, **options).collect()}
+            assert got == want
+            assert k or sum(stored) < 300  # each of 150 nodes stored a list of 40 or so

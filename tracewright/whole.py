@@ -88,7 +88,7 @@ def shortest_paths_whole(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def nearest_seeds_whole(spark: SparkSession, d: str) -> DataFrame:
-    found = G.nearest_seeds(_edges(spark, d, *TRADE), _seeds(spark, d), 4)
+    found = G.nearest_seeds(_links(spark, d, *TRADE), _seeds(spark, d), 4)
     return found.withColumn("seeds", F.array_join(F.transform("seeds", lambda x: x.cast("string")), ","))
 
 
